@@ -70,35 +70,30 @@ def known_levels(df: DataFrame, name: str) -> list[str] | None:
     return df.schema[name].metadata.get("levels")
 
 
-def fit_levels(df: DataFrame, cols, max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
+def fit_levels(df: DataFrame, cols, max_levels: int = MAX_LEVELS, nulls: bool = True) -> dict[str, list[str]]:
     """Sorted distinct values per column; more than ``max_levels`` is an error.
 
     A level becomes a model input, so the list must be finite and is checked
-    before it reaches the driver.
+    before it reaches the driver.  Nulls are no level; ``nulls=False`` refuses them.
     """
     if not cols:
         return {}
     cells = F.array(
         *[F.struct(F.lit(i).alias("c"), F.col(n).cast("string").alias("v")) for i, n in enumerate(cols)]
     )
-    pairs = df.select(F.inline(cells)).where("v is not null").distinct()
-    found = pairs.limit(max_levels * len(cols) + 1).collect()
-    levels = {name: sorted(r.v for r in found if r.c == i) for i, name in enumerate(cols)}
-    for name, values in levels.items():
-        if len(values) > max_levels:
+    # one value more than allowed, and a null, per column still fit under the limit
+    found = df.select(F.inline(cells)).distinct().limit((max_levels + 2) * len(cols)).collect()
+    bad = [cols[r.c] for r in found if r.v is None]
+    if bad and not nulls:
+        raise ValueError(f"null values in {sorted(bad)}")
+    levels = {}
+    for i, name in enumerate(cols):
+        levels[name] = sorted(r.v for r in found if r.c == i and r.v is not None)
+        if len(levels[name]) > max_levels:
             raise ValueError(f"column {name!r} has more than {max_levels} levels")
     return levels
 
 
-def reject_nulls(df: DataFrame, cols) -> None:
-    if not cols:
-        return
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    bad = [c for c in cols if counts[c]]
-    if bad:
-        raise ValueError(f"null values in {bad}")
-
-
 # -- expressions -----------------------------------------------------------
 
 
@@ -348,9 +343,8 @@ class TabularPrep(Estimator, DefaultParamsReadable, DefaultParamsWritable):
                     moments = fit_moments(MedianImputeModel(state["fill"]).transform(df), numeric)
             elif missing:
                 raise ValueError(f"null values in {missing}; impute first or set nullPolicy")
-            reject_nulls(df, nominal)
             state["moments"] = moments
-            state["levels"] = fit_levels(df, nominal, self.getOrDefault(self.maxLevels))
+            state["levels"] = fit_levels(df, nominal, self.getOrDefault(self.maxLevels), nulls=False)
             refuse_collision(state["levels"], unknown)
         return TabularPrepModel(state)
 
@@ -372,6 +366,11 @@ class TabularPrepModel(_Fitted):
     def width(self) -> int:
         return len(self.feature_names)
 
+    @property
+    def rows_seen(self) -> int | None:
+        """Training rows, if they were counted along with the moments."""
+        return next((m["rows"] for m in self.fitted["moments"].values()), None)
+
     def vector(self):
         """The feature array as one expression over the input columns."""
         state = self.fitted

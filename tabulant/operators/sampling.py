@@ -8,8 +8,6 @@ ranks a whole table, or a whole class, in one task.
 Keys must be unique; ``with_row_key`` derives one for tables that have none.
 """
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +32,11 @@ def cut_points(rows: DataFrame, by, quota) -> DataFrame:
     placed = counts.select(
         "*",
         (F.sum("n").over(upto) - F.col("n")).alias("before"),
+        F.sum("n").over(whole).alias("total"),
         quota(F.sum("n").over(whole)).cast("bigint").alias("quota"),
     )
     return placed.where("before < quota and quota <= before + n").select(
-        *by, F.col(RANGE).alias("cut"), (F.col("quota") - F.col("before")).alias("owed")
+        *by, F.col(RANGE).alias("cut"), (F.col("quota") - F.col("before")).alias("owed"), "quota", "total"
     )
 
 
@@ -49,11 +48,9 @@ def validation_split(
     One counting job, then two filters; the table itself is not shuffled.
     """
     rows = hashed(df, key_cols, seed, "split")
-    n = df.count()
-    size = math.floor(proportion * n)
-    if not 0 < size < n:
-        raise ValueError(f"a split of {n} rows at {proportion} leaves one side empty")
-    point = cut_points(rows, [], lambda total: F.lit(size)).first()
+    point = cut_points(rows, [], lambda total: F.floor(total * F.lit(float(proportion)))).first()
+    if point is None or point.quota >= point.total:
+        raise ValueError(f"a split at {proportion} leaves one side empty")
     rank = F.row_number().over(Window.partitionBy(RANGE).orderBy(HASH, *key_cols))
     edge = rows.where(F.col(RANGE) == point.cut).withColumn("__rank", rank)
     below, above = rows.where(F.col(RANGE) < point.cut), rows.where(F.col(RANGE) > point.cut)

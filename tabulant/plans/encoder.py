@@ -151,7 +151,9 @@ class ContrastiveEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable
             [*layers, *projection], get("learningRate"), get("corruptionRate"), get("temperature")
         )
         ready = lambda rows: rows.select(row_key(keys).alias("key"), prep.vector().alias("features"))
-        n = train_df.count()
+        n = prep.rows_seen
+        if n is None:
+            n = train_df.count()
         if n < 2:
             raise ValueError("training needs at least two rows")
         valid, path = None, None

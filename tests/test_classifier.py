@@ -1,0 +1,147 @@
+import numpy as np
+import pytest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.sql import functions as F
+
+import tabulant as tb
+from tabulant.operators import evaluate
+
+CHOICES = {
+    "MLP": dict(kind="MLP", epochs=30, batchSize=64),
+    "Random Forest": dict(kind="Random Forest"),
+    "XGB": dict(kind="XGB"),
+    "SVM": dict(kind="SVM"),
+    "KNN": dict(kind="KNN"),
+    "C50": dict(kind="C50"),
+    "logistic": lambda: dict(classifier=LogisticRegression(maxIter=20)),
+    "no probability": lambda: dict(classifier=LinearSVC(maxIter=20)),
+}
+
+
+def choose(encoder, name, **more):
+    given = CHOICES[name]() if callable(CHOICES[name]) else CHOICES[name]
+    return tb.LatentClassifier(encoder=encoder, labelCol="label", keyCols=["id"], **{**given, **more})
+
+
+@pytest.mark.parametrize("name", CHOICES)
+def test_heads_learn_predict_and_persist(spark, clusters, encoder, tmp_path, name):
+    rows = clusters
+    if name == "no probability":  # a two-class model
+        rows = clusters.where("label != 'class2'")
+    model = choose(encoder, name).fit(rows)
+    levels = ["class0", "class1", "class2"][: len(model.levels)]
+    assert model.levels == levels
+    out = model.transform(rows)
+    assert out.columns == [*rows.columns, "prediction", "probability"]
+    got = out.select("id", "label", "prediction", "probability").orderBy("id").collect()
+    assert len(got) == rows.count()
+    p = np.array([r.probability for r in got])
+    assert p.shape == (len(got), len(levels))
+    assert np.allclose(p.sum(axis=1), 1.0, atol=1e-5)
+    assert (p >= 0).all()
+    assert [r.prediction for r in got] == [levels[i] for i in p.argmax(axis=1)]
+    assert np.mean([r.prediction == r.label for r in got]) > 0.95
+
+    path = str(tmp_path / "classifier")
+    model.save(path)
+    again = tb.LatentClassifierModel.load(path)
+    assert again.levels == levels
+    assert np.allclose([r.probability for r in again.transform(rows).orderBy("id").collect()], p, atol=1e-9)
+
+
+def test_two_classes(clusters, encoder):
+    pair = clusters.where("label != 'class2'")
+    for name in ("MLP", "XGB", "SVM"):
+        out = choose(encoder, name).fit(pair).transform(pair)
+        assert out.where("prediction = label").count() > 380
+        assert out.where("size(probability) != 2").count() == 0
+
+
+def test_argument_errors_come_first(clusters):
+    for bad, text in [
+        (dict(), "choose a classifier"),
+        (dict(classification_model_type="NO_SUCH_MODEL"), "not supported"),
+    ]:
+        with pytest.raises(ValueError, match=text):
+            tb.train_classifier_on_extracted_features(clusters, "/no/such/path", label_column="label", **bad)
+    with pytest.raises(ValueError, match="label column"):
+        tb.LatentClassifier(kind="KNN", featuresCol="latent")
+    with pytest.raises(ValueError, match="either an encoder or"):
+        tb.LatentClassifier(kind="KNN", labelCol="label")
+
+
+def test_mlp_wins_over_a_given_classifier(clusters, encoder):
+    model = choose(encoder, "MLP", classifier=LogisticRegression(), epochs=1).fit(clusters)
+    assert type(model.head).__name__ == "MlpHead"
+
+
+def test_number_of_classes_must_match(clusters, encoder):
+    with pytest.raises(ValueError, match="2 classes expected, 3 found"):
+        choose(encoder, "C50", numClasses=2).fit(clusters)
+
+
+def test_missing_labels_are_left_out_with_a_warning(clusters, encoder):
+    holes = clusters.withColumn("label", F.expr("if(id < 30, null, label)"))
+    with pytest.warns(UserWarning, match="30 rows"):
+        model = choose(encoder, "C50").fit(holes)
+    assert model.transform(holes).count() == 600
+
+
+def test_small_run_takes_five_percent(clusters, encoder):
+    model = choose(encoder, "KNN", small=True).fit(clusters)
+    assert int(model.head.index.counts.sum()) == 30
+
+
+def test_functions_and_report(spark, clusters, encoder, tmp_path):
+    path = str(tmp_path / "head")
+    tb.train_classifier_on_extracted_features(
+        clusters,
+        encoder,
+        label_column="label",
+        num_classes=3,
+        classification_model_type="Random Forest",
+        key_columns=["id"],
+        save_path=path,
+    )
+    test = clusters.withColumn("label", F.expr("if(id % 100 = 0, 'never seen', label)"))
+    predictions, report = tb.downstream_prediction(test, path, encoder, return_classification_report=True)
+    assert predictions.count() == 600
+    rows = report.collect()
+    assert len(rows) == 9
+    assert sum(r.n for r in rows) == 594
+    hits = sum(r.n for r in rows if r.predicted == r.real)
+    assert {r.accuracy for r in rows} == {round(hits / 594 * 100, 2)}
+    # the label is not needed to predict
+    assert tb.downstream_prediction(clusters.drop("label"), path).count() == 600
+
+
+def test_numeric_labels_sort_as_numbers(spark):
+    df = spark.createDataFrame([(i, i % 12) for i in range(48)], "id bigint, label int")
+    assert evaluate.label_levels(df, "label") == [str(i) for i in range(12)]
+
+
+def test_label_index_of_unseen_is_null(spark):
+    df = spark.createDataFrame([("b",), ("z",), (None,)], "label string")
+    assert [r[0] for r in df.select(evaluate.label_index(F.col("label"), ["a", "b"])).collect()] == [1, None, None]
+
+
+def test_confusion_has_every_cell(spark):
+    rows = [("a", "a"), ("a", "b"), ("c", "c"), ("a", "zzz"), ("b", None)]
+    df = spark.createDataFrame(rows, "p string, r string")
+    cells = {(r.predicted, r.real): r.n for r in evaluate.confusion_matrix(df, "p", "r", ["a", "b", "c"]).collect()}
+    assert len(cells) == 9
+    assert {k: v for k, v in cells.items() if v} == {("a", "a"): 1, ("a", "b"): 1, ("c", "c"): 1}
+    assert evaluate.accuracy(df, "p", "r", ["a", "b", "c"]).first() == (3, 2, 66.67)
+    assert evaluate.accuracy(df.limit(0), "p", "r", ["a"]).first() == (0, 0, None)
+
+
+def test_array_column_instead_of_an_encoder(spark, clusters):
+    rows = clusters.select("id", "label", F.array("x0", "x1", "x4").alias("v"))
+    model = tb.LatentClassifier(kind="KNN", labelCol="label", featuresCol="v", keyCols=["id"], neighbours=3).fit(rows)
+    assert model.transform(rows).where("prediction = label").count() > 590
+
+
+def test_tied_votes_go_to_the_lowest_level(spark):
+    train = spark.createDataFrame([(i, "ab"[i % 2], [float(i // 2)]) for i in range(4)], "id bigint, label string, v array<double>")
+    model = tb.LatentClassifier(kind="KNN", labelCol="label", featuresCol="v", keyCols=["id"], neighbours=4).fit(train)
+    assert {r.prediction for r in model.transform(train).collect()} == {"a"}
