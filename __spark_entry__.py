@@ -32,21 +32,23 @@ DIGITS = 6
 # -- helpers ---------------------------------------------------------------
 
 
-def spread(df: DataFrame, rest, array: str, prefix: str, width: int) -> DataFrame:
+def cells(df: DataFrame, rest, array: str, prefix: str, width: int) -> DataFrame:
     """The first ``width`` cells of an array as rounded columns."""
-    cells = [F.round(F.col(array)[i], DIGITS).alias(f"{prefix}{i + 1}") for i in range(width)]
-    return df.select(*rest, *cells)
+    return df.select(
+        *rest, *[F.round(F.col(array)[i], DIGITS).alias(f"{prefix}{i + 1}") for i in range(width)]
+    )
 
 
-def orders_prep(spark, sf):
-    """Prepared orders: the key, the status and 12 features."""
-    orders = table(spark, sf, "orders")
+def orders_prep(spark, sf, spread=False):
+    """The prep of orders (12 features) and the table."""
+    orders = table(spark, sf, "orders", spread)
     model = prep.TabularPrep(exclude=NOT_FEATURES).fit(orders)
     return model, orders
 
 
-def orders_matrix(spark, sf) -> DataFrame:
-    model, orders = orders_prep(spark, sf)
+def orders_matrix(spark, sf, spread=False) -> DataFrame:
+    """Prepared orders: the key, the status and the features."""
+    model, orders = orders_prep(spark, sf, spread)
     return model.transform(orders).select(*KEY, LABEL, "features")
 
 
@@ -65,8 +67,8 @@ def fixed_encoder(spark, sf) -> tb.ContrastiveEncoderModel:
     for layer in encoder.layers:
         if layer.kind == "linear":
             linear += 1
-            cells = [[fixed("w", linear, i, j) for j in range(layer.fan_in)] for i in range(layer.width)]
-            weights[f"{layer.name}.weight"] = np.array(cells, np.float32)
+            rows = [[fixed("w", linear, i, j) for j in range(layer.fan_in)] for i in range(layer.width)]
+            weights[f"{layer.name}.weight"] = np.array(rows, np.float32)
             weights[f"{layer.name}.bias"] = np.array([fixed("b", linear, i) for i in range(layer.width)], np.float32)
         elif layer.kind == "norm":
             for part, value in {"weight": 1.25, "bias": 0.125, "mean": 0.0625, "var": 1.5}.items():
@@ -76,7 +78,7 @@ def fixed_encoder(spark, sf) -> tb.ContrastiveEncoderModel:
 
 
 def fixed_latent(spark, sf) -> DataFrame:
-    return fixed_encoder(spark, sf).transform(table(spark, sf, "orders"))
+    return fixed_encoder(spark, sf).transform(table(spark, sf, "orders", spread=True))
 
 
 def fixed_predictions(spark, sf) -> DataFrame:
@@ -93,7 +95,7 @@ def trained_encoder(spark, sf) -> tb.ContrastiveEncoderModel:
     at = (spark.sparkContext.applicationId, sf)
     if at not in _encoders:
         _encoders[at] = tb.fit_extractor(
-            table(spark, sf, "orders"), exclude_columns=[*NOT_FEATURES, LABEL], key_columns=KEY
+            table(spark, sf, "orders", spread=True), exclude_columns=[*NOT_FEATURES, LABEL], key_columns=KEY
         )
     return _encoders[at]
 
@@ -126,7 +128,7 @@ def brand_levels(spark, sf):
 
 def head_summary(spark, sf, **choice) -> DataFrame:
     """Per true class: rows, rows whose probabilities miss 1, predictions that are no class."""
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders", spread=True)
     model = tb.LatentClassifier(
         encoder=trained_encoder(spark, sf), labelCol=LABEL, keyCols=KEY, **choice
     ).fit(orders)
@@ -186,7 +188,7 @@ def row_key(spark, sf):
 
 
 def prep_matrix(spark, sf):
-    return spread(orders_matrix(spark, sf), KEY, "features", "f", 12)
+    return cells(orders_matrix(spark, sf), KEY, "features", "f", 12)
 
 
 def prep_fit_stats(spark, sf):
@@ -236,7 +238,7 @@ def assign_batches(spark, sf):
 
 
 def corruption_mask(spark, sf):
-    masked = views.corruption_mask(orders_matrix(spark, sf), KEY)
+    masked = views.corruption_mask(orders_matrix(spark, sf, spread=True), KEY)
     return masked.select(*KEY, *[F.col("mask")[i].cast("int").alias(f"m{i + 1}") for i in range(12)])
 
 
@@ -245,12 +247,12 @@ def orders_views(spark, sf):
 
 
 def corrupt_features(spark, sf):
-    return spread(orders_views(spark, sf), [*KEY, "batch"], "corrupted", "x", 12)
+    return cells(orders_views(spark, sf), [*KEY, "batch"], "corrupted", "x", 12)
 
 
 def l2_normalize(spark, sf):
     rows = orders_matrix(spark, sf).select(*KEY, vectors.l2_normalize(F.col("features")).alias("u"))
-    return spread(rows, KEY, "u", "u", 12)
+    return cells(rows, KEY, "u", "u", 12)
 
 
 def batch_similarity(spark, sf):
@@ -268,13 +270,13 @@ def nt_xent_loss(spark, sf):
 
 
 def encoder_forward(spark, sf):
-    return spread(fixed_latent(spark, sf), KEY, "latent", "h", 4)
+    return cells(fixed_latent(spark, sf), KEY, "latent", "h", 4)
 
 
 def model_roundtrip(spark, sf):
     path = new_path(spark, "encoder")
     fixed_encoder(spark, sf).save(path)
-    return spread(tb.ContrastiveEncoderModel.load(path).transform(table(spark, sf, "orders")), KEY, "latent", "h", 4)
+    return cells(tb.ContrastiveEncoderModel.load(path).transform(table(spark, sf, "orders", spread=True)), KEY, "latent", "h", 4)
 
 
 def encoder_param_count(spark, sf):
@@ -285,7 +287,7 @@ def encoder_param_count(spark, sf):
 
 
 def fit_extract(spark, sf):
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders", spread=True)
     encoder = tb.fit_extractor(orders, exclude_columns=NOT_FEATURES, key_columns=KEY)
     seen = encoder.history[-1]
     return encoder.transform(orders).agg(
@@ -299,7 +301,7 @@ def fit_extract(spark, sf):
 
 def validation_loss(spark, sf):
     encoder = tb.fit_extractor(
-        table(spark, sf, "orders"),
+        table(spark, sf, "orders", spread=True),
         exclude_columns=NOT_FEATURES,
         key_columns=KEY,
         create_validation=True,
@@ -313,7 +315,7 @@ def validation_loss(spark, sf):
 
 def extract_with_labels(spark, sf):
     latent = tb.extract_features(
-        table(spark, sf, "orders"), trained_encoder(spark, sf), want_labels=True, label_column=LABEL
+        table(spark, sf, "orders", spread=True), trained_encoder(spark, sf), want_labels=True, label_column=LABEL
     )
     return latent.groupBy(F.col(LABEL).alias("label")).agg(
         F.count("*").alias("n"),
@@ -324,7 +326,7 @@ def extract_with_labels(spark, sf):
 
 
 def extract_wide(spark, sf):
-    wide = trained_encoder(spark, sf).set_output(wide=True).transform(table(spark, sf, "orders"))
+    wide = trained_encoder(spark, sf).set_output(wide=True).transform(table(spark, sf, "orders", spread=True))
     dims = [c for c in wide.columns if c.startswith("extracted_dim_")]
     rest = ",".join(c for c in wide.columns if c not in dims)
     return wide.agg(
@@ -383,7 +385,7 @@ def classifier_roundtrip(spark, sf):
 
 def predict_classes(spark, sf):
     """Predictions of the stored classifier and the report that goes with them."""
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders", spread=True)
     path = new_path(spark, "classifier")
     tb.train_classifier_on_extracted_features(
         orders,
@@ -406,7 +408,7 @@ def label_encode(spark, sf):
 
 def softmax_rows(spark, sf):
     rows = fixed_latent(spark, sf).select(*KEY, vectors.softmax(F.col("latent")).alias("p"))
-    return spread(rows, KEY, "p", "p", 4)
+    return cells(rows, KEY, "p", "p", 4)
 
 
 def argmax_label(spark, sf):
@@ -430,7 +432,7 @@ def classification_report(spark, sf):
 
 def fitted_stage(spark, sf):
     """Rows dropped, levels fixed, one-hot, constants dropped, scaled, then encoded."""
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders", spread=True)
     numbers = columns.all_numeric("o_orderkey")
     model = tb.StagedPipeline(
         stages=[

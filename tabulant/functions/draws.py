@@ -4,6 +4,8 @@ Every draw is a slice of an md5 digest, so a retried task, another partition
 count or another engine gets the same number.
 """
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ def uniform(hexdigest: Column, index: int = 0) -> Column:
     return word(hexdigest, index) / F.lit(float(WORD))
 
 
+def chance(hexdigest: Column, rate: float) -> Column:
+    """``uniform(hexdigest) < rate``, decided on the hex digits without converting them."""
+    bound = math.ceil(rate * WORD)
+    if bound >= WORD:
+        return F.lit(True)
+    return F.substring(hexdigest, 1, 8) < F.lit(f"{max(bound, 0):08x}")
+
+
+def order(*parts, digits: int = 8) -> Column:
+    """Leading hex digits of a digest; they sort like the number they spell."""
+    return F.substring(digest(*parts), 1, digits)
+
+
 def row_key(cols) -> Column:
     """The key columns of a row as one string."""
     return F.concat_ws(":", *[F.col(c).cast("string") for c in cols])

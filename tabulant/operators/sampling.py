@@ -11,17 +11,17 @@ Keys must be unique; ``with_row_key`` derives one for tables that have none.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulant.functions.draws import draw, row_key
+from tabulant.functions.draws import order, row_key
 from tabulant.operators.prep import MAX_LEVELS
 
 HASH, RANGE = "__hash", "__range"
-CHUNK = 100_000
+CHUNK = 10_000
 
 
 def hashed(df: DataFrame, key_cols, *salt) -> DataFrame:
-    """Add the 32-bit hash of the key and its range number."""
-    h = draw(*salt, row_key(key_cols))
-    return df.select("*", h.alias(HASH)).withColumn(RANGE, F.shiftright(HASH, 16).cast("int"))
+    """Add the 32-bit hash of the key (8 hex digits) and its range (the first 4)."""
+    h = order(*salt, row_key(key_cols))
+    return df.select("*", h.alias(HASH)).withColumn(RANGE, F.substring(HASH, 1, 4))
 
 
 def cut_points(rows: DataFrame, by, quota) -> DataFrame:
@@ -117,15 +117,21 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     makes up a third of the table is never gathered in one place.
     """
     cols = df.columns
+    row = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    chunks = counted.select(
-        "*", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {CHUNK}"))).alias("__chunk")
-    ).repartition("__chunk", *cols)
+    # a fixed number of partitions: they are tiny now but not once they are expanded
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = (
+        counted.select(
+            "*", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {CHUNK}"))).alias("__chunk")
+        )
+        .repartition(parts, "__chunk", *cols)
+        .withColumn("__row", row)
+    )
     first = F.col("__chunk") * CHUNK
     last = F.least(first + CHUNK, F.col("__n")) - 1
-    copies = chunks.select(*cols, F.explode(F.sequence(first, last)).alias("copy"))
-    row = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    return copies.select(*cols, "copy", key_of(row, F.col("copy")).alias(name)).drop("copy")
+    copies = chunks.select(*cols, "__row", F.explode(F.sequence(first, last)).alias("__copy"))
+    return copies.select(*cols, key_of(F.col("__row"), F.col("__copy")).alias(name))
 
 
 def key_of(row: Column, copy: Column) -> Column:

@@ -3,22 +3,27 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.functions.draws import digest, row_key, uniform, word
+from tabulant.functions.draws import chance, row_key, word
+from tabulant.functions.vectors import bind
 
 RATE = 0.6
 
 
-def cell_digest(key: Column, feature: Column, seed: int, epoch: int) -> Column:
-    return digest(seed, "cell", epoch, key, feature)
+def row_prefix(key: Column, seed: int, epoch: int) -> Column:
+    return F.concat(F.lit(f"{seed}:cell:{epoch}:"), key, F.lit(":"))
+
+
+def cell_digest(prefix: Column, feature: Column) -> Column:
+    return F.md5(F.concat(prefix, feature.cast("string")))
 
 
 def corruption_mask(df: DataFrame, key_cols, rate: float = RATE, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Add ``mask array<boolean>``: each cell of ``features`` is hit with probability ``rate``."""
-    key = row_key(key_cols)
-    mask = F.transform(
-        "features", lambda _, j: uniform(cell_digest(key, j, seed, epoch)) < F.lit(rate)
-    )
-    return df.select("*", mask.alias("mask"))
+
+    def mask(prefix: Column) -> Column:
+        return F.transform("features", lambda _, j: chance(cell_digest(prefix, j), rate))
+
+    return df.select("*", bind(row_prefix(row_key(key_cols), seed, epoch), mask).alias("mask"))
 
 
 def corrupt(batched: DataFrame, key_cols, rate: float = RATE, seed: int = 0, epoch: int = 0) -> DataFrame:
@@ -36,12 +41,14 @@ def corrupt(batched: DataFrame, key_cols, rate: float = RATE, seed: int = 0, epo
     def view(row: Column) -> Column:
         key = F.concat_ws(":", *[row[c].cast("string") for c in key_cols])
 
-        def cell(value: Column, j: Column) -> Column:
-            drawn = cell_digest(key, j, seed, epoch)
+        def cells(prefix: Column) -> Column:
+            return F.transform(row["features"], lambda x, j: bind(cell_digest(prefix, j), lambda d: cell(d, x, j)))
+
+        def cell(drawn: Column, value: Column, j: Column) -> Column:
             donor = F.get(rows, (word(drawn, 1) % F.size(rows)).cast("int"))
-            return F.when(uniform(drawn) < F.lit(rate), F.get(donor["features"], j)).otherwise(value)
+            return F.when(chance(drawn, rate), F.get(donor["features"], j)).otherwise(value)
 
-        corrupted = F.transform(row["features"], cell)
+        corrupted = bind(row_prefix(key, seed, epoch), cells)
         fields = [row[c].alias(c) for c in ("pos", "features", *carried)]
         return F.struct(*fields, corrupted.alias("corrupted"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.functions.draws import draw
+from tabulant.functions.draws import draw, order
 from tabulant.plans.network import adam, named_views, rows_of
 from tabulant.sources.scratch import discard, materialize
 
@@ -30,8 +30,9 @@ RESULT = "shard int, rows bigint, loss double, steps bigint, state binary"
 
 
 def plan_shards(n: int, batch_size: int) -> int:
-    """Shards by table size alone, so results do not depend on the cluster."""
-    return max(1, min(MAX_SHARDS, n // (batch_size * BATCHES_PER_SHARD)))
+    """A power of two by table size alone, so results do not depend on the cluster."""
+    most = max(1, min(MAX_SHARDS, n // (batch_size * BATCHES_PER_SHARD)))
+    return 1 << (most.bit_length() - 1)
 
 
 def plan_rounds(n: int, batch_size: int, shards: int, local_steps: int) -> int:
@@ -134,7 +135,7 @@ def run_round(rows: DataFrame, objective, state, shards: int, batch_size: int, s
     shared = spark.sparkContext.broadcast(state)
     dealt = (
         rows.repartitionById(shards, F.col("shard"))
-        .withColumn("turn", draw(seed, "order", epoch, F.col("key")))
+        .withColumn("turn", order(seed, "order", epoch, F.col("key")))
         .sortWithinPartitions("turn", "key")
         .select(*[c for c in rows.columns if c in ("shard", "features", "label")])
     )
@@ -162,11 +163,13 @@ def train(
     shards: int | None = None,
     local_steps: int = LOCAL_STEPS,
     after_epoch=None,
+    stored: bool = False,
 ):
     """Fit ``objective`` on ``key``, ``features`` and, if present, ``label``.
 
-    Returns the final state and the loss per epoch.  The input is written once to the
-    shared scratch folder if it is read more than once, partitioned by round.
+    Returns the final state and the loss per epoch.  Input that is read more than once
+    is first written to the shared scratch folder, partitioned by round; input that
+    is ``stored`` already is written again only if there are several rounds.
     """
     spark = df.sparkSession
     shards = shards or plan_shards(n, batch_size)
@@ -181,7 +184,7 @@ def train(
     )
     path = None
     try:
-        if epochs * rounds > 1:
+        if rounds > 1 or (epochs > 1 and not stored):
             if rounds > 1:
                 rows = rows.repartition("slice", F.col("shard") % 8)
             rows, path = materialize(rows, "training", ["slice"] if rounds > 1 else [])

@@ -41,3 +41,10 @@ def test_softmax_is_stable_and_first_level_wins_ties(spark):
 def test_normalize_sum_of_zeros_is_uniform(spark):
     df = spark.createDataFrame([([0.0, 0.0, 0.0, 0.0],)], "v array<double>")
     assert df.select(vectors.normalize_sum(F.col("v"))).first()[0] == [0.25] * 4
+
+
+def test_chance_agrees_with_uniform(spark):
+    d = draws.digest("x", F.col("id"))
+    for rate in (0.0, 0.25, 0.6, 1.0):
+        off = spark.range(500).where(draws.chance(d, rate) != (draws.uniform(d) < F.lit(rate)))
+        assert off.count() == 0

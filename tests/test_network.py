@@ -119,7 +119,7 @@ def test_batches_never_leave_a_single_row(rows, sizes, block):
 
 def test_shard_and_round_plans_grow_with_the_table():
     assert rounds.plan_shards(100, 256) == 1
-    assert rounds.plan_shards(150_000, 256) == 9
+    assert rounds.plan_shards(150_000, 256) == 8
     assert rounds.plan_shards(10**12, 256) == rounds.MAX_SHARDS
-    assert rounds.plan_rounds(150_000, 256, 9, 256) == 1
+    assert rounds.plan_rounds(150_000, 256, 8, 256) == 1
     assert rounds.plan_rounds(10**9, 256, 4096, 256) == 4
