@@ -6,15 +6,22 @@ from pyspark.sql import functions as F
 from tabulant.operators.prep import MAX_LEVELS
 
 
-def label_levels(df: DataFrame, label: str, max_levels: int = MAX_LEVELS) -> list[str]:
-    """Distinct labels in their native order, as strings; null is no level."""
-    names = df.where(F.col(label).isNotNull()).select(label, F.col(label).cast("string").alias("__level"))
-    found = names.distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
+def label_counts(df: DataFrame, label: str, max_levels: int = MAX_LEVELS) -> tuple[dict[str, int], int]:
+    """Rows per label in the labels' native order, as strings, and rows without a label."""
+    names = df.select(label, F.col(label).cast("string").alias("__level"))
+    found = names.groupBy(label, "__level").agg(F.count(F.lit(1)).alias("__n")).limit(max_levels + 2).collect()
+    known = [row for row in found if row[label] is not None]
+    if len(known) > max_levels:
         raise ValueError(f"{label!r} has more than {max_levels} classes")
-    if not found:
+    if not known:
         raise ValueError(f"{label!r} holds no labels")
-    return [row["__level"] for row in sorted(found, key=lambda row: row[label])]
+    levels = {row["__level"]: row["__n"] for row in sorted(known, key=lambda row: row[label])}
+    return levels, sum(row["__n"] for row in found if row[label] is None)
+
+
+def label_levels(df: DataFrame, label: str, max_levels: int = MAX_LEVELS) -> list[str]:
+    """Distinct labels in their native order, as strings; null is no level."""
+    return list(label_counts(df, label, max_levels)[0])
 
 
 def label_index(label: Column, levels) -> Column:

@@ -1,9 +1,10 @@
 """Exact samples, splits and batches by the rank of a seeded hash.
 
-A row's rank is its place when all rows are sorted by (hash, key).  Ranks come from
-a histogram over the top 16 bits of the hash: at most 65,536 counts locate a rank,
-and only rows of one hash range ever have to be sorted together.  No operator here
-ranks a whole table, or a whole class, in one task.
+A row's rank is its place when all rows are sorted by (hash, key).  A histogram over
+the first four hex digits of the hash (at most 65,536 counts) finds the hash range that
+holds a wanted rank; only the rows of that range are sorted, and yield the exact cut.
+A sample is then a plain filter against the cut: one scan, no shuffle of the table, and
+no operator ranks a whole table, or a whole class, in one task.
 
 Keys must be unique; ``with_row_key`` derives one for tables that have none.
 """
@@ -24,7 +25,7 @@ def hashed(df: DataFrame, key_cols, *salt) -> DataFrame:
     return df.select("*", h.alias(HASH)).withColumn(RANGE, F.substring(HASH, 1, 4))
 
 
-def cut_points(rows: DataFrame, by, quota) -> DataFrame:
+def cut_ranges(rows: DataFrame, by, quota) -> DataFrame:
     """Per group: the hash range in which the quota is reached and how much it still owes."""
     counts = rows.groupBy(*by, RANGE).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(*by).orderBy(RANGE)
@@ -40,23 +41,32 @@ def cut_points(rows: DataFrame, by, quota) -> DataFrame:
     )
 
 
+def place(key_cols) -> Column:
+    """What rows are sorted by."""
+    return F.struct(F.col(HASH), *[F.col(c) for c in key_cols])
+
+
 def validation_split(
     df: DataFrame, proportion: float, key_cols, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """(train, validation) with exactly ``floor(proportion * n)`` validation rows.
 
-    One counting job, then two filters; the table itself is not shuffled.
+    Two small jobs over the key columns find the cut; both sides are filters.
     """
     rows = hashed(df, key_cols, seed, "split")
-    point = cut_points(rows, [], lambda total: F.floor(total * F.lit(float(proportion)))).first()
-    if point is None or point.quota >= point.total:
+    keys = rows.select(HASH, RANGE, *key_cols)
+    found = cut_ranges(keys, [], lambda total: F.floor(total * F.lit(float(proportion)))).first()
+    if found is None or found.quota >= found.total:
         raise ValueError(f"a split at {proportion} leaves one side empty")
     rank = F.row_number().over(Window.partitionBy(RANGE).orderBy(HASH, *key_cols))
-    edge = rows.where(F.col(RANGE) == point.cut).withColumn("__rank", rank)
-    below, above = rows.where(F.col(RANGE) < point.cut), rows.where(F.col(RANGE) > point.cut)
-    validation = below.unionByName(edge.where(F.col("__rank") <= point.owed).drop("__rank"))
-    train = above.unionByName(edge.where(F.col("__rank") > point.owed).drop("__rank"))
-    return train.drop(HASH, RANGE), validation.drop(HASH, RANGE)
+    edge = keys.where(F.col(RANGE) == found.cut).withColumn("__rank", rank)
+    last = edge.where(F.col("__rank") == found.owed).first()
+    cut = F.struct(
+        F.lit(last[HASH]).alias(HASH),
+        *[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in key_cols],
+    )
+    held = place(key_cols) <= cut
+    return rows.where(~held).drop(HASH, RANGE), rows.where(held).drop(HASH, RANGE)
 
 
 def stratified_sample(
@@ -67,19 +77,22 @@ def stratified_sample(
     Only the rows of one hash range per class are ranked, so a class that holds most
     of the table costs no more than the others.
     """
-    rows = hashed(df, key_cols, seed, "stratum")
-    cuts = cut_points(rows, [label], lambda total: F.bround(total * F.lit(fraction)))
-    found = cuts.limit(MAX_LEVELS + 1).collect()
+    spark = df.sparkSession
+    rows = hashed(df, key_cols, seed, "stratum").withColumn("__class", F.col(label))
+    keys = rows.select("__class", HASH, RANGE, *key_cols)
+    ranges = cut_ranges(keys, ["__class"], lambda total: F.bround(total * F.lit(fraction)))
+    found = ranges.limit(MAX_LEVELS + 1).collect()
     if len(found) > MAX_LEVELS:
         raise ValueError(f"{label!r} has more than {MAX_LEVELS} classes")
-    cuts = df.sparkSession.createDataFrame(found, cuts.schema).withColumnRenamed(label, "__class")
-    # found has at most MAX_LEVELS rows, so the broadcast is bounded
-    tagged = rows.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("__class")))
+    # one row per class, at most MAX_LEVELS, so both broadcasts are bounded
+    ranges = spark.createDataFrame(found, ranges.schema).withColumnRenamed("__class", "__of")
+    same = F.col("__class").eqNullSafe(F.col("__of"))
+    edge = keys.join(F.broadcast(ranges), same & (F.col(RANGE) == F.col("cut")))
     rank = F.row_number().over(Window.partitionBy("__class").orderBy(HASH, *key_cols))
-    edge = tagged.where(F.col(RANGE) == F.col("cut")).withColumn("__rank", rank)
-    sample = tagged.where(F.col(RANGE) < F.col("cut")).unionByName(
-        edge.where(F.col("__rank") <= F.col("owed")).drop("__rank")
-    )
+    cuts = edge.withColumn("__rank", rank).where("__rank = owed")
+    cuts = cuts.select(F.col("__class").alias("__of"), place(key_cols).alias("__cut"))
+    cuts = spark.createDataFrame(cuts.collect(), cuts.schema)
+    sample = rows.join(F.broadcast(cuts), same).where(place(key_cols) <= F.col("__cut"))
     return sample.select(*df.columns)
 
 
@@ -105,7 +118,7 @@ def assign_batches(
     ranked = hash_rank(df, key_cols, seed, "batch", epoch)
     return ranked.select(
         *df.columns,
-        F.floor(F.col("rank") / batch_size).alias("batch"),
+        F.expr(f"rank div {batch_size}").alias("batch"),
         (F.col("rank") % batch_size).cast("int").alias("pos"),
     )
 

@@ -80,13 +80,13 @@ class LatentClassifier(Estimator):
         get = self.getOrDefault
         spark, label = dataset.sparkSession, get("labelCol")
         df, keys, _ = keyed(dataset, get("keyCols"))
-        missing = df.where(F.col(label).isNull()).count()
+        if get("small"):
+            df = stratified_sample(df.where(F.col(label).isNotNull()), label, keys, SMALL_FRACTION, get("seed"))
+        counts, missing = evaluate.label_counts(df, label)
         if missing:
             warnings.warn(f"{missing} rows without a label are left out", stacklevel=2)
             df = df.where(F.col(label).isNotNull())
-        if get("small"):
-            df = stratified_sample(df, label, keys, SMALL_FRACTION, get("seed"))
-        levels = evaluate.label_levels(df, label)
+        levels = list(counts)
         if self.isSet("numClasses") and get("numClasses") != len(levels):
             raise ValueError(f"{get('numClasses')} classes expected, {len(levels)} found in {label!r}")
         if len(levels) < 2:
@@ -101,7 +101,7 @@ class LatentClassifier(Estimator):
         # every head reads the latent rows several times
         rows, path = materialize(rows, "latent")
         try:
-            head = self._fit_head(rows, len(levels))
+            head = self._fit_head(rows, len(levels), sum(counts.values()))
         finally:
             discard(spark, path)
         model = LatentClassifierModel(self.encoder, head, levels)
@@ -110,15 +110,14 @@ class LatentClassifier(Estimator):
             model._set(featuresCol=get("featuresCol"))
         return model
 
-    def _fit_head(self, rows, classes):
+    def _fit_head(self, rows, classes, n):
         get, seed = self.getOrDefault, self.getOrDefault("seed")
         if self.choice == "MLP":
-            facts = rows.agg(F.count("*").alias("n"), F.max(F.size("latent")).alias("width")).first()
             return MlpHead.fit(
                 rows,
-                facts["width"],
+                rows.select(F.size("latent")).first()[0],
                 classes,
-                facts["n"],
+                n,
                 epochs=get("epochs"),
                 dropout=get("dropout"),
                 batch_size=get("batchSize"),
