@@ -126,21 +126,33 @@ def brand_levels(spark, sf):
     return part, sampling.validation_split(part, 0.01, ["p_partkey"])[1]
 
 
+def urgent_orders(spark, sf) -> DataFrame:
+    """Orders with a class that follows from the priority, so that every head can learn it."""
+    urgency = (
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "high")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", "medium")
+        .otherwise("low")
+    )
+    return table(spark, sf, "orders", spread=True).withColumn("urgency", urgency)
+
+
 def head_summary(spark, sf, **choice) -> DataFrame:
-    """Per true class: rows, rows whose probabilities miss 1, predictions that are no class."""
-    orders = table(spark, sf, "orders", spread=True)
+    orders = urgent_orders(spark, sf)
     model = tb.LatentClassifier(
-        encoder=trained_encoder(spark, sf), labelCol=LABEL, keyCols=KEY, **choice
+        encoder=trained_encoder(spark, sf), labelCol="urgency", keyCols=KEY, **choice
     ).fit(orders)
     return summarize(model.transform(orders), model.levels)
 
 
 def summarize(predictions: DataFrame, levels) -> DataFrame:
+    """Per true class: rows, probabilities that miss 1, predictions that are no class, 9 of 10 right."""
     off = F.abs(vectors.total(F.col("probability")) - 1.0) > 1e-5
-    return predictions.groupBy(F.col(LABEL).alias("label")).agg(
+    right = F.count_if(F.col("prediction") == F.col("urgency"))
+    return predictions.groupBy(F.col("urgency").alias("label")).agg(
         F.count("*").alias("n"),
         F.count_if(off | (F.size("probability") != len(levels))).alias("bad_probability"),
         F.count_if(~F.coalesce(F.col("prediction").isin(levels), F.lit(False))).alias("no_class"),
+        (right >= 0.9 * F.count("*")).alias("learned"),
     )
 
 
@@ -342,7 +354,7 @@ def extract_wide(spark, sf):
 
 
 def classify_mlp(spark, sf):
-    return head_summary(spark, sf, kind="MLP", epochs=2)
+    return head_summary(spark, sf, kind="MLP", epochs=10)
 
 
 def classify_custom(spark, sf):
@@ -366,8 +378,11 @@ def classify_tree(spark, sf):
 
 
 def classify_small(spark, sf):
-    """The quick run: a tree trained on 5 percent of every class, applied to all rows."""
-    return head_summary(spark, sf, kind="C50", small=True)
+    """The quick run: a tree trained on 5 percent of every class, applied to all rows.
+
+    It is not expected to learn much, so only the shape of its output is reported.
+    """
+    return head_summary(spark, sf, kind="C50", small=True).drop("learned")
 
 
 def classify_knn(spark, sf):
@@ -385,19 +400,21 @@ def classifier_roundtrip(spark, sf):
 
 def predict_classes(spark, sf):
     """Predictions of the stored classifier and the report that goes with them."""
-    orders = table(spark, sf, "orders", spread=True)
+    orders = urgent_orders(spark, sf)
     path = new_path(spark, "classifier")
     tb.train_classifier_on_extracted_features(
         orders,
         trained_encoder(spark, sf),
-        label_column=LABEL,
+        label_column="urgency",
         num_classes=3,
         classification_model_type="C50",
         key_columns=KEY,
         save_path=path,
     )
     _, report = tb.downstream_prediction(orders, path, return_classification_report=True)
-    return report.groupBy("real").agg(F.sum("n").alias("n"), F.count("*").alias("cells"))
+    return report.groupBy("real").agg(
+        F.sum("n").alias("n"), F.count("*").alias("cells"), (F.max("accuracy") >= 90.0).alias("learned")
+    )
 
 
 def label_encode(spark, sf):

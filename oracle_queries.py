@@ -150,9 +150,12 @@ def neighbours() -> str:
     GROUP BY p.label, r.label"""
 
 
-HEAD = """
-    SELECT o_orderstatus AS label, count(*) AS n, 0::BIGINT AS bad_probability, 0::BIGINT AS no_class
-    FROM orders GROUP BY o_orderstatus"""
+URGENCY = """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high'
+                 WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END"""
+HEAD = f"""
+    SELECT {URGENCY} AS label, count(*) AS n, 0::BIGINT AS bad_probability, 0::BIGINT AS no_class,
+           true AS learned
+    FROM orders GROUP BY ALL"""
 
 
 def statements() -> dict[str, str]:
@@ -270,11 +273,11 @@ def statements() -> dict[str, str]:
         "classify_gbt": HEAD,
         "classify_svm": HEAD,
         "classify_tree": HEAD,
-        "classify_small": HEAD,
+        "classify_small": f"SELECT label, n, bad_probability, no_class FROM ({HEAD})",
         "classify_knn": knn,
         "classifier_roundtrip": knn,
-        "predict_classes": """
-            SELECT o_orderstatus AS real, count(*) AS n, 3::BIGINT AS cells FROM orders GROUP BY o_orderstatus""",
+        "predict_classes": f"""
+            SELECT {URGENCY} AS real, count(*) AS n, 3::BIGINT AS cells, true AS learned FROM orders GROUP BY ALL""",
         "label_encode": f"""
             WITH levels AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS i
                             FROM (SELECT DISTINCT p_brand FROM ({sample})))

@@ -5,6 +5,8 @@ Each pass counts the values of a shrinking interval in a fixed number of bins
 wanted rank.  It ends when a bin holds one distinct value.
 """
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,34 +15,27 @@ BINS = 1024
 
 def medians(df: DataFrame, cols) -> dict[str, float]:
     """Median per column; the mean of the two middle values for an even count."""
-    wanted = {}
-    values = {}
     aggs = []
     for i, name in enumerate(cols):
         x = _number(name)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
+    # (column, lo, hi) -> the ranks wanted inside that interval
+    pending, middle = {}, {name: [] for name in cols}
     for i, name in enumerate(cols):
-        n = row[f"n{i}"]
+        n, lo, hi = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
         if n == 0:
             raise ValueError(f"column {name!r} has no values")
-        for rank in {(n - 1) // 2, n // 2}:
-            wanted[(i, rank)] = (row[f"lo{i}"], row[f"hi{i}"], rank)
-
-    while wanted:
-        open_now = {}
-        for target, (lo, hi, rank) in wanted.items():
-            if lo == hi:
-                values[target] = lo
-            else:
-                open_now[target] = (lo, hi, rank)
-        wanted = _narrow(df, cols, open_now) if open_now else {}
+        if math.isinf(lo) or math.isinf(hi):
+            raise ValueError(f"column {name!r} holds infinite values")
+        pending[name, lo, hi] = [(n - 1) // 2, n // 2]
 
-    out = {}
-    for i, name in enumerate(cols):
-        found = [v for (c, _), v in values.items() if c == i]
-        out[name] = sum(found) / len(found)
-    return out
+    while pending:
+        for name, lo, hi in [key for key in pending if key[1] == key[2]]:
+            middle[name] += [lo] * len(pending.pop((name, lo, hi)))
+        if pending:
+            pending = _narrow(df, pending)
+    return {name: (low / 2 + high / 2) if low != high else low for name, (low, high) in middle.items()}
 
 
 def _number(name: str):
@@ -48,18 +43,16 @@ def _number(name: str):
     return F.when(~F.isnan(value), value)
 
 
-def _narrow(df: DataFrame, cols, targets: dict) -> dict:
-    """One pass: replace each (lo, hi, rank) by the bin around its rank."""
-    order = list(targets)
-    cells = []
-    for t, key in enumerate(order):
-        lo, hi, _ = targets[key]
-        x = _number(cols[key[0]])
+def _narrow(df: DataFrame, pending: dict) -> dict:
+    """One pass: replace every interval by the bins that hold its ranks."""
+    intervals, cells = list(pending), []
+    for t, (name, lo, hi) in enumerate(intervals):
+        x = _number(name)
         # halves keep the width finite for intervals as wide as the double range
-        place = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
-        bin_ = F.least(F.floor(place * BINS), F.lit(BINS - 1))
-        inside = x.between(lo, hi)
-        cells.append(F.when(inside, F.struct(F.lit(t).alias("t"), bin_.alias("bin"), x.alias("x"))))
+        share = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+        bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+        cell = F.struct(F.lit(t).alias("t"), bin_.alias("bin"), x.alias("x"))
+        cells.append(F.when(x.between(lo, hi), cell))
     counted = (
         df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
         .groupBy("cell.t", "cell.bin")
@@ -67,11 +60,12 @@ def _narrow(df: DataFrame, cols, targets: dict) -> dict:
         .collect()
     )
     narrowed = {}
-    for t, key in enumerate(order):
-        rank = targets[key][2]
-        for r in sorted((r for r in counted if r.t == t), key=lambda r: r.bin):
-            if rank < r.n:
-                narrowed[key] = (r.lo, r.hi, rank)
-                break
-            rank -= r.n
+    for t, key in enumerate(intervals):
+        bins = sorted((r for r in counted if r.t == t), key=lambda r: r.bin)
+        for rank in pending[key]:
+            for r in bins:
+                if rank < r.n:
+                    narrowed.setdefault((key[0], r.lo, r.hi), []).append(rank)
+                    break
+                rank -= r.n
     return narrowed
