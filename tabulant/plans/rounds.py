@@ -129,17 +129,21 @@ def average_group(table: pa.Table) -> pa.Table:
     )
 
 
-def run_round(rows: DataFrame, objective, state, shards: int, batch_size: int, seed, epoch, turn):
-    """One pass over ``rows`` on all shards; returns the averaged state, rows and loss."""
-    spark = rows.sparkSession
+def deal(rows: DataFrame, shards: int) -> DataFrame:
+    """One partition per shard."""
+    return rows.repartitionById(shards, F.col("shard"))
+
+
+def run_round(dealt: DataFrame, objective, state, shards: int, batch_size: int, seed, epoch, turn):
+    """One pass over all shards; returns the averaged state, rows and loss."""
+    spark = dealt.sparkSession
     shared = spark.sparkContext.broadcast(state)
-    dealt = (
-        rows.repartitionById(shards, F.col("shard"))
-        .withColumn("turn", order(seed, "order", epoch, F.col("key")))
+    ordered = (
+        dealt.withColumn("turn", order(seed, "order", epoch, F.col("key")))
         .sortWithinPartitions("turn", "key")
-        .select(*[c for c in rows.columns if c in ("shard", "features", "label")])
+        .select(*[c for c in dealt.columns if c in ("shard", "features", "label")])
     )
-    states = dealt.mapInArrow(train_shard(objective, shared, batch_size, (seed, epoch, turn)), RESULT)
+    states = ordered.mapInArrow(train_shard(objective, shared, batch_size, (seed, epoch, turn)), RESULT)
     if shards > DIRECT_STATES:
         # two levels: each group averages about sqrt(shards) states
         groups = math.isqrt(shards)
@@ -182,25 +186,31 @@ def train(
         (lot % shards).cast("int").alias("shard"),
         (F.floor(lot / shards) % rounds).cast("int").alias("slice"),
     )
-    path = None
+    path, kept = None, None
     try:
         if rounds > 1 or (epochs > 1 and not stored):
             if rounds > 1:
                 rows = rows.repartition("slice", F.col("shard") % 8)
             rows, path = materialize(rows, "training", ["slice"] if rounds > 1 else [])
+        if epochs > 1 and rounds == 1:
+            # dealt once; lost blocks come back from the stored table
+            kept = deal(rows, shards).persist()
         state = objective.net.initial(np.random.default_rng(seed))
         history = []
         for epoch in range(epochs):
             seen, loss = 0, 0.0
             for turn in range(rounds):
                 part = rows.where(F.col("slice") == turn) if rounds > 1 else rows
+                dealt = deal(part, shards) if kept is None else kept
                 state, took, cost = run_round(
-                    part, objective, state, shards, batch_size, seed, epoch, turn
+                    dealt, objective, state, shards, batch_size, seed, epoch, turn
                 )
                 seen, loss = seen + took, loss + cost
             history.append({"epoch": epoch, "rows": seen, "loss": loss / seen})
             if after_epoch is not None:
                 history[-1].update(after_epoch(state, epoch))
     finally:
+        if kept is not None:
+            kept.unpersist()
         discard(spark, path)
     return state, history
