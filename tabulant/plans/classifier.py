@@ -153,7 +153,11 @@ class LatentClassifierModel(Model, Stored):
             latent = self.encoder.encode(dataset.sparkSession)
         else:
             latent = F.col(self.getOrDefault("featuresCol"))
-        scored = self.head.score(dataset.withColumn(LATENT, latent), LATENT)
+        if isinstance(self.head, KnnHead):
+            rows, keys, _ = keyed(dataset, self.head.key_cols)
+            scored = self.head.score(rows.withColumn(LATENT, latent), LATENT, keys)
+        else:
+            scored = self.head.score(dataset.withColumn(LATENT, latent), LATENT)
         return scored.select(
             *dataset.columns,
             argmax_label(F.col("probability"), self.levels).alias("prediction"),

@@ -145,3 +145,14 @@ def test_tied_votes_go_to_the_lowest_level(spark):
     train = spark.createDataFrame([(i, "ab"[i % 2], [float(i // 2)]) for i in range(4)], "id bigint, label string, v array<double>")
     model = tb.LatentClassifier(kind="KNN", labelCol="label", featuresCol="v", keyCols=["id"], neighbours=4).fit(train)
     assert {r.prediction for r in model.transform(train).collect()} == {"a"}
+
+
+def test_neighbours_without_keys(spark, clusters):
+    rows = clusters.where("id < 150").select("label", F.array("x0", "x1", "x4").alias("v"))
+    rows = rows.unionByName(rows.limit(40))
+    model = tb.LatentClassifier(kind="KNN", labelCol="label", featuresCol="v").fit(rows)
+    out = model.transform(rows)
+    assert out.columns == ["label", "v", "prediction", "probability"]
+    assert out.select("label", "v").exceptAll(rows).count() == 0
+    assert out.count() == rows.count()
+    assert out.where("prediction = label").count() > 0.95 * rows.count()

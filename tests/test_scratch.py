@@ -1,0 +1,50 @@
+import os
+from types import SimpleNamespace
+
+import pytest
+
+from tabulant.sources import scratch
+from tabulant.sources.tables import table
+
+
+def session(master, folder=None):
+    """Just the settings that decide on the folder."""
+    settings = {} if folder is None else {"spark.checkpoint.dir": folder}
+    conf = SimpleNamespace(get=lambda k, d: settings.get(k, d), set=settings.__setitem__)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
+def test_the_configured_folder_is_used():
+    assert scratch.shared_dir(session("yarn", "hdfs://nn/scratch/")) == "hdfs://nn/scratch"
+    assert scratch.shared_dir(session("local[2]", "/shared")) == "/shared"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(session("spark://host:7077"))
+
+
+def test_local_mode_makes_one_folder_per_session():
+    local = session("local[2]")
+    first = scratch.shared_dir(local)
+    assert os.path.isdir(first)
+    assert scratch.shared_dir(local) == first
+
+
+def test_materialize_and_discard(spark):
+    df, path = scratch.materialize(spark.range(100).selectExpr("id", "id % 3 as part"), "rows", ["part"])
+    assert df.where("part = 1").count() == 33
+    assert os.path.isdir(path)
+    scratch.discard(spark, path)
+    assert not os.path.exists(path)
+    scratch.discard(spark, None)
+
+
+def test_small_files_are_spread_and_large_tables_left_alone(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(100).repartition(32).write.option("parquet.block.size", 1).parquet(str(tmp_path / "many.parquet"))
+    assert table(spark, str(tmp_path), "one").rdd.getNumPartitions() == 1
+    assert table(spark, str(tmp_path), "one", spread=True).rdd.getNumPartitions() == 4
+    many = table(spark, str(tmp_path), "many")
+    assert "Repartition" not in table(spark, str(tmp_path), "many", spread=True)._jdf.queryExecution().logical().toString()
+    assert many.rdd.getNumPartitions() >= 4
