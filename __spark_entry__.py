@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -534,9 +535,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return encoder_forward(spark, "/root/testdata/sf0.001")
 
 
+# the pipeline operators come and go as one subpackage
+if importlib.util.find_spec("tabulant.llm"):
+    from tabulant.llm import queries as llm_queries
+else:
+    llm_queries = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    own = {f.__name__: f for f in QUERIES}
+    return own | llm_queries.queries() if llm_queries else own
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements()
+    own = oracle_queries.statements()
+    return own | llm_queries.oracle_sql() if llm_queries else own
