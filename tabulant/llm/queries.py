@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tabulant.llm import licenses, packing, shards, urls
+from tabulant.llm import chunks, decontaminate, licenses, packing, quality, shards, simhash, tokens, toxicity, urls
 from tabulant.sources.tables import table
 
 
@@ -10,10 +10,42 @@ def op1_license_scan(spark, sf):
     return licenses.license_report(licenses.scan_licenses(table(spark, sf, "documents")))
 
 
+def op2_token_counts(spark, sf):
+    return tokens.token_counts(table(spark, sf, "documents"))
+
+
+def op3_quality(spark, sf):
+    found = quality.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.drop("text_hash")
+
+
+def op4_simhash_dedup(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 def op5_url_filter(spark, sf):
     return urls.judge_urls(table(spark, sf, "pages"))
 
 
+def op6_decontamination(spark, sf):
+    found = decontaminate.benchmark_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontaminate.contamination(*found).drop("text_hash")
+
+
+def op7_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_best_fit_packing(spark, sf):
     """Lengths are UTF-8 bytes, that is byte-level tokens, and one separator."""
     docs = table(spark, sf, "documents").select(
@@ -25,6 +57,10 @@ def op8_best_fit_packing(spark, sf):
     return packing.pack(docs)
 
 
+def op9_document_fingerprints(spark, sf):
+    return chunks.fingerprints(table(spark, sf, "documents"))
+
+
 def op10_sharding(spark, sf):
     number = 16
     path = shards.write_shards(table(spark, sf, "documents"), shards=number)
@@ -40,7 +76,18 @@ def op10_sharding(spark, sf):
     )
 
 
-QUERIES = [op1_license_scan, op5_url_filter, op8_best_fit_packing, op10_sharding]
+QUERIES = [
+    op1_license_scan,
+    op2_token_counts,
+    op3_quality,
+    op4_simhash_dedup,
+    op5_url_filter,
+    op6_decontamination,
+    op7_toxicity,
+    op8_best_fit_packing,
+    op9_document_fingerprints,
+    op10_sharding,
+]
 
 
 def queries():
