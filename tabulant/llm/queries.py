@@ -64,16 +64,16 @@ def op9_document_fingerprints(spark, sf):
 def op10_sharding(spark, sf):
     number = 16
     path = shards.write_shards(table(spark, sf, "documents"), shards=number)
-    rows = shards.read_shards(spark, path)
-    return rows.select(
-        "doc_id",
+    rows = shards.read_shards(spark, path).select(
+        F.col("key").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
-        "slot",
-        shards.shard_of(F.col("doc_id"), number + 1).alias("grown_shard"),
+        "bucket",
+        "pos",
     )
+    return shards.with_slots(rows).withColumn("grown_shard", shards.shard_of(F.col("doc_id"), number + 1))
 
 
 QUERIES = [

@@ -107,16 +107,21 @@ def write_shards(
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(rows.dtypes)["key"]]
     schema = pa.schema([("key", kind), ("text", pa.string()), ("shard", pa.int32()), ("bucket", pa.int32()), ("pos", pa.int64())])
     spelled = f"key {dict(rows.dtypes)['key']}, text string, shard int, bucket int, pos bigint"
-    dealt.mapInArrow(_shuffle_buckets(bucket_bytes, seed, schema), spelled).write.parquet(path)
+    dealt.mapInArrow(_shuffle_buckets(bucket_bytes, seed, schema), spelled).write.option("compression", "zstd").parquet(path)
     return path
 
 
-def read_shards(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The records of written shards with their ``slot``, gapless from 0 in every shard."""
-    rows = spark.read.parquet(path)
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The written records, see ``write_shards``."""
+    return spark.read.parquet(path)
+
+
+def with_slots(rows: DataFrame) -> DataFrame:
+    """Records with their ``slot``, gapless from 0 in every shard.
+
+    Only the columns of ``rows`` travel: select what is needed of the texts before.
+    """
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.expr("coalesce(sum(n) over (partition by shard order by bucket rows between unbounded preceding and 1 preceding), 0)")
     starts = counts.select("bucket", before.alias("start"))
-    return rows.join(starts, "bucket").select(
-        F.col("key").alias(key), F.col("text").alias(text), "shard", (F.col("start") + F.col("pos")).alias("slot")
-    )
+    return rows.join(starts, "bucket").withColumn("slot", F.col("start") + F.col("pos")).drop("start", "pos", "bucket")
