@@ -118,13 +118,11 @@ def template_tree(
     merged = leaves.groupBy("host", "parent", "branch").agg(
         F.sum("labelled").alias("branch_n"), F.sum("blocked").alias("branch_b")
     )
-    prior = tree.agg(
-        ((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("prior")
-    )
-    smoothed = (F.col("branch_b") + prior_weight * F.col("prior")) / (F.col("branch_n") + prior_weight)
+    seen = tree.agg(F.sum("blocked"), F.sum("labelled")).first()
+    prior = ((seen[0] or 0) + 1) / ((seen[1] or 0) + 2)
+    smoothed = (F.col("branch_b") + prior_weight * prior) / (F.col("branch_n") + prior_weight)
     leaves = (
         leaves.join(merged, ["host", "parent", "branch"])
-        .join(F.broadcast(prior))  # one row
         .select("host", "parent", "template", smoothed.alias("purity"))
     )
     return tree.join(leaves, ["host", "parent", "template"]).select("host", "shape", "template", "purity")
