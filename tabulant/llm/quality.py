@@ -17,14 +17,17 @@ Tokens are runs of letters and digits or of other signs; a token equal to the on
 
 import math
 import re
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.sources.scratch import materialize
+from tabulant.sources.scratch import discard, materialize
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 8000
@@ -114,7 +117,45 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, small: int
     return high
 
 
-def resample(
+@dataclass
+class Sampler:
+    """Fitted log ratios and the least draw that is selected (None: none is)."""
+
+    ratios: Broadcast
+    least: float | None
+    temperature: float
+    seed: int
+
+    def weights(self, text: Column) -> Column:
+        """``(n_ngrams, log_weight)`` of a text; a null one is empty."""
+        shared = self.ratios
+
+        @F.pandas_udf("n_ngrams bigint, log_weight double")
+        def weighed(texts: pd.Series) -> pd.DataFrame:
+            own = [ngrams(t) for t in texts]
+            return pd.DataFrame(
+                {"n_ngrams": [len(b) for b in own], "log_weight": [float(shared.value[b].sum()) for b in own]}
+            )
+
+        return weighed(F.coalesce(text, F.lit("")))
+
+    def draw(self, key: Column, rate: Column) -> Column:
+        """The rate plus Gumbel noise that is a function of the key."""
+        uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(self.seed + 1), key), 11) + 0.5) / float(1 << 53)
+        return rate - self.temperature * F.log(-F.log(uniform))
+
+    def selected(self, key: Column, text: Column) -> Column:
+        """Whether a document belongs to the sample, from its own row alone."""
+        if self.least is None:
+            return F.lit(False)
+        return self.draw(key, rate_of(self.weights(text))) >= self.least
+
+
+def rate_of(weights: Column) -> Column:
+    return weights["log_weight"] / (weights["n_ngrams"] + PRIOR_NGRAMS)
+
+
+def fit_sampler(
     docs: DataFrame,
     labels: DataFrame,
     key: str = "doc_id",
@@ -125,44 +166,40 @@ def resample(
     least_ratio: float = LEAST_RATIO,
     temperature: float = TEMPERATURE,
     seed: int = SEED,
-) -> DataFrame:
-    """``(key, text_hash, n_ngrams, log_weight, rate, draw, selected)`` per row of ``docs``.
+) -> Sampler:
+    """Both models over ``docs`` and the draw of the k-th document.
 
-    ``draw`` is the rate plus ``temperature`` times Gumbel noise; the ``k`` largest are selected, and
-    those that tie with the last.  A text without n-grams has log weight and rate 0.  Null keys share one
-    noise.  Without good labels all rates are 0.  Other columns are not read.
+    Labels other than 0 and 1 are ignored; of several labels of a key the lower counts.  Without good
+    labels all rates are 0.
     """
-    spark = docs.sparkSession
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(
-        F.col("key").isNotNull() & F.col("label").isin(0, 1)
-    )
-    known = known.groupBy("key").agg(F.min("label").alias("label"))
-    good = known.where("label = 1").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(target_rows)
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    known = known.where(F.col("key").isNotNull() & F.col("label").isin(0, 1))
+    good = known.groupBy("key").agg(F.min("label").alias("label")).where("label = 1")
+    good = good.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(target_rows)
     good = F.broadcast(good.select("key", F.lit(True).alias("target")))  # at most target_rows rows
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     raw, target = bucket_counts(texts.join(good, "key", "left").select("text", F.coalesce("target", F.lit(False))))
     ratios = log_ratios(raw, target) if target.any() else np.zeros(BUCKETS)
-    shared = spark.sparkContext.broadcast(ratios)  # BUCKETS numbers
+    sampler = Sampler(docs.sparkSession.sparkContext.broadcast(ratios), None, temperature, seed)  # BUCKETS numbers
+    rated = texts.select("key", rate_of(sampler.weights(F.col("text"))).alias("rate"))
+    drawn, path = materialize(rated.withColumn("draw", sampler.draw(F.col("key"), F.col("rate"))), "draws")
+    if k is None:
+        k = drawn.where(F.col("rate") >= math.log(least_ratio)).count()
+    sampler.least = kth_largest(drawn, "draw", k)
+    discard(docs.sparkSession, path)
+    return sampler
 
-    def run(batches):
-        for batch in batches:
-            own = [ngrams(t) for t in batch.column(1).to_pylist()]
-            weights = pa.array([float(shared.value[b].sum()) for b in own], pa.float64())
-            sizes = pa.array([len(b) for b in own], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), sizes, weights], names=["key", "text_hash", "n_ngrams", "log_weight"]
-            )
 
-    kind = dict(texts.dtypes)["key"]
-    weighed = texts.select("key", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        run, f"key {kind}, text_hash bigint, n_ngrams bigint, log_weight double"
-    )
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "key"), 11) + 0.5) / float(1 << 53)
-    noise = -F.log(-F.log(uniform))
-    weighed = weighed.withColumn("rate", F.col("log_weight") / (F.col("n_ngrams") + PRIOR_NGRAMS))
-    weighed, _ = materialize(weighed.withColumn("draw", F.col("rate") + temperature * noise), "weights")
-    if k is None:
-        k = weighed.where(F.col("rate") >= math.log(least_ratio)).count()
-    least = kth_largest(weighed, "draw", k)
-    chosen = F.lit(False) if least is None else F.col("draw") >= least
-    return weighed.withColumn("selected", chosen).withColumnRenamed("key", key)
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``(key, n_ngrams, log_weight, rate, draw, selected)`` per row of ``docs``; see ``fit_sampler``.
+
+    ``draw`` is the rate plus Gumbel noise; the ``k`` largest are selected, and those that tie with the
+    last.  A text without n-grams has log weight and rate 0.  Null keys share one noise.  Other columns
+    are not read; an empty table gives an empty result.
+    """
+    sampler = fit_sampler(docs, labels, key, text, **options)
+    rows = docs.select(F.col(key).alias("key"), sampler.weights(F.col(text)).alias("w"))
+    rows = rows.select("key", "w.*", rate_of(F.col("w")).alias("rate"))
+    rows = rows.withColumn("draw", sampler.draw(F.col("key"), F.col("rate")))
+    chosen = F.lit(False) if sampler.least is None else F.col("draw") >= sampler.least
+    return rows.withColumn("selected", chosen).withColumnRenamed("key", key)

@@ -2,7 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from tabulant.llm import chunks, decontaminate, licenses, packing, quality, shards, simhash, tokens, toxicity, urls
+import corpus_pipeline
+from tabulant.llm import (
+    chunks,
+    decontaminate,
+    licenses,
+    oracle,
+    packing,
+    quality,
+    shards,
+    simhash,
+    tokens,
+    toxicity,
+    urls,
+)
 from tabulant.sources.tables import table
 
 
@@ -15,8 +28,7 @@ def op2_token_counts(spark, sf):
 
 
 def op3_quality(spark, sf):
-    found = quality.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return found.drop("text_hash")
+    return quality.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 def op4_simhash_dedup(spark, sf):
@@ -47,14 +59,7 @@ def op7_toxicity(spark, sf):
 
 
 def op8_best_fit_packing(spark, sf):
-    """Lengths are UTF-8 bytes, that is byte-level tokens, and one separator."""
-    docs = table(spark, sf, "documents").select(
-        "doc_id",
-        "source",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("length"),
-        F.xxhash64("text").alias("cluster"),
-    )
-    return packing.pack(docs)
+    return packing.pack(packing.measured(table(spark, sf, "documents")))
 
 
 def op9_document_fingerprints(spark, sf):
@@ -91,8 +96,8 @@ QUERIES = [
 
 
 def queries():
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {}
+    return oracle.statements()

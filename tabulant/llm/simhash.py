@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulant.llm.components import components
@@ -28,6 +28,7 @@ BITS, BYTES, DISTANCE = 64, 8, 4
 SHINGLE = 4
 HASH_SEED = 42
 LIST = 64
+COPY_SHINGLE, COPY_DISTANCE = 5, 10
 POSITIONS = list(combinations(range(BYTES), BYTES - DISTANCE))
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -55,9 +56,12 @@ def shingles(text: str, size: int = SHINGLE) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[:-size].tolist(), (starts[size:] - 1).tolist())]
 
 
-def simhash(text: str, size: int = SHINGLE) -> int:
-    """The 64 bits set in over half of the shingles' XXH64; 0 without shingles."""
-    parts = shingles(text, size)
+def distinct_words(text: str, _=None) -> list[bytes]:
+    return sorted(set(text.encode().lower().split()))
+
+
+def majority(parts: list[bytes]) -> int:
+    """The 64 bits set in over half of the parts' XXH64; 0 without parts."""
     if not parts:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -67,135 +71,242 @@ def simhash(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts.ravel() > len(parts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``(key, fp)`` per row of ``docs``, the fingerprint as a signed long; a null text is empty."""
+def simhash(text: str, size: int = SHINGLE) -> int:
+    return majority(shingles(text, size))
+
+
+def entry_of(fp: np.ndarray, fine: np.ndarray | None) -> np.ndarray:
+    """The number of an entry: its fingerprint, mixed with the fine one if there is one."""
+    if fine is None:
+        return fp
+    with np.errstate(over="ignore"):
+        mixed = (fp.view(np.uint64) ^ (fine.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, fine_size: int | None = None
+) -> DataFrame:
+    """``(key, text_hash, fp, fine, entry)`` per row of ``docs``; a null text is empty.
+
+    Without ``fine_size`` the fingerprint is that of the shingles of ``size`` words, and there is no fine
+    one.  With it the fingerprint is that of the distinct words, and the fine one that of shingles of
+    ``fine_size`` words.
+    """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    def signed_array(values):
+        return np.array(values, np.uint64).view(np.int64)
+
     def run(batches):
         for batch in batches:
-            fps = np.array([simhash(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["key", "fp"])
+            texts = batch.column(1).to_pylist()
+            if fine_size is None:
+                fp, fine = signed_array([simhash(t, size) for t in texts]), None
+            else:
+                fp = signed_array([majority(distinct_words(t)) for t in texts])
+                fine = signed_array([simhash(t, fine_size) for t in texts])
+            fines = pa.nulls(len(fp), pa.int64()) if fine is None else pa.array(fine)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(fp), fines, pa.array(entry_of(fp, fine))],
+                names=["key", "text_hash", "fp", "fine", "entry"],
+            )
+
+    return rows.select("key", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "key bigint, text_hash bigint, fp bigint, fine bigint, entry bigint"
+    )
+
 
-    return rows.mapInArrow(run, "key bigint, fp bigint")
+LINKS = "a bigint, b bigint, fp bigint, fine bigint"
+LINK_NAMES = ["a", "b", "fp", "fine"]
 
 
-def _pairs_in_lists(size: int):
-    """For ``mapInArrow`` over rows ``(chosen, part, fp)`` sorted by list: links ``(a, b)``, hot ones as ``(fp, null)``."""
+def _pairs_in_lists(size: int, within: int | None):
+    """For ``mapInArrow`` over rows ``(chosen, part, fp[, fine])`` sorted by list.
+
+    Emits links ``(a, b)`` between entries, and each hot entry as ``(a, null, fp, fine)``.
+    """
 
-    def linked(chosen: int, fps: np.ndarray):
+    def linked(chosen: int, rows: np.ndarray):
+        fps = rows[:, 0].view(np.uint64)
         i, j = np.triu_indices(len(fps), 1)
         differ = fps[i] ^ fps[j]
         shared = differ.view(np.uint8).reshape(-1, BYTES) == 0
-        tally = shared.cumsum(1)
-        lowest = shared & (tally <= BYTES - DISTANCE)  # the list that this pair belongs to
+        lowest = shared & (shared.cumsum(1) <= BYTES - DISTANCE)  # of the tally, the list that this pair belongs to
         own = np.zeros(BYTES, bool)
         own[list(POSITIONS[chosen])] = True
         keep = (lowest == own).all(1) & (np.bitwise_count(differ) <= DISTANCE)
-        return fps[i[keep]], fps[j[keep]]
+        if within is not None:
+            fines = rows[:, 1].view(np.uint64)
+            keep &= np.bitwise_count(fines[i] ^ fines[j]) <= within
+        entries = entry_of(rows[:, 0], rows[:, 1] if within is not None else None)
+        return np.stack([entries[i[keep]], entries[j[keep]]], 1)
+
+    def emitted(links, warm):
+        if links:
+            ab = np.concatenate(links)
+            none = pa.nulls(len(ab), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), none, none], names=LINK_NAMES)
+        if warm:
+            rows = np.unique(np.concatenate(warm), axis=0)
+            fines = pa.array(rows[:, 1]) if within is not None else pa.nulls(len(rows), pa.int64())
+            entries = entry_of(rows[:, 0].copy(), rows[:, 1].copy() if within is not None else None)
+            cells = [pa.array(entries), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0]), fines]
+            yield pa.RecordBatch.from_arrays(cells, names=LINK_NAMES)
 
     def run(batches):
-        held, held_list, hot = [], None, False
+        held, count, held_list, hot = [], 0, None, False
+
+        def closed():
+            return [linked(held_list[0], np.asfortranarray(np.concatenate(held)))] if count > 1 and not hot else []
+
         for batch in batches:
-            chosen, part, fp = (batch.column(i).to_numpy() for i in range(3))
-            if not len(fp):
+            columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            chosen, part, rows = columns[0], columns[1], np.stack(columns[2:], 1)
+            if not len(rows):
                 continue
             ends = np.flatnonzero((chosen[1:] != chosen[:-1]) | (part[1:] != part[:-1])) + 1
-            bounds = np.concatenate([[0], ends, [len(fp)]])
-            left, right, warm = [], [], []
-            # lists of one entry need no work: look at longer ones, and at the first and last of the batch
+            bounds = np.concatenate([[0], ends, [len(rows)]])
             sizes = np.diff(bounds)
+            links, warm = [], []
+            # lists of one entry need no work: look at longer ones, and at the first and last of the batch
             for k in sorted({0, len(sizes) - 1, *np.flatnonzero(sizes > 1).tolist()}):
-                low, high = bounds[k], bounds[k + 1]
-                name = (int(chosen[low]), int(part[low]))
+                name, own = (int(chosen[bounds[k]]), int(part[bounds[k]])), rows[bounds[k] : bounds[k + 1]]
                 if name != held_list:
-                    if len(held) > 1:
-                        a, b = linked(held_list[0], np.array(held, np.int64).view(np.uint64))
-                        left.append(a)
-                        right.append(b)
-                    held, held_list, hot = [], name, False
+                    links += closed()
+                    held, count, held_list, hot = [], 0, name, False
                 if hot:
-                    warm.append(fp[low:high])
-                elif len(held) + high - low > size:
-                    warm += [np.array(held, np.int64), fp[low:high]]
+                    warm.append(own)
+                elif count + len(own) > size:
+                    warm += [*held, own]
                     held, hot = [], True
                 else:
-                    held += fp[low:high].tolist()
-            yield from emitted(left, right, warm)
-        if len(held) > 1:
-            a, b = linked(held_list[0], np.array(held, np.int64).view(np.uint64))
-            yield from emitted([a], [b], [])
-
-    def emitted(left, right, warm):
-        if left:
-            a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if warm:
-            a = np.unique(np.concatenate(warm))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64())], names=["a", "b"])
+                    held.append(own)
+                count += len(own)
+            yield from emitted(links, warm)
+        yield from emitted(closed(), [])
 
     return run
 
 
 def _neighbours(batches):
-    """All values within two bits of each fingerprint."""
+    """Rows ``(entry, fp, fine)`` become ``(near, entry, fine)`` for all values within two bits of ``fp``."""
     for batch in batches:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        for low in range(0, len(fps), 256):
-            some = fps[low : low + 256]
-            near = (some[:, None] ^ FLIPS[None, :]).ravel().view(np.int64)
-            own = np.repeat(some.view(np.int64), len(FLIPS))
-            yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(own)], names=["near", "fp"])
+        entry, fp, fine = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2)
+        for low in range(0, len(fp), 256):
+            some = slice(low, low + 256)
+            near = (fp[some, None] ^ FLIPS[None, :]).ravel().view(np.int64)
+            fines = pa.array(np.repeat(fine[some].to_numpy(), len(FLIPS)))
+            cells = [pa.array(near), pa.array(np.repeat(entry[some], len(FLIPS))), fines]
+            yield pa.RecordBatch.from_arrays(cells, names=["near", "entry", "fine"])
 
 
-def _stars(batches):
-    """Rows ``(near, fp)`` sorted by both become links from each fingerprint to the least at its neighbour."""
-    near, least = None, None
-    for batch in batches:
-        at, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(at):
-            continue
-        opens = np.concatenate([[near is None or at[0] != near], at[1:] != at[:-1]])
-        group = np.cumsum(opens) - 1
-        leasts = fp[opens]
-        if not opens[0]:  # goes on from the batch before
-            leasts, group = np.concatenate([[least], leasts]), group + 1
-        near, least = at[-1], leasts[-1]
-        pairs = np.stack([fp, leasts[group]], 1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def near_links(distinct: DataFrame, list_size: int = LIST) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints ``fp`` with the components of all pairs within four bits."""
-    masks = F.array(*[F.lit(m) for m in MASKS])
-    index = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("chosen", "part"))
-    lists = index.repartition("chosen", "part").sortWithinPartitions("chosen", "part").select("chosen", "part", "fp")
-    found, _ = materialize(lists.mapInArrow(_pairs_in_lists(list_size), "a bigint, b bigint"), "links")
-    hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    near = hot.repartition("fp").mapInArrow(_neighbours, "near bigint, fp bigint")
-    stars = near.repartition("near").sortWithinPartitions("near", "fp").mapInArrow(_stars, "a bigint, b bigint")
-    return found.where("b is not null").union(stars.distinct())
+def _stars(within: int | None):
+    """Rows ``(near, entry, fine)`` sorted by all become links to the first and the previous entry there."""
+
+    def run(batches):
+        last = None  # the open group: its neighbour, first entry and fine, last entry and fine
+        for batch in batches:
+            near, entry, fine = (batch.column(i).to_numpy() for i in range(3))
+            if not len(near):
+                continue
+            goes_on = last is not None and near[0] == last[0]
+            opens = np.concatenate([[not goes_on], near[1:] != near[:-1]])
+            group = np.cumsum(opens) - (0 if goes_on else 1)
+            firsts, first_fines = entry[opens], fine[opens]
+            if goes_on:
+                firsts, first_fines = np.concatenate([last[1:2], firsts]), np.concatenate([last[2:3], first_fines])
+            links = [(entry, firsts[group], fine, first_fines[group])]
+            if within is not None:
+                before = np.concatenate([last[3:4] if goes_on else entry[:1], entry[:-1]])
+                before_fine = np.concatenate([last[4:5] if goes_on else fine[:1], fine[:-1]])
+                before, before_fine = np.where(opens, entry, before), np.where(opens, fine, before_fine)
+                links.append((entry, before, fine, before_fine))
+            last = np.array([near[-1], firsts[group[-1]], first_fines[group[-1]], entry[-1], fine[-1]])
+            pairs = []
+            for a, b, fa, fb in links:
+                keep = a != b
+                if within is not None:
+                    keep &= np.bitwise_count(fa.view(np.uint64) ^ fb.view(np.uint64)) <= within
+                pairs.append(np.stack([a[keep], b[keep]], 1))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
 
+def near_links(entries: DataFrame, list_size: int = LIST, within: int | None = None) -> DataFrame:
+    """Links ``(a, b)`` between entries whose components are those of all pairs within four bits.
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, list_size: int = LIST) -> DataFrame:
+    ``entries`` has distinct ``(fp, fine)``.  With ``within`` a link is verified: the fine fingerprints differ
+    in at most so many bits; among hot entries each is then compared with the first and the one
+    before at each shared neighbour, in the order of the fine fingerprint.
+    """
+    masks = F.array(*[F.lit(m) for m in MASKS])
+    parts = F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("chosen", "part")
+    own = ["fp"] if within is None else ["fp", "fine"]
+    index = entries.select(*own, parts).select("chosen", "part", *own)
+    lists = index.repartition("chosen", "part").sortWithinPartitions("chosen", "part")
+    found, _ = materialize(lists.mapInArrow(_pairs_in_lists(list_size, within), LINKS), "links")
+    hot = found.where("b is null").select(F.col("a").alias("entry"), "fp", F.coalesce("fine", F.lit(0)).alias("fine"))
+    near = hot.distinct().repartition("entry").mapInArrow(_neighbours, "near bigint, entry bigint, fine bigint")
+    near = near.repartition("near").sortWithinPartitions("near", "fine", "entry")
+    stars = near.mapInArrow(_stars(within), "a bigint, b bigint").distinct()
+    return found.where("b is not null").select("a", "b").union(stars)
+
+
+def _grouped(prints: DataFrame, list_size: int, within: int | None) -> DataFrame:
+    """``prints`` with the ``least`` row ``(unnamed, key, text_hash)`` of each one's component."""
+    row = F.struct(F.col("key").isNull().alias("unnamed"), "key", "text_hash")
+    entries, _ = materialize(prints.groupBy("entry", "fp", "fine").agg(F.min(row).alias("least")), "entries")
+    roots = components(near_links(entries.select("fp", "fine"), list_size, within))
+    rooted = entries.join(roots, F.col("entry") == F.col("node"), "left")
+    rooted, _ = materialize(rooted.select("entry", "least", F.coalesce("root", "entry").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return prints.join(rooted.select("entry", "root").join(named, "root").drop("root"), "entry")
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, list_size: int = LIST
+) -> DataFrame:
     """``(key, fp, component)`` per row of ``docs``: the fingerprint and the least key reachable.
 
     Texts without words have fingerprint 0 and are linked like any other.  Null keys are no component's
-    name, unless a component has no other.  Other columns are not read; no rows give no rows.
+    name, unless a component has no other.  Repeated rows stay.  Other columns are not read; no rows
+    give no rows.
     """
     prints, _ = materialize(fingerprints(docs, key, text, size), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("key").alias("least"))
-    distinct, _ = materialize(distinct, "distinct")
-    roots = components(near_links(distinct.select("fp"), list_size))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted, _ = materialize(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(rooted.join(named, "root").select("fp", "component"), "fp").select(
-        F.col("key").alias(key), "fp", "component"
+    return _grouped(prints, list_size, None).select(F.col("key").alias(key), "fp", F.col("least.key").alias("component"))
+
+
+def near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = COPY_SHINGLE, within: int = COPY_DISTANCE,
+    list_size: int = LIST,
+) -> DataFrame:
+    """``(key, text_hash, component, representative)`` per row of ``docs``, for shingle similarity 0.8 and more.
+
+    Few near copies of a similarity of 0.8 have shingle fingerprints within four bits, but most have
+    fingerprints of their distinct words that are.  So the index holds those, and a pair it finds is
+    verified by the fingerprints of shingles of ``size`` words, which differ in at most ``within`` bits.
+    The representative is the component's least row by key and text; repeated rows are all marked.
+    """
+    prints, _ = materialize(fingerprints(docs, key, text, fine_size=size), "fingerprints")
+    least = F.struct(F.col("key").isNull().alias("unnamed"), "key", "text_hash")
+    return _grouped(prints, list_size, within).select(
+        "key", "text_hash", F.col("least.key").alias("component"), (least == F.col("least")).alias("representative")
     )
 
 
-def fingerprint_hex(fp) -> "F.Column":
+def first_of_repeated(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each that repeats key and text; nothing is shuffled if none does."""
+    repeated, _ = materialize(found.groupBy("key", "text_hash").count().where("count > 1"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    same = F.col(key).eqNullSafe(F.col("key_")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("hash_"))
+    repeated = repeated.select(F.col("key").alias("key_"), F.col("text_hash").alias("hash_"))
+    twice = docs.join(repeated, same, "left_semi")
+    return docs.join(repeated, same, "left_anti").union(twice.dropDuplicates([key, text]))
+
+
+def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -15,8 +15,8 @@ needs one number per bucket, the embedding times the difference of the two softm
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZES = (3, 4, 5)
@@ -151,7 +151,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     return Model((embeddings @ toward).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def held_out(key) -> "F.Column":
+def held_out(key: Column) -> Column:
     """Rows that are never learned from: crc32 of the key as text, modulo 5, is 0."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(5)) == 0
 
@@ -183,10 +183,19 @@ def fit_on(
     return fit([s[1] for s in sample], [s[2] for s in sample], seed=seed, **options)
 
 
+def scorer(spark: SparkSession, model: Model):
+    """The model as a function of a text column; a null or empty text has the score of the bias alone."""
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return texts.map(shared.value.score).astype("float64")
+
+    return lambda text: scored(F.coalesce(text, F.lit("")))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, text, score)`` per row of ``docs``; a null or empty text has the score of the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    scored = F.pandas_udf(lambda texts: texts.map(shared.value.score).astype("float64"), "double")
+    """``(key, text, score)`` per row of ``docs``, repeated rows included."""
     return docs.select(
-        F.col(key).alias(key), F.col(text).alias(text), scored(F.coalesce(F.col(text), F.lit(""))).alias("score")
+        F.col(key).alias(key), F.col(text).alias(text), scorer(docs.sparkSession, model)(F.col(text)).alias("score")
     )

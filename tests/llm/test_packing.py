@@ -1,0 +1,91 @@
+import random
+from collections import defaultdict
+
+import pytest
+
+from tabulant.llm import packing
+
+
+def brute_best_fit(items, capacity):
+    """The tightest bin without a conflict, by looking at all of them."""
+    bins, placed = [], []
+    for _, length, source, cluster in items:
+        fits = [
+            (b["free"], n)
+            for n, b in enumerate(bins)
+            if b["free"] >= length
+            and (source is None or source not in b["s"])
+            and (cluster is None or cluster not in b["c"])
+        ]
+        n = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append({"free": capacity, "s": set(), "c": set()})
+        placed.append((n, capacity - bins[n]["free"]))
+        bins[n]["free"] -= length
+        bins[n]["s"].add(source)
+        bins[n]["c"].add(cluster)
+    return placed, [b["free"] for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_fit_equals_brute_force(seed):
+    rng = random.Random(seed)
+    items = [
+        (i, rng.randrange(1, 101), rng.choice([None, "hot", "hot", "a", "b", "c"]), rng.choice([None, 1, 2, *range(3, 200)]))
+        for i in range(400)
+    ]
+    items.sort(key=lambda x: (-x[1], x[0]))
+    assert packing.best_fit(items, 100) == brute_best_fit(items, 100)
+
+
+def verify(rows, got, capacity):
+    """Every byte once, no overlap in a bin, no conflict."""
+    per_key, bins = defaultdict(list), defaultdict(list)
+    for r in got:
+        per_key[r["doc_id"]].append((r["start"], r["length"]))
+        bins[r["bin"]].append(r)
+    lengths = defaultdict(list)
+    for key, length, source, cluster in rows:
+        lengths[key].append(length or 0)
+    for key, all_lengths in lengths.items():
+        assert sum(n for _, n in per_key[key]) == sum(all_lengths)
+        if len(all_lengths) == 1 and all_lengths[0]:
+            spans = sorted(per_key[key])
+            assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+    for cells in bins.values():
+        cells.sort(key=lambda r: r["bin_offset"])
+        at = 0
+        for r in cells:
+            assert r["bin_offset"] == at
+            at += r["length"]
+        assert at + cells[0]["bin_free"] == capacity and len({r["bin_free"] for r in cells}) == 1
+    return bins
+
+
+def test_packs(spark):
+    rng = random.Random(3)
+    rows = [
+        (i, rng.choice([1, 5, 30, 99, 100, 101, 1000, rng.randrange(1, 300)]), rng.choice(["hot", "hot", f"s{i % 9}", None]), rng.choice([7, i]))
+        for i in range(900)
+    ]
+    rows += [(None, 40, "x", 1), (None, 40, "x", 1), (2000, None, "x", 1), (2001, 10, None, None), (2002, 10**6, "x", None)]
+    rows += [(3000, 60, "rep", 5)] * 300
+    schema = "doc_id long, length long, source string, cluster long, bin string, room int, piece int"
+    df = spark.createDataFrame([(*r, "b", 1, 2) for r in rows], schema).repartition(5)
+    got = packing.pack(df, capacity=100, room_rows=64).collect()
+    bins = verify(rows, got, 100)
+    facts = {r[0]: r[2:] for r in rows}
+    for cells in bins.values():
+        sources = [facts[r["doc_id"]][0] for r in cells]
+        clusters = [facts[r["doc_id"]][1] for r in cells]
+        for values in (sources, clusters):
+            known = [v for v in values if v is not None]
+            assert len(known) == len(set(known))
+    again = packing.pack(df.repartition(2), capacity=100, room_rows=64).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_documents(sample, empty, rows):
+    got = packing.pack(packing.measured(sample)).collect()
+    verify([(k, len((t or "").encode()) + 1, s, 0) for k, t, s in rows], got, packing.CAPACITY)
+    assert packing.pack(packing.measured(empty)).collect() == []

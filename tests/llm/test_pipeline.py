@@ -1,0 +1,88 @@
+import json
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from tabulant.llm import packing, queries, toxicity
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sample):
+    return sample.select(*COLUMNS)
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def as_rows(df):
+    return Counter(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_whole_rows(spark, documents, sample, name):
+    kept = stage(name)(spark, documents, SF)
+    assert kept.columns == COLUMNS
+    rows, all_rows = as_rows(kept), as_rows(documents)
+    assert rows and not rows - all_rows
+    assert sum(rows.values()) > 0.4 * sum(all_rows.values())
+    wide = stage(name)(spark, sample, SF)
+    assert wide.columns == sample.columns and as_rows(wide.select(*COLUMNS)) == rows
+
+
+def test_toxic_documents_go(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit_on(documents, labels)
+    want = {json.dumps(r.asDict()) for r in documents.collect() if model.score(r["text"] or "") < 0.5}
+    assert {json.dumps(r.asDict()) for r in stage("toxicity")(spark, documents, SF).collect()} == want
+
+
+def test_one_of_each_group_of_copies_stays(spark, documents):
+    kept = stage("near_duplicates")(spark, documents, SF).collect()
+    texts = Counter(r["text"] or "" for r in kept)
+    assert max(texts.values()) == 1  # exact copies are gone
+    assert {r["doc_id"] for r in kept if (r["text"] or "") == "same text twice"} == {1003}
+
+
+def test_contaminated_documents_go(spark, documents):
+    from tests.llm.test_decontaminate import brute
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    judged = brute([(str((r["doc_id"], r["text"])), r["text"]) for r in documents.collect()], items)
+    clean = Counter({key: n for (key, *_, bad), n in judged.items() if not bad})
+    kept = stage("decontamination")(spark, documents, SF).collect()
+    assert Counter(str((r["doc_id"], r["text"])) for r in kept) == clean
+
+
+def test_run_packs_what_is_left(spark):
+    got = corpus_pipeline.run(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, SF).cache()
+    want = {r["doc_id"]: len(r["text"].encode()) + 1 for r in docs.collect()}
+    lengths = Counter()
+    for r in got:
+        lengths[r["doc_id"]] += r["length"]
+        assert r["length"] <= packing.CAPACITY
+    assert dict(lengths) == want
+
+
+def test_empty_table(spark, empty):
+    docs = empty.select(*COLUMNS)
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, docs, SF).collect() == []
+
+
+@pytest.mark.parametrize("name", [*queries.queries()])
+def test_queries_run(spark, name):
+    if name == "pipeline":
+        pytest.skip("test_run_packs_what_is_left")
+    df = queries.queries()[name](spark, SF)
+    key = "page_id" if "page_id" in df.columns else "doc_id"
+    table = "pages" if key == "page_id" else "documents"
+    ids = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
+    assert {r[0] for r in df.select(key).collect()} == ids
