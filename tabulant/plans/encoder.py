@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from tabulant.functions.draws import row_key
 from tabulant.operators.contrast import TEMPERATURE
-from tabulant.operators.prep import UNKNOWN, TabularPrep, TabularPrepModel
+from tabulant.operators.prep import MAX_LEVELS, UNKNOWN, TabularPrep, TabularPrepModel
 from tabulant.operators.sampling import assign_batches, validation_split, with_row_key
 from tabulant.operators.views import RATE
 from tabulant.plans.network import Contrastive, Net, dense_stack, lists_of, named_views, rows_of
-from tabulant.plans.rounds import LOCAL_STEPS, train
+from tabulant.plans.rounds import LOCAL_STEPS, SHARDS, train
 from tabulant.sources.scratch import discard, materialize
 from tabulant.sources.store import Stored, load_weights, save_weights
 
@@ -75,6 +75,7 @@ class ContrastiveEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable
     preprocess = param("preprocess", "fit and apply prep", TypeConverters.toBoolean)
     nullPolicy = param("nullPolicy", "error or impute_median", TypeConverters.toString)
     unknown = param("unknown", "name of the unseen level", TypeConverters.toString)
+    maxLevels = param("maxLevels", "levels allowed per column", TypeConverters.toInt)
     createValidation = param("createValidation", "hold out rows", TypeConverters.toBoolean)
     validationProportion = param("validationProportion", "share held out", TypeConverters.toFloat)
     batchSize = param("batchSize", "rows per training batch", TypeConverters.toInt)
@@ -87,7 +88,7 @@ class ContrastiveEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable
     corruptionRate = param("corruptionRate", "share of cells replaced", TypeConverters.toFloat)
     temperature = param("temperature", "NT-Xent temperature", TypeConverters.toFloat)
     seed = param("seed", "seed of every draw", TypeConverters.toInt)
-    numShards = param("numShards", "parallel shards, by size if unset", TypeConverters.toInt)
+    numShards = param("numShards", "parallel shards, whatever the table size", TypeConverters.toInt)
     localSteps = param("localSteps", "most batches between two averages", TypeConverters.toInt)
     wide = param("wide", "replace inputs by extracted_dim_1..H", TypeConverters.toBoolean)
     prefix = param("prefix", "prefix of the wide columns", TypeConverters.toString)
@@ -102,6 +103,7 @@ class ContrastiveEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable
         preprocess=True,
         nullPolicy="error",
         unknown=UNKNOWN,
+        maxLevels=MAX_LEVELS,
         createValidation=False,
         validationProportion=0.1,
         batchSize=256,
@@ -114,17 +116,17 @@ class ContrastiveEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable
         corruptionRate=RATE,
         temperature=TEMPERATURE,
         seed=0,
-        numShards=None,
+        numShards=SHARDS,
         localSteps=LOCAL_STEPS,
         wide=False,
         prefix="extracted_dim_",
     ):
         super().__init__()
         defaults = dict(
-            exclude=[], keyCols=[], preprocess=True, nullPolicy="error", unknown=UNKNOWN,
+            exclude=[], keyCols=[], preprocess=True, nullPolicy="error", unknown=UNKNOWN, maxLevels=MAX_LEVELS,
             createValidation=False, validationProportion=0.1, batchSize=256, epochs=1,
             hidden=256, depth=4, projectionDepth=2, dropout=0.0, learningRate=LEARNING_RATE,
-            corruptionRate=RATE, temperature=TEMPERATURE, seed=0, localSteps=LOCAL_STEPS,
+            corruptionRate=RATE, temperature=TEMPERATURE, seed=0, numShards=SHARDS, localSteps=LOCAL_STEPS,
             wide=False, prefix="extracted_dim_",
         )
         self._setDefault(**defaults)
@@ -143,6 +145,7 @@ class ContrastiveEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable
             preprocess=get("preprocess"),
             nullPolicy=get("nullPolicy"),
             unknown=get("unknown"),
+            maxLevels=get("maxLevels"),
         ).fit(train_df)
 
         layers = encoder_layers(prep.width, get("hidden"), get("depth"), get("dropout"))
@@ -175,7 +178,7 @@ class ContrastiveEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable
                 epochs=get("epochs"),
                 batch_size=get("batchSize"),
                 seed=get("seed"),
-                shards=get("numShards") if self.isSet("numShards") else None,
+                shards=get("numShards"),
                 local_steps=get("localSteps"),
                 after_epoch=after_epoch,
             )

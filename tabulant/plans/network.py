@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # fixed values: defaults of the layers and the optimizer
 NORM_EPS = 1e-5
@@ -17,11 +18,15 @@ ADAM_EPS = 1e-8
 
 
 def rows_of(column, dtype=np.float64) -> np.ndarray:
-    """A column of equally long lists as a matrix."""
+    """A column of equally long lists as a matrix; null or ragged rows and null cells are refused."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    width = len(flat) // max(len(column), 1)
+    flat = column.flatten()
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if column.null_count or flat.null_count or lengths["min"] != lengths["max"]:
+        raise ValueError("arrays must all have one length and hold no nulls")
+    flat = flat.to_numpy(zero_copy_only=False)
+    width = lengths["max"] or 0
     return flat.reshape(len(column), width).astype(dtype, copy=False)
 
 

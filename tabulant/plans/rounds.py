@@ -21,29 +21,39 @@ from tabulant.functions.draws import draw, order
 from tabulant.plans.network import adam, named_views, rows_of
 from tabulant.sources.scratch import discard, materialize
 
-MAX_SHARDS = 4096
-BATCHES_PER_SHARD = 64  # fewest mini-batches worth a shard of their own
+SHARDS = 4  # parallel shards unless the caller says otherwise; the same for every table
 LOCAL_STEPS = 256  # most mini-batches between two averages
-DIRECT_STATES = 64  # states the driver averages itself
+PIECE = 1 << 14  # numbers of a state that are averaged together
 
-RESULT = "shard int, rows bigint, loss double, steps bigint, state binary"
-
-
-def plan_shards(n: int, batch_size: int) -> int:
-    """A power of two by table size alone, so results do not depend on the cluster."""
-    most = max(1, min(MAX_SHARDS, n // (batch_size * BATCHES_PER_SHARD)))
-    return 1 << (most.bit_length() - 1)
+RESULT = "shard int, rows bigint, loss double, steps bigint, piece int, state binary"
 
 
 def plan_rounds(n: int, batch_size: int, shards: int, local_steps: int) -> int:
+    """Averages per epoch, so that no shard takes more than ``local_steps`` steps between two."""
     return max(1, math.ceil(n / (shards * batch_size * local_steps)))
 
 
+def partners(counts: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
+    """Where single rows go: a ``(slice, shard)`` of one row joins the next shard of its slice that has rows."""
+    counts, moved = dict(counts), {}
+    for turn, shard in sorted(counts):
+        if counts[turn, shard] != 1:
+            continue
+        for i in range(1, shards):
+            other = (turn, (shard + i) % shards)
+            if counts.get(other):
+                moved[turn, shard] = other[1]
+                counts[other] += 1
+                counts[turn, shard] = 0
+                break
+    return moved
+
+
 def mini_batches(blocks, size: int):
     """Cut (x, y) blocks into batches of ``size``.
 
     A single left-over row joins the batch before it, because batch statistics need
-    two rows; a shard of one row yields nothing.
+    two rows.  ``train`` leaves no shard with one row.
     """
     x = y = None
     for bx, by in blocks:
@@ -98,10 +108,12 @@ def train_shard(objective, shared, batch_size: int, salt):
             adam(state, gradient, objective.rate)
             rows, steps, loss = rows + len(x), steps + 1, loss + batch_loss * len(x)
         if rows:
-            out = [[shard], [rows], [loss], [steps], [pack(state).tobytes()]]
-            types = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(v, t) for v, t in zip(out, types)]
-            yield pa.RecordBatch.from_arrays(arrays, ["shard", "rows", "loss", "steps", "state"])
+            flat = pack(state)
+            for piece, low in enumerate(range(0, len(flat), PIECE)):
+                out = [[shard], [rows], [loss], [steps], [piece], [flat[low : low + PIECE].tobytes()]]
+                types = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.binary()]
+                arrays = [pa.array(v, t) for v, t in zip(out, types)]
+                yield pa.RecordBatch.from_arrays(arrays, ["shard", "rows", "loss", "steps", "piece", "state"])
 
     return run
 
@@ -115,7 +127,8 @@ def average(rows) -> tuple[np.ndarray, int, float, int]:
     return (total / n).astype(np.float32), n, loss, steps
 
 
-def average_group(table: pa.Table) -> pa.Table:
+def average_piece(table: pa.Table) -> pa.Table:
+    """The mean of one piece over all shards, in the order of the shards."""
     table = table.sort_by("shard")
     state, n, loss, steps = average(table.to_pylist())
     return pa.table(
@@ -124,6 +137,7 @@ def average_group(table: pa.Table) -> pa.Table:
             "rows": pa.array([n], pa.int64()),
             "loss": pa.array([loss], pa.float64()),
             "steps": pa.array([steps], pa.int64()),
+            "piece": table["piece"][:1],
             "state": pa.array([state.tobytes()], pa.binary()),
         }
     )
@@ -144,16 +158,15 @@ def run_round(dealt: DataFrame, objective, state, shards: int, batch_size: int,
         .select(*[c for c in dealt.columns if c in ("shard", "features", "label")])
     )
     states = ordered.mapInArrow(train_shard(objective, shared, batch_size, (seed, epoch, turn)), RESULT)
-    if shards > DIRECT_STATES:
-        # two levels: each group averages about sqrt(shards) states
-        groups = math.isqrt(shards)
-        states = states.groupBy((F.col("shard") % groups).alias("g")).applyInArrow(average_group, RESULT)
-    found = states.collect()
-    shared.unpersist()
+    # a task averages one piece of the state over all shards; the driver gets one whole state
+    found = states.groupBy("piece").applyInArrow(average_piece, RESULT).collect()
+    shared.destroy()
     if not found:
-        raise ValueError("training needs at least two rows in a shard")
-    flat, n, loss, steps = average(sorted((r.asDict() for r in found), key=lambda r: r["shard"]))
-    return unpack(flat, objective.net, state["t"] + steps), n, loss
+        raise ValueError("training needs at least two rows")
+    found = sorted((r.asDict() for r in found), key=lambda r: r["piece"])
+    flat = np.concatenate([np.frombuffer(r["state"], np.float32) for r in found])
+    first = found[0]
+    return unpack(flat, objective.net, state["t"] + first["steps"]), first["rows"], first["loss"]
 
 
 def train(
@@ -164,27 +177,34 @@ def train(
     epochs: int,
     batch_size: int,
     seed: int,
-    shards: int | None = None,
+    shards: int = SHARDS,
     local_steps: int = LOCAL_STEPS,
     after_epoch=None,
     stored: bool = False,
 ):
     """Fit ``objective`` on ``key``, ``features`` and, if present, ``label``.
 
-    Returns the final state and the loss per epoch.  Input that is read more than once
+    Returns the final state and the loss per epoch.  The algorithm is the same at every size: ``shards``
+    shards, averaged after at most ``local_steps`` batches each.  Every row is trained on: a row
+    that would be alone in its shard joins another.  Input that is read more than once
     is first written to the shared scratch folder, partitioned by round; input that
     is ``stored`` already is written again only if there are several rounds.
     """
     spark = df.sparkSession
-    shards = shards or plan_shards(n, batch_size)
     rounds = plan_rounds(n, batch_size, shards, local_steps)
     lot = draw(seed, "shard", F.col("key"))
+    shard, turn = (lot % shards).cast("int"), (F.floor(lot / shards) % rounds).cast("int")
+    if shards > 1:
+        # one number per shard and round reaches the driver
+        sizes = df.select(turn.alias("slice"), shard.alias("shard")).groupBy("slice", "shard").count().collect()
+        for (part, alone), other in partners({(r[0], r[1]): r[2] for r in sizes}, shards).items():
+            shard = F.when((turn == part) & (shard == alone), other).otherwise(shard)
     rows = df.select(
         "key",
         F.col("features").cast("array<float>").alias("features"),
         *[c for c in df.columns if c == "label"],
-        (lot % shards).cast("int").alias("shard"),
-        (F.floor(lot / shards) % rounds).cast("int").alias("slice"),
+        shard.alias("shard"),
+        turn.alias("slice"),
     )
     path, kept = None, None
     try:

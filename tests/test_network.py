@@ -117,9 +117,30 @@ def test_batches_never_leave_a_single_row(rows, sizes, block):
         assert (np.concatenate([y for _, y in out]) == x[:, 0]).all()
 
 
-def test_shard_and_round_plans_grow_with_the_table():
-    assert rounds.plan_shards(100, 256) == 1
-    assert rounds.plan_shards(150_000, 256) == 8
-    assert rounds.plan_shards(10**12, 256) == rounds.MAX_SHARDS
-    assert rounds.plan_rounds(150_000, 256, 8, 256) == 1
-    assert rounds.plan_rounds(10**9, 256, 4096, 256) == 4
+def test_no_shard_takes_more_steps_than_allowed_between_two_averages():
+    for n in (100, 32_767, 32_769, 150_000, 10**9, 10**12):
+        rounds_needed = rounds.plan_rounds(n, 256, 4, 256)
+        assert n / (rounds_needed * 4 * 256) <= 256 < n / ((rounds_needed - 1) * 4 * 256 or 1e-9)
+
+
+def test_single_rows_join_another_shard():
+    assert rounds.partners({(0, 0): 5, (0, 1): 1, (0, 2): 7}, 4) == {(0, 1): 2}
+    assert rounds.partners({(0, 0): 1, (0, 3): 1}, 4) == {(0, 0): 3}
+    assert rounds.partners({(0, 3): 1, (0, 1): 2, (1, 1): 1, (1, 2): 1, (1, 3): 1}, 4) == {(0, 3): 1, (1, 1): 2, (1, 3): 2}
+    assert rounds.partners({(0, 2): 1}, 4) == {}
+
+
+@pytest.mark.parametrize("rows", [[[1.0, 2.0], [3.0]], [[1.0, 2.0], None], [[1.0, None], [2.0, 3.0]]])
+def test_ragged_and_null_arrays_are_refused(rows):
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="one length"):
+        network.rows_of(pa.array(rows, pa.list_(pa.float64())))
+
+
+def test_blocks_of_equal_arrays():
+    import pyarrow as pa
+
+    assert network.rows_of(pa.array([[1.0, 2.0], [3.0, 4.0]])).tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    assert network.rows_of(pa.array([], pa.list_(pa.float64()))).shape == (0, 0)
+    assert network.rows_of(pa.array([[1.0], [2.0], [3.0]])[1:]).tolist() == [[2.0], [3.0]]

@@ -80,11 +80,27 @@ def test_average_weighs_by_rows():
     assert (n, loss, steps) == (3, 6.0, 5)
 
 
-def test_two_level_average_equals_the_direct_one(rows, monkeypatch):
-    direct, _ = rounds.train(rows, objective(), n=301, epochs=1, batch_size=8, seed=1, shards=9)
-    monkeypatch.setattr(rounds, "DIRECT_STATES", 2)
-    nested, _ = rounds.train(rows, objective(), n=301, epochs=1, batch_size=8, seed=1, shards=9)
-    assert nested["theta"] == pytest.approx(direct["theta"], abs=1e-6)
+def test_the_size_of_a_piece_does_not_matter(rows, monkeypatch):
+    whole, _ = rounds.train(rows, objective(), n=301, epochs=1, batch_size=8, seed=1, shards=9)
+    monkeypatch.setattr(rounds, "PIECE", 7)
+    cut, _ = rounds.train(rows, objective(), n=301, epochs=1, batch_size=8, seed=1, shards=9)
+    assert (cut["theta"] == whole["theta"]).all() and (cut["stats"] == whole["stats"]).all()
+
+
+@pytest.mark.parametrize("n, shards", [(2, 4), (3, 32), (40, 32), (301, 4)])
+def test_every_row_is_trained_on(rows, n, shards):
+    some = rows.where(F.col("key").cast("int") < n)
+    _, history = rounds.train(some, objective(), n=n, epochs=1, batch_size=8, seed=0, shards=shards)
+    assert history[0]["rows"] == n
+
+
+def test_more_shards_stay_near_the_sequential_loss(spark):
+    data = [(str(i), [float(i % 3 == j) * 4 + u("c", i, j) for j in range(4)]) for i in range(2000)]
+    table = spark.createDataFrame(data, "key string, features array<double>").cache()
+    losses = [
+        rounds.train(table, objective(), n=2000, epochs=4, batch_size=32, seed=2, shards=s)[1][-1]["loss"] for s in (1, 4)
+    ]
+    assert losses[1] == pytest.approx(losses[0], rel=0.1)
 
 
 def test_scratch_is_removed(spark, rows):
