@@ -129,8 +129,8 @@ def confusion() -> str:
       GROUP BY p.c, r.c)"""
 
 
-def neighbours() -> str:
-    """Confusion counts of the 5 nearest neighbours on the held-out fifth of the embeddings."""
+def neighbour_votes() -> str:
+    """CTE ``won``: the class that the 5 nearest neighbours give each of the held-out fifth of the embeddings."""
     split = ranked("embeddings", "vec_id", "0:split")
     return f"""
     WITH split AS (SELECT vec_id, embedding::DOUBLE[] AS e, label,
@@ -142,8 +142,13 @@ def neighbours() -> str:
       FROM split q JOIN split t ON q.held AND NOT t.held),
     votes AS (SELECT vec_id, real, label, count(*) AS n FROM pairs WHERE place <= 5 GROUP BY ALL),
     won AS (
-      SELECT real, label AS predicted FROM votes
-      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) = 1),
+      SELECT vec_id, real, label AS predicted FROM votes
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) = 1)"""
+
+
+def neighbours() -> str:
+    """Confusion counts of those votes."""
+    return f"""{neighbour_votes()},
     levels AS (SELECT DISTINCT label FROM split WHERE NOT held)
     SELECT p.label::VARCHAR AS predicted, r.label::VARCHAR AS real, count(won.real) AS n
     FROM levels p CROSS JOIN levels r LEFT JOIN won ON won.predicted = p.label AND won.real = r.label
@@ -155,12 +160,13 @@ URGENCY = """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high'
 HEAD = f"""
     SELECT {URGENCY} AS label, count(*) AS n, 0::BIGINT AS bad_probability, 0::BIGINT AS no_class,
            true AS learned
-    FROM orders GROUP BY ALL"""
+    FROM ({ranked('orders', 'o_orderkey', '0:split')}) WHERE r <= floor(0.2 * (SELECT count(*) FROM orders))
+    GROUP BY ALL"""
 
 
 def statements() -> dict[str, str]:
     matrix, lat = orders_matrix(), latent()
-    sample = f"SELECT * FROM ({ranked('part', 'p_partkey', '0:split')}) WHERE r <= floor(0.01 * (SELECT count(*) FROM part))"
+    sample = "SELECT * FROM part WHERE p_brand NOT IN ('Brand#12', 'Brand#34', 'Brand#55')"
     moments = " UNION ALL ".join(
         f"SELECT '{c}' AS name, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd,"
         " NULL::VARCHAR AS levels FROM lineitem"
@@ -254,11 +260,11 @@ def statements() -> dict[str, str]:
             FROM (SELECT 2 + count(DISTINCT o_orderpriority) + 1 AS d FROM orders)""",
         "fit_extract": """
             SELECT count(*) AS n, 256 AS width, 0::BIGINT AS not_finite, count(*) AS rows_trained,
-                   true AS loss_in_range
+                   true AS learned
             FROM orders""",
         "validation_loss": """
             SELECT epoch::INTEGER AS epoch, (n - floor(0.1 * n))::BIGINT AS train_rows,
-                   floor(0.1 * n)::BIGINT AS valid_rows, true AS loss_in_range
+                   floor(0.1 * n)::BIGINT AS valid_rows, true AS lower_than_before
             FROM (SELECT count(*) AS n FROM orders) CROSS JOIN range(2) e(epoch)""",
         "extract_with_labels": """
             SELECT o_orderstatus AS label, count(*) AS n, 256 AS narrowest, 256 AS widest, 0::BIGINT AS not_finite
@@ -273,8 +279,12 @@ def statements() -> dict[str, str]:
         "classify_gbt": HEAD,
         "classify_svm": HEAD,
         "classify_tree": HEAD,
+        "classify_tree_many": """
+            SELECT count(*) AS n, count(DISTINCT (p_brand, p_size > 25)) AS classes,
+                   count(DISTINCT (p_brand, p_size > 25)) AS predicted, count(*) AS hits
+            FROM part""",
         "classify_small": f"SELECT label, n, bad_probability, no_class FROM ({HEAD})",
-        "classify_knn": knn,
+        "classify_knn": f"{neighbour_votes()} SELECT vec_id, predicted::VARCHAR AS prediction FROM won",
         "classifier_roundtrip": knn,
         "predict_classes": f"""
             SELECT {URGENCY} AS real, count(*) AS n, 3::BIGINT AS cells, true AS learned FROM orders GROUP BY ALL""",

@@ -29,6 +29,13 @@ def as_classifier(model) -> LatentClassifierModel:
     raise TypeError("expected a fitted classifier or the path of a saved one")
 
 
+def check_excluded(encoder: ContrastiveEncoderModel, exclude_columns) -> None:
+    """The encoder reads its own columns only, so excluding others needs no work."""
+    clash = set(exclude_columns or ()) & set(encoder.prep.input_columns)
+    if clash:
+        raise ValueError(f"the encoder was trained on {sorted(clash)}, which cannot be excluded")
+
+
 def fit_extractor(
     dataframe_train: DataFrame,
     pretraining_type: str = "SCARF",
@@ -75,9 +82,7 @@ def extract_features(
         raise ValueError("labels are wanted, so name the label column")
     check_objective(pretraining_type)
     encoder = as_encoder(pretrained_model)
-    clash = set(exclude_columns or ()) & set(encoder.prep.input_columns)
-    if clash:
-        raise ValueError(f"the encoder was trained on {sorted(clash)}, which cannot be excluded")
+    check_excluded(encoder, exclude_columns)
     kept = [*(key_columns or ()), *([label_column] if want_labels else [])]
     latent = encoder.encode(dataframe.sparkSession)
     return dataframe.select(*kept, latent.alias(encoder.getOrDefault("outputCol")))
@@ -89,6 +94,7 @@ def train_classifier_on_extracted_features(
     pretraining_type: str = "SCARF",
     label_column: str | None = None,
     num_classes: int | None = None,
+    exclude_columns=None,
     classifier=None,
     classification_model_type: str | None = None,
     n_epochs: int = 50,
@@ -102,8 +108,10 @@ def train_classifier_on_extracted_features(
     """Fit a head on the latent rows of ``df_train``; ``save_path`` also stores it."""
     check_choice(classification_model_type, classifier)
     check_objective(pretraining_type)
+    encoder = as_encoder(pretrained_model)
+    check_excluded(encoder, exclude_columns)
     model = LatentClassifier(
-        encoder=as_encoder(pretrained_model),
+        encoder=encoder,
         kind=classification_model_type,
         classifier=classifier,
         labelCol=label_column,
@@ -122,16 +130,29 @@ def train_classifier_on_extracted_features(
 
 def downstream_prediction(
     df_test: DataFrame,
-    classification_model,
     pretrained_model=None,
     pretraining_type: str = "SCARF",
+    label_column: str | None = None,
+    classification_model=None,
+    exclude_columns=None,
     return_classification_report: bool = False,
 ):
-    """Predictions and probabilities, and on request the report as a second DataFrame."""
+    """Predictions and probabilities, and on request the report as a second DataFrame.
+
+    The classifier brings its encoder; ``pretrained_model`` replaces it in this call only, the model that
+    was passed stays as it is.  ``label_column`` names the true class in ``df_test`` if its name differs
+    from the one trained on; it is only needed for the report.
+    """
     check_objective(pretraining_type)
-    model = as_classifier(classification_model)
+    model = as_classifier(classification_model).copy()
     if pretrained_model is not None:
         model.encoder = as_encoder(pretrained_model)
+    if model.encoder is not None:
+        check_excluded(model.encoder, exclude_columns)
+    if label_column is not None:
+        model._set(labelCol=label_column)
+    if return_classification_report and model.getOrDefault("labelCol") not in df_test.columns:
+        raise ValueError(f"the table has no column {model.getOrDefault('labelCol')!r} to report on")
     predictions = model.transform(df_test)
     if return_classification_report:
         return predictions, model.classification_report(predictions)

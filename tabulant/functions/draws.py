@@ -47,5 +47,13 @@ def order(*parts, digits: int = 8) -> Column:
 
 
 def row_key(cols) -> Column:
-    """The key columns of a row as one string."""
-    return F.concat_ws(":", *[F.col(c).cast("string") for c in cols])
+    """The key columns of a row as one string, different for different keys.
+
+    One column is spelled as it is.  Several are joined by ``:``, with ``\\`` before a ``:`` or ``\\`` of a
+    value and ``\\N`` for null.
+    """
+    cells = [F.col(c).cast("string") for c in cols]
+    if len(cells) == 1:
+        return F.coalesce(cells[0], F.lit("\\N"))
+    escaped = [F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:")) for c in cells]
+    return F.concat_ws(":", *[F.coalesce(c, F.lit("\\N")) for c in escaped])

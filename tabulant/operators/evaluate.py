@@ -1,9 +1,10 @@
 """Label encoding and evaluation of predictions."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulant.operators.prep import MAX_LEVELS
+from tabulant.sources.scratch import materialize
 
 
 def label_counts(df: DataFrame, label: str, max_levels: int = MAX_LEVELS) -> tuple[dict[str, int], int]:
@@ -33,13 +34,14 @@ def label_index(label: Column, levels) -> Column:
 def confusion_matrix(df: DataFrame, predicted: str, real: str, levels) -> DataFrame:
     """``(predicted, real, n)`` for every pair of levels, zeros included.
 
-    Rows whose true label is not a training level drop out.  The rows are counted by
-    a partial aggregate; the grid has one row per pair of levels.
+    Rows whose true label is not a training level drop out: they are counted under -1, which is no
+    cell of the grid.  A filter instead would be pushed below the prediction and evaluate it
+    twice.  The rows are counted by a partial aggregate; the grid has one row per pair of levels.
     """
     names = F.array(*[F.lit(v) for v in levels])
     k = len(levels)
     cell = label_index(F.col(predicted), levels) * k + label_index(F.col(real), levels)
-    counts = df.select(cell.cast("bigint").alias("id")).where("id is not null").groupBy("id").count()
+    counts = df.select(F.coalesce(cell.cast("bigint"), F.lit(-1)).alias("id")).groupBy("id").count()
     grid = df.sparkSession.range(k * k).join(counts, "id", "left")
     return grid.select(
         F.get(names, F.expr(f"cast(id div {k} as int)")).alias("predicted"),
@@ -61,9 +63,13 @@ def accuracy(df: DataFrame, predicted: str, real: str, levels) -> DataFrame:
 
 
 def classification_report(df: DataFrame, predicted: str, real: str, levels) -> DataFrame:
-    """The confusion matrix with the overall accuracy (percent) on every row."""
-    matrix = confusion_matrix(df, predicted, real, levels)
-    whole = Window.partitionBy()  # k * k rows
-    hits = F.sum(F.expr("if(predicted = real, n, 0)")).over(whole)
-    share = F.try_divide(hits, F.sum("n").over(whole)) * 100
-    return matrix.select("predicted", "real", "n", F.round(share, 2).alias("accuracy"))
+    """The confusion matrix with the overall accuracy (percent) on every row.
+
+    Runs the predictions once and stores the matrix, one row per pair of levels, because it is read
+    twice: for its cells and for the accuracy.
+    """
+    matrix, _ = materialize(confusion_matrix(df, predicted, real, levels), "confusion")
+    hits = F.sum(F.expr("if(predicted = real, n, 0)"))
+    share = F.try_divide(hits, F.sum("n")) * 100
+    whole = matrix.agg(F.round(share, 2).alias("accuracy"))  # one row
+    return matrix.join(F.broadcast(whole))

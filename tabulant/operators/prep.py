@@ -5,6 +5,9 @@ usual chain (unknown level, z-score, one-hot) fitted in two jobs, one over the
 numeric and one over the nominal columns, and applied as a single ``select``.
 """
 
+import math
+from collections import Counter
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -52,6 +55,9 @@ def fit_moments(df: DataFrame, cols) -> dict[str, dict]:
             F.max(value).alias(f"max_{i}"),
         ]
     row = df.agg(*aggs).first()
+    endless = [name for i, name in enumerate(cols) if math.inf in (row[f"max_{i}"], -(row[f"min_{i}"] or 0.0))]
+    if endless:
+        raise ValueError(f"infinite values in {endless}")
     return {
         name: {
             "rows": row["rows"],
@@ -98,9 +104,17 @@ def fit_levels(df: DataFrame, cols, max_levels: int = MAX_LEVELS, nulls: bool =
 
 
 def checked(value, name: str):
-    """``value``, or a run-time error where it is null."""
+    """``value``, or a run-time error where it is null or infinite."""
+    message = F.lit(f"null value in column {name!r}")
+    endless = F.raise_error(F.lit(f"infinite value in column {name!r}")).cast("double")
+    known = F.when(F.abs(value) == F.lit(math.inf), endless).otherwise(value)
+    return F.coalesce(known, F.raise_error(message).cast("double"))
+
+
+def present(name: str):
+    """The category as a string, or a run-time error where it is null."""
     message = F.lit(f"null value in column {name!r}")
-    return F.coalesce(value, F.raise_error(message).cast("double"))
+    return F.coalesce(F.col(name).cast("string"), F.raise_error(message).cast("string"))
 
 
 def zscore(value, moments: dict):
@@ -224,14 +238,24 @@ class StandardizeModel(_Fitted):
 
 
 class OneHot(_Stage):
-    """One 0/1 column per level, appended after the other columns."""
+    """One 0/1 column per level, appended after the other columns; a null category is an error."""
 
     default = (all_nominal(),)
+    maxLevels = Param(Params._dummy(), "maxLevels", "levels allowed per column", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, terms=None, maxLevels=MAX_LEVELS):
+        super().__init__(terms=terms)
+        self._set(maxLevels=maxLevels)
 
     def _fit(self, dataset):
         cols = self._columns(dataset)
         levels = {c: known_levels(dataset, c) for c in cols}
-        levels.update(fit_levels(dataset, [c for c in cols if levels[c] is None]))
+        levels.update(fit_levels(dataset, [c for c in cols if levels[c] is None], self.getOrDefault("maxLevels")))
+        names = [one_hot_name(c, v) for c in cols for v in levels[c]] + [c for c in dataset.columns if c not in cols]
+        twice = sorted(n for n, times in Counter(names).items() if times > 1)
+        if twice:
+            raise ValueError(f"one-hot columns would repeat the names {twice[:5]}; rename the input columns")
         return OneHotModel(levels)
 
 
@@ -241,7 +265,7 @@ class OneHotModel(_Fitted):
         hot = [
             value.alias(one_hot_name(name, level))
             for name, levels in self.fitted.items()
-            for level, value in zip(levels, one_hot(F.col(name), levels))
+            for level, value in zip(levels, one_hot(present(name), levels))
         ]
         return dataset.select(*rest, *hot)
 

@@ -70,7 +70,7 @@ def validation_split(
 
 
 def stratified_sample(
-    df: DataFrame, label: str, key_cols, fraction: float = 0.05, seed: int = 0
+    df: DataFrame, label: str, key_cols, fraction: float = 0.05, seed: int = 0, max_levels: int = MAX_LEVELS
 ) -> DataFrame:
     """``round(fraction * n)`` rows of every class, ties to even, as in a grouped sample.
 
@@ -81,10 +81,10 @@ def stratified_sample(
     rows = hashed(df, key_cols, seed, "stratum").withColumn("__class", F.col(label))
     keys = rows.select("__class", HASH, RANGE, *key_cols)
     ranges = cut_ranges(keys, ["__class"], lambda total: F.bround(total * F.lit(fraction)))
-    found = ranges.limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{label!r} has more than {MAX_LEVELS} classes")
-    # one row per class, at most MAX_LEVELS, so both broadcasts are bounded
+    found = ranges.limit(max_levels + 1).collect()
+    if len(found) > max_levels:
+        raise ValueError(f"{label!r} has more than {max_levels} classes")
+    # one row per class, at most max_levels, so both broadcasts are bounded
     ranges = spark.createDataFrame(found, ranges.schema).withColumnRenamed("__class", "__of")
     same = F.col("__class").eqNullSafe(F.col("__of"))
     edge = keys.join(F.broadcast(ranges), same & (F.col(RANGE) == F.col("cut")))

@@ -10,9 +10,26 @@ from pyspark.sql import functions as F
 from tabulant.functions.draws import row_key
 from tabulant.functions.vectors import argmax_label
 from tabulant.operators import evaluate
+from tabulant.operators.neighbours import BLOCK_ROWS, CHUNK_ROWS, PIVOTS
+from tabulant.operators.prep import MAX_LEVELS
 from tabulant.operators.sampling import stratified_sample
 from tabulant.plans.encoder import ContrastiveEncoderModel, keyed, param
-from tabulant.plans.heads import ESTIMATORS, HEADS, KINDS, NEIGHBOURS, KnnHead, MlpHead, SparkHead, SvmHead
+from tabulant.plans.heads import (
+    ESTIMATORS,
+    FOREST_TREES,
+    FOURIER_FEATURES,
+    HEADS,
+    KINDS,
+    MAX_BINS,
+    MAX_DEPTH,
+    NEIGHBOURS,
+    SVM_ITERATIONS,
+    KnnHead,
+    MlpHead,
+    SparkHead,
+    SvmHead,
+)
+from tabulant.plans.rounds import LOCAL_STEPS, SHARDS
 from tabulant.sources.scratch import discard, materialize
 from tabulant.sources.store import Stored
 
@@ -40,8 +57,19 @@ class LatentClassifier(Estimator):
     epochs = param("epochs", "passes over the rows (MLP)", TypeConverters.toInt)
     dropout = param("dropout", "dropout rate (MLP)", TypeConverters.toFloat)
     batchSize = param("batchSize", "rows per batch (MLP)", TypeConverters.toInt)
-    numShards = param("numShards", "parallel shards (MLP), by size if unset", TypeConverters.toInt)
+    numShards = param("numShards", "parallel shards (MLP), whatever the table size", TypeConverters.toInt)
+    localSteps = param("localSteps", "most batches between two averages (MLP)", TypeConverters.toInt)
     neighbours = param("neighbours", "k (KNN)", TypeConverters.toInt)
+    blockRows = param("blockRows", "training rows per block (KNN)", TypeConverters.toInt)
+    chunkRows = param("chunkRows", "queries per chunk (KNN)", TypeConverters.toInt)
+    pivots = param("pivots", "cells of training rows (KNN)", TypeConverters.toInt)
+    maxDepth = param("maxDepth", "levels of a tree (Random Forest, C50)", TypeConverters.toInt)
+    maxBins = param("maxBins", "thresholds tried per feature (trees)", TypeConverters.toInt)
+    trees = param("trees", "trees of the forest (Random Forest)", TypeConverters.toInt)
+    fourierFeatures = param("fourierFeatures", "random features (SVM)", TypeConverters.toInt)
+    iterations = param("iterations", "most iterations of a plane (SVM); a warning says if they run out", TypeConverters.toInt)
+    maxLevels = param("maxLevels", "most classes", TypeConverters.toInt)
+    levels = param("levels", "classes in their order; by default those found, sorted", TypeConverters.toListString)
     small = param("small", "train on 5 percent of every class", TypeConverters.toBoolean)
     seed = param("seed", "seed of every draw", TypeConverters.toInt)
 
@@ -59,8 +87,19 @@ class LatentClassifier(Estimator):
         epochs=50,
         dropout=0.2,
         batchSize=256,
-        numShards=None,
+        numShards=SHARDS,
+        localSteps=LOCAL_STEPS,
         neighbours=NEIGHBOURS,
+        blockRows=BLOCK_ROWS,
+        chunkRows=CHUNK_ROWS,
+        pivots=PIVOTS,
+        maxDepth=MAX_DEPTH,
+        maxBins=MAX_BINS,
+        trees=FOREST_TREES,
+        fourierFeatures=FOURIER_FEATURES,
+        iterations=SVM_ITERATIONS,
+        maxLevels=MAX_LEVELS,
+        levels=None,
         small=False,
         seed=0,
     ):
@@ -70,7 +109,11 @@ class LatentClassifier(Estimator):
             raise ValueError("name the label column")
         if (encoder is None) == (featuresCol is None):
             raise ValueError("give either an encoder or a features column")
-        self._setDefault(keyCols=[], epochs=50, dropout=0.2, batchSize=256, neighbours=NEIGHBOURS, small=False, seed=0)
+        self._setDefault(
+            keyCols=[], epochs=50, dropout=0.2, batchSize=256, numShards=SHARDS, localSteps=LOCAL_STEPS,
+            neighbours=NEIGHBOURS, blockRows=BLOCK_ROWS, chunkRows=CHUNK_ROWS, pivots=PIVOTS, maxDepth=MAX_DEPTH, maxBins=MAX_BINS, trees=FOREST_TREES, fourierFeatures=FOURIER_FEATURES,
+            iterations=SVM_ITERATIONS, maxLevels=MAX_LEVELS, small=False, seed=0,
+        )
         given = {k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items()}
         self.encoder, self.choice, self.classifier = encoder, kind, classifier
         own = {k: v for k, v in given.items() if k not in ("encoder", "kind", "classifier")}
@@ -81,12 +124,17 @@ class LatentClassifier(Estimator):
         spark, label = dataset.sparkSession, get("labelCol")
         df, keys, _ = keyed(dataset, get("keyCols"))
         if get("small"):
-            df = stratified_sample(df.where(F.col(label).isNotNull()), label, keys, SMALL_FRACTION, get("seed"))
-        counts, missing = evaluate.label_counts(df, label)
+            df = stratified_sample(
+                df.where(F.col(label).isNotNull()), label, keys, SMALL_FRACTION, get("seed"), get("maxLevels")
+            )
+        counts, missing = evaluate.label_counts(df, label, get("maxLevels"))
         if missing:
             warnings.warn(f"{missing} rows without a label are left out", stacklevel=2)
             df = df.where(F.col(label).isNotNull())
-        levels = list(counts)
+        levels = list(get("levels")) if self.isSet("levels") else list(counts)
+        unknown = set(counts) - set(levels)
+        if unknown:
+            raise ValueError(f"{label!r} holds {sorted(unknown)[:5]}, which are not among the levels")
         if self.isSet("numClasses") and get("numClasses") != len(levels):
             raise ValueError(f"{get('numClasses')} classes expected, {len(levels)} found in {label!r}")
         if len(levels) < 2:
@@ -122,15 +170,18 @@ class LatentClassifier(Estimator):
                 dropout=get("dropout"),
                 batch_size=get("batchSize"),
                 seed=seed,
-                shards=get("numShards") if self.isSet("numShards") else None,
+                shards=get("numShards"),
+                local_steps=get("localSteps"),
             )
         if self.classifier is not None:
             return SparkHead.fit(self.classifier, rows, classes, seed)
         if self.choice in ESTIMATORS:
-            return SparkHead.fit(ESTIMATORS[self.choice](), rows, classes, seed)
+            estimator = ESTIMATORS[self.choice](get("maxDepth"), get("maxBins"), get("trees"))
+            return SparkHead.fit(estimator, rows, classes, seed)
         if self.choice == "SVM":
-            return SvmHead.fit(rows, classes, seed)
-        return KnnHead.fit(rows, classes, get("neighbours"), seed, get("keyCols"))
+            return SvmHead.fit(rows, classes, seed, get("fourierFeatures"), get("iterations"))
+        sizes = (get(p) for p in ("blockRows", "chunkRows", "pivots"))
+        return KnnHead.fit(rows, classes, get("neighbours"), seed, get("keyCols"), *sizes)
 
 
 class LatentClassifierModel(Model, Stored):

@@ -104,7 +104,9 @@ def test_functions_and_report(spark, clusters, encoder, tmp_path):
         save_path=path,
     )
     test = clusters.withColumn("label", F.expr("if(id % 100 = 0, 'never seen', label)"))
-    predictions, report = tb.downstream_prediction(test, path, encoder, return_classification_report=True)
+    predictions, report = tb.downstream_prediction(
+        test, encoder, "SCARF", "label", path, exclude_columns=["id"], return_classification_report=True
+    )
     assert predictions.count() == 600
     rows = report.collect()
     assert len(rows) == 9
@@ -112,7 +114,18 @@ def test_functions_and_report(spark, clusters, encoder, tmp_path):
     hits = sum(r.n for r in rows if r.predicted == r.real)
     assert {r.accuracy for r in rows} == {round(hits / 594 * 100, 2)}
     # the label is not needed to predict
-    assert tb.downstream_prediction(clusters.drop("label"), path).count() == 600
+    assert tb.downstream_prediction(clusters.drop("label"), classification_model=path).count() == 600
+    # another name for the truth, and no change of the model that was passed
+    model = tb.LatentClassifierModel.load(path)
+    own = model.encoder
+    named = test.withColumnRenamed("label", "truth")
+    _, again = tb.downstream_prediction(named, encoder, "SCARF", "truth", model, return_classification_report=True)
+    assert sorted(again.collect()) == sorted(rows)
+    assert model.encoder is own and model.getOrDefault("labelCol") == "label"
+    with pytest.raises(ValueError, match="truth"):
+        tb.downstream_prediction(clusters, encoder, "SCARF", "truth", model, return_classification_report=True)
+    with pytest.raises(ValueError, match="x0"):
+        tb.downstream_prediction(clusters, encoder, "SCARF", "label", model, exclude_columns=["x0"])
 
 
 def test_numeric_labels_sort_as_numbers(spark):
@@ -156,3 +169,66 @@ def test_neighbours_without_keys(spark, clusters):
     assert out.select("label", "v").exceptAll(rows).count() == 0
     assert out.count() == rows.count()
     assert out.where("prediction = label").count() > 0.95 * rows.count()
+
+
+def test_trees_tell_many_classes_apart(spark):
+    rows = [(i, f"c{i % 40:02d}", [float(i % 40), float(i % 7)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, label string, features array<double>")
+    model = tb.LatentClassifier(kind="C50", labelCol="label", featuresCol="features", keyCols=["id"]).fit(df)
+    out = model.transform(df).collect()
+    assert len({r.prediction for r in out}) == 40 and all(r.prediction == r.label for r in out)
+
+
+def test_given_levels_keep_their_order_and_unused_ones(spark):
+    rows = [(i, "ab"[i % 2], [float(i % 2), 0.5]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, label string, features array<double>")
+    choice = dict(kind="C50", labelCol="label", featuresCol="features", keyCols=["id"])
+    model = tb.LatentClassifier(levels=["z", "b", "a"], **choice).fit(df)
+    assert model.levels == ["z", "b", "a"]
+    out = model.transform(df).collect()
+    assert all(r.prediction == r.label and len(r.probability) == 3 and r.probability[0] == 0 for r in out)
+    with pytest.raises(ValueError, match="not among the levels"):
+        tb.LatentClassifier(levels=["a"], **choice).fit(df)
+
+
+def test_repeated_keys_keep_their_own_neighbours(spark):
+    train = spark.createDataFrame(
+        [(i, "ab"[i >= 20], [float(i >= 20) * 10 + i * 0.01]) for i in range(40)], "id bigint, label string, features array<double>"
+    )
+    model = tb.LatentClassifier(kind="KNN", labelCol="label", featuresCol="features", keyCols=["id"]).fit(train)
+    test = spark.createDataFrame([(1, [0.0]), (1, [11.0]), (1, [11.0])], "id bigint, features array<double>")
+    got = sorted((r.features[0], r.prediction, r.probability) for r in model.transform(test).collect())
+    assert got == [(0.0, "a", [1.0, 0.0]), (11.0, "b", [0.0, 1.0]), (11.0, "b", [0.0, 1.0])]
+
+
+def test_neighbours_far_from_the_origin(spark):
+    rng = np.random.default_rng(0)
+    points = 1e7 + rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i, "ab"[int(p[0] > 1e7)], p.tolist()) for i, p in enumerate(points)], "id bigint, label string, features array<double>")
+    model = tb.LatentClassifier(kind="KNN", labelCol="label", featuresCol="features", keyCols=["id"]).fit(df)
+    queries = 1e7 + rng.normal(size=(50, 4))
+    test = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "id bigint, features array<double>")
+    for r in model.transform(test).collect():
+        near = np.argsort(((points - queries[r.id]) ** 2).sum(axis=1), kind="stable")[:5]
+        assert r.probability[1] == pytest.approx(np.mean(points[near, 0] > 1e7))
+
+
+def test_a_stored_neighbour_model_is_not_overwritten_by_itself(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab"[i % 2], [float(i)]) for i in range(20)], "id bigint, label string, features array<double>")
+    path = str(tmp_path / "knn")
+    tb.LatentClassifier(kind="KNN", labelCol="label", featuresCol="features", keyCols=["id"]).fit(df).save(path)
+    loaded = tb.LatentClassifierModel.load(path)
+    with pytest.raises(Exception, match="another path|already exists"):
+        loaded.save(path)
+    assert tb.LatentClassifierModel.load(path).transform(df).count() == 20
+
+
+def test_predictions_are_evaluated_once(spark, clusters, encoder):
+    model = choose(encoder, "C50").fit(clusters)
+    predictions = model.transform(clusters)
+    for result, times in ((model.confusion_matrix(predictions), 1), (model.classification_report(predictions), 0)):
+        result.collect()
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        # the report reads the stored matrix, whose plan is that of confusion_matrix
+        assert final.count("ArrowEvalPython") == times, final

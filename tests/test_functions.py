@@ -48,3 +48,12 @@ def test_chance_agrees_with_uniform(spark):
     for rate in (0.0, 0.25, 0.6, 1.0):
         off = spark.range(500).where(draws.chance(d, rate) != (draws.uniform(d) < F.lit(rate)))
         assert off.count() == 0
+
+
+def test_composite_keys_do_not_collide(spark):
+    from tabulant.functions.draws import row_key
+
+    rows = [("a:b", "c"), ("a", "b:c"), (None, "a"), ("a", None), ("\\N", "a"), ("a\\", "b"), ("a", "\\:b"), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(row_key(["x", "y"]).alias("k")).distinct().count() == len(rows)
+    assert [r[0] for r in spark.createDataFrame([(7,)], "x int").select(row_key(["x"])).collect()] == ["7"]

@@ -155,3 +155,27 @@ def test_medians_with_a_heavy_value_and_wide_range(spark):
     got = medians(df, ["x", "y"])
     assert got["x"] == statistics.median(r.x for r in rows)
     assert got["y"] == pytest.approx(statistics.median(float(r.y) for r in rows if r.y is not None), rel=1e-15)
+
+
+def test_infinite_values_are_refused(spark):
+    good = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
+    for value in (float("inf"), float("-inf")):
+        bad = good.union(spark.createDataFrame([(value,)], "x double"))
+        with pytest.raises(ValueError, match="infinite"):
+            prep.TabularPrep().fit(bad)
+        with pytest.raises(Exception, match="infinite value in column 'x'"):
+            prep.TabularPrep().fit(good).transform(bad).collect()
+        with pytest.raises(Exception, match="infinite value in column 'x'"):
+            prep.TabularPrep(preprocess=False).fit(good).transform(bad).collect()
+
+
+def test_staged_one_hot_refuses_null_categories_and_repeated_names(spark):
+    df = spark.createDataFrame([("p", 1), ("q", 2)], "c string, n int")
+    model = prep.OneHot(terms=["c"]).fit(df)
+    with pytest.raises(Exception, match="null value in column 'c'"):
+        model.transform(spark.createDataFrame([(None, 1)], "c string, n int")).collect()
+    clash = spark.createDataFrame([("b_c", "x")], "a string, a_b string")
+    with pytest.raises(ValueError, match="a_b_c"):
+        prep.OneHot(terms=["a", "a_b"]).fit(clash.replace("x", "c"))
+    with pytest.raises(ValueError, match="more than 1 levels"):
+        prep.OneHot(terms=["c"], maxLevels=1).fit(df)
