@@ -6,8 +6,9 @@
    place and the words around it.  Other terms are not posted.
 4. Postings meet the items at their term.  A place minus the place in the item is the diagonal; the
    lists of a window's anchors are intersected on it.
-5. Where all anchors of a window agree, the words around decide: equal words are an exact phrase;
-   a text with most of the window's words there, in any order, is a proximity match.
+5. Where all anchors of a window agree, the words around decide: equal words are an exact phrase.
+   Where most of the 13 item words about an anchor stand around its posting, in any order, the text
+   has a proximity match.
 
 Everything is DataFrame operations, and texts are never shuffled.  The benchmark is taken in blocks
 of at most ``block_words`` words; what is broadcast are the terms of one block, so its size is bounded
@@ -77,41 +78,49 @@ def positional_index(texts: DataFrame, terms: DataFrame, window: int = WINDOW) -
     )
 
 
-def window_matches(postings: DataFrame, windows: DataFrame, near_share: float = NEAR_SHARE) -> DataFrame:
+def window_matches(
+    postings: DataFrame, windows: DataFrame, sequences: DataFrame, window: int = WINDOW, near_share: float = NEAR_SHARE
+) -> DataFrame:
     """``(key, text_hash, seq, kind, first, until)`` of phrases and proximity matches, words from 0."""
     lists = windows.select("seq", F.explode("anchors").alias("anchor")).select(
         "seq", F.col("anchor.term").alias("term"), F.col("anchor.at").alias("anchor_at")
     )
-    diagonals = (
-        postings.where(F.col("term") != END)
-        .join(lists.distinct(), "term")
-        .groupBy("key", "text_hash", "seq", (F.col("at") - F.col("anchor_at")).alias("diagonal"))
-        .agg(F.collect_set(F.struct("anchor_at", "around", "around_from")).alias("seen"))
+    left = F.greatest(F.col("anchor_at") - window // 2, F.lit(0))
+    fewest = windows.groupBy("seq").agg(F.min(F.size("anchors")).alias("least"))
+    lists = lists.distinct().join(sequences, "seq").join(fewest, "seq")
+    lists = lists.select("seq", "term", "anchor_at", "least", F.slice("words", left + 1, window).alias("centre"))
+    met = postings.where(F.col("term") != END).join(lists, "term")
+
+    held = F.size(F.array_intersect("centre", "around")) / F.size(F.array_distinct("centre"))
+    near = met.where(held >= near_share).select(
+        "key",
+        "text_hash",
+        "seq",
+        F.lit("near").alias("kind"),
+        F.col("around_from").alias("first"),
+        (F.col("around_from") + F.size("around")).alias("until"),
     )
-    by_item = windows.groupBy("seq").agg(
-        F.min(F.size("anchors")).alias("least"), F.collect_list(F.struct("first", "window", "anchors")).alias("windows")
+
+    diagonals = met.groupBy("key", "text_hash", "seq", (F.col("at") - F.col("anchor_at")).alias("diagonal")).agg(
+        F.max("least").alias("least"), F.collect_set(F.struct("anchor_at", "around", "around_from")).alias("seen")
     )
-    crossing = diagonals.join(by_item, "seq").where(F.size("seen") >= F.col("least"))
+    # a diagonal with fewer anchors than any window has goes no further
+    diagonals = diagonals.where(F.size("seen") >= F.col("least"))
+    by_item = windows.groupBy("seq").agg(F.collect_list(F.struct("first", "window", "anchors")).alias("windows"))
+    crossing = diagonals.join(by_item, "seq")
     places = F.transform("seen", lambda s: s["anchor_at"])
-    crossing = crossing.withColumn(
-        "agreed", F.filter("windows", lambda w: F.forall(w["anchors"], lambda a: F.array_contains(places, a["at"])))
-    ).where(F.size("agreed") > 0)
-    agreed = crossing.select("key", "text_hash", "seq", "diagonal", "seen", F.explode("agreed").alias("w"))
+    agreed = F.filter("windows", lambda w: F.forall(w["anchors"], lambda a: F.array_contains(places, a["at"])))
+    agreed = crossing.select("key", "text_hash", "seq", "diagonal", "seen", F.explode(agreed).alias("w"))
     rarest = F.col("w.anchors")[0]["at"]
     agreed = agreed.withColumn("here", F.filter("seen", lambda s: s["anchor_at"] == rarest)[0])
     first = F.col("diagonal") + F.col("w.first")
     length = F.size("w.window")
     offset = first - F.col("here.around_from")
     exact = (offset >= 0) & (F.slice("here.around", F.greatest(offset, F.lit(0)) + 1, length) == F.col("w.window"))
-    held = F.size(F.array_intersect("w.window", "here.around")) / F.size(F.array_distinct("w.window"))
-    return agreed.select(
-        "key",
-        "text_hash",
-        "seq",
-        F.when(exact, "phrase").when(held >= near_share, "near").alias("kind"),
-        first.alias("first"),
-        (first + length).alias("until"),
-    ).where("kind is not null")
+    phrases = agreed.where(exact).select(
+        "key", "text_hash", "seq", F.lit("phrase").alias("kind"), first.alias("first"), (first + length).alias("until")
+    )
+    return phrases.union(near)
 
 
 def benchmark_matches(
@@ -150,12 +159,15 @@ def benchmark_matches(
         postings, _ = materialize(positional_index(texts, rare, window), "postings")
         if lengths is None:
             lengths = postings.where(F.col("term") == END).select("key", "text_hash", F.col("at").cast("long").alias("n_words"))
-        matches.append(window_matches(postings, windows))
+        matches.append(window_matches(postings, windows, own, window))
     return lengths, reduce(DataFrame.union, matches), owners
 
 
 def contamination(lengths: DataFrame, matches: DataFrame, owners: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per text: hit words, items, and whether at least one word in twenty is hit."""
+    """One row per text: hit words, items, and whether at least one word in twenty is hit.
+
+    ``n_near`` counts the item texts that are near but have no phrase in the text.
+    """
     found, _ = materialize(matches.distinct(), "matches")
     own = ["key", "text_hash"]
     exact = found.where("kind = 'phrase'")
@@ -175,19 +187,19 @@ def contamination(lengths: DataFrame, matches: DataFrame, owners: DataFrame, key
     none = F.lit(None).cast("string")
 
     def marks_of(df, **given):
-        cells = {"span": F.when(F.lit(False), span), "item": none, "near": none} | given
+        cells = {"span": F.when(F.lit(False), span), "item": none, "seq": none, "near": none} | given
         return df.select(*own, *[c.alias(n) for n, c in cells.items()])
 
     named = exact.select(*own, "seq", "first", "until").dropDuplicates([*own, "seq"]).join(owners, "seq")
     marks = (
-        marks_of(exact, span=span)
+        marks_of(exact, span=span, seq=F.col("seq"))
         .union(marks_of(named, item=F.col("item").cast("string")))
         .union(marks_of(found.where("kind = 'near'"), near=F.col("seq")))
         .groupBy(*own)
         .agg(
             covered(F.array_sort(F.collect_set("span"))).cast("long").alias("n_hit"),  # 13 spans per word at most
             F.array_sort(F.collect_set("item")).alias("items"),
-            F.size(F.collect_set("near")).cast("long").alias("n_near"),
+            F.size(F.array_except(F.collect_set("near"), F.collect_set("seq"))).cast("long").alias("n_near"),
         )
     )
     marks = marks.withColumnsRenamed({"key": "own_key", "text_hash": "own_hash"})
