@@ -569,8 +569,8 @@ def entry(spark: SparkSession) -> DataFrame:
     return encoder_forward(spark, "/root/testdata/sf0.001")
 
 
-# the pipeline operators come and go as one subpackage
-if importlib.util.find_spec("tabulant.llm"):
+# the pipeline operators come and go as one subpackage; a folder without modules has no origin
+if getattr(importlib.util.find_spec("tabulant.llm"), "origin", None):
     from tabulant.llm import queries as llm_queries
 else:
     llm_queries = None

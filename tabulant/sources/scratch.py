@@ -1,5 +1,6 @@
 """Intermediate tables in the folder that all executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tabulant-")
     spark.conf.set("spark.checkpoint.dir", folder)
