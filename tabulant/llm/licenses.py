@@ -62,11 +62,8 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
 def licence_idf(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> dict[str, float]:
     """``1 + ln((N + 1) / (df + 1))`` of each licence word; one row per word reaches the driver."""
     vocab = vocabulary(templates)
-    counts = (
-        docs.select(F.explode(F.array_append(F.array_intersect(words(F.col(text)), string_array(vocab)), F.lit(""))).alias("word"))
-        .groupBy("word")
-        .count()
-    )
+    held = F.array_append(F.array_intersect(words(F.col(text)), string_array(vocab)), F.lit(""))
+    counts = docs.select(F.explode(held).alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in counts.collect()}  # "" stands once in every row
     n = df.get("", 0)
     return {w: 1 + math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocab}

@@ -85,7 +85,10 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     """What ``pack`` needs of documents: the length in byte-level tokens with one separator, equal texts as a cluster."""
     length = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1
     return docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), length.alias("length"), F.xxhash64(F.col(text)).alias("cluster")
+        F.col(key).alias("doc_id"),
+        F.col(source).alias("source"),
+        length.alias("length"),
+        F.xxhash64(F.col(text)).alias("cluster"),
     )
 
 

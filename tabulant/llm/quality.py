@@ -103,7 +103,8 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, small: int
             break
         at = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).alias("bin")
         here = inside.where((F.col("x") >= low) & (F.col("x") <= high))
-        counts = {r["bin"]: r for r in here.groupBy(at).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+        found = here.groupBy(at).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        counts = {r["bin"]: r for r in found.collect()}
         for b in sorted(counts, reverse=True):
             if counts[b]["n"] >= k:
                 break

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulant.sources.scratch import new_path
@@ -38,7 +38,7 @@ def fisher_yates(n: int, seed: tuple) -> np.ndarray:
     return order
 
 
-def _shuffle_buckets(bucket_bytes: int, seed: int, schema: pa.Schema, rows_per_batch: int = 512):
+def _shuffle_buckets(bucket_bytes: int, seed: int, rows_per_batch: int = 512):
     """A function for ``mapInArrow`` over partitions of one bucket each, in a fixed order of rows.
 
     A bucket larger than planned (rows that repeat one key) is permuted in blocks of
@@ -50,9 +50,8 @@ def _shuffle_buckets(bucket_bytes: int, seed: int, schema: pa.Schema, rows_per_b
         order = fisher_yates(table.num_rows, (seed, bucket, block_no))
         for low in range(0, table.num_rows, rows_per_batch):
             part = table.take(pa.array(order[low : low + rows_per_batch])).combine_chunks()
-            pos = pa.array(np.arange(start + low, start + low + part.num_rows))
-            columns = [part.column(f.name) if f.name != "pos" else pos for f in schema]
-            yield from pa.Table.from_arrays(columns, schema=schema).to_batches()
+            places = pa.array(np.arange(start + low, start + low + part.num_rows))
+            yield from part.append_column("pos", places).to_batches()
 
     def run(batches):
         block, size, start, block_no, bucket = [], 0, 0, 0, 0
@@ -104,10 +103,8 @@ def write_shards(
         .sortWithinPartitions("scatter", "key")
         .select("key", "text", "shard", "bucket")
     )
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(rows.dtypes)["key"]]
-    schema = pa.schema([("key", kind), ("text", pa.string()), ("shard", pa.int32()), ("bucket", pa.int32()), ("pos", pa.int64())])
     spelled = f"key {dict(rows.dtypes)['key']}, text string, shard int, bucket int, pos bigint"
-    dealt.mapInArrow(_shuffle_buckets(bucket_bytes, seed, schema), spelled).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(_shuffle_buckets(bucket_bytes, seed), spelled).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -122,6 +119,6 @@ def with_slots(rows: DataFrame) -> DataFrame:
     Only the columns of ``rows`` travel: select what is needed of the texts before.
     """
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = F.expr("coalesce(sum(n) over (partition by shard order by bucket rows between unbounded preceding and 1 preceding), 0)")
-    starts = counts.select("bucket", before.alias("start"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return rows.join(starts, "bucket").withColumn("slot", F.col("start") + F.col("pos")).drop("start", "pos", "bucket")

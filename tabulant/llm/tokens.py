@@ -45,13 +45,13 @@ def write_flat(
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary
     width = "<u2" if eod < 1 << 16 else "<u4"
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = pa.schema(
-        [("file", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("first", pa.int64()), ("keys", pa.list_(pa.int64()))]
-    )
+    names, kinds = ["file", "block", "tokens", "first", "keys"], [pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    schema = pa.schema(zip(names, [*kinds, pa.list_(pa.int64())]))
 
     def run(batches):
         file, block, held, size, first = TaskContext.get().partitionId(), 0, [], 0, 0
-        encode = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+        encode = encoding.encode_ordinary
         close = np.array([eod], width)
 
         def row(block, tokens, first, keys):
@@ -80,7 +80,8 @@ def write_flat(
     path = new_path(docs.sparkSession, "flat")
     rows.mapInArrow(run, spelled).write.option("compression", "zstd").parquet(path)
     flat = docs.sparkSession.read.schema(spelled).parquet(path)
-    return flat.where("block is not null").select("file", "block", "tokens"), flat.where("block is null").select("file", "first", "keys")
+    whole = flat.where("block is not null").select("file", "block", "tokens")
+    return whole, flat.where("block is null").select("file", "first", "keys")
 
 
 def separators(blocks: DataFrame, eod: int) -> DataFrame:
@@ -92,7 +93,8 @@ def separators(blocks: DataFrame, eod: int) -> DataFrame:
             flat = [np.frombuffer(t.as_buffer(), width) for t in batch.column(2)]
             ends = pa.array([np.flatnonzero(t == eod) for t in flat], pa.list_(pa.int64()))
             sizes = pa.array([len(t) for t in flat], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, ends], names=["file", "block", "n", "ends"])
+            cells = [batch.column(0), batch.column(1), sizes, ends]
+            yield pa.RecordBatch.from_arrays(cells, names=["file", "block", "n", "ends"])
 
     return blocks.select("file", "block", "tokens").mapInArrow(run, "file int, block bigint, n bigint, ends array<bigint>")
 
@@ -126,7 +128,11 @@ def scan(blocks: DataFrame, eod: int) -> DataFrame:
     closed = found.select("file", "ordinal", "base", "carried", "ends", F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("carried") + 1).otherwise(F.col("base") + F.get("ends", F.col("i") - 1) + 1)
     closed = closed.select(
-        "file", (F.col("ordinal") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("base") + F.col("end")).alias("end"), F.lit(True).alias("closed")
+        "file",
+        (F.col("ordinal") + F.col("i")).alias("ordinal"),
+        start.alias("start"),
+        (F.col("base") + F.col("end")).alias("end"),
+        F.lit(True).alias("closed"),
     )
     files = found.groupBy("file").agg(
         F.sum("k").alias("ordinal"), (F.coalesce(F.max("last"), F.lit(-1)) + 1).alias("start"), F.sum("n").alias("end")

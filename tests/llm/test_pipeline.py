@@ -2,9 +2,11 @@ import json
 from collections import Counter
 
 import pytest
+import xxhash
 
 import corpus_pipeline
-from tabulant.llm import packing, queries, toxicity
+from tabulant.llm import packing, quality, queries, simhash, toxicity
+from tests.llm.test_simhash import brute_components
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,6 +43,31 @@ def test_toxic_documents_go(spark, documents):
     assert {json.dumps(r.asDict()) for r in stage("toxicity")(spark, documents, SF).collect()} == want
 
 
+def test_quality_keeps_what_resampling_selects(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sampled = quality.resample(documents, labels).where("selected")
+    kept = stage("quality")(spark, documents, SF)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in sampled.collect())
+
+
+def test_near_duplicates_equal_brute_force(spark, documents):
+    rows = sorted({(r["doc_id"], r["text"] or "") for r in documents.collect()}, key=str)
+    prints = [(simhash.majority(simhash.distinct_words(t)), simhash.simhash(t, simhash.COPY_SHINGLE)) for _, t in rows]
+    entries = sorted(set(prints))
+
+    def linked(a, b):
+        near = (a[0] ^ b[0]).bit_count() <= simhash.DISTANCE
+        return near and (a[1] ^ b[1]).bit_count() <= simhash.COPY_DISTANCE
+
+    root, least = brute_components(entries, linked), {}
+    for (key, text), entry in zip(rows, prints):
+        hashed = simhash.signed(xxhash.xxh64_intdigest(text.encode(), 42))
+        place = (key is None, key or 0, hashed)
+        least[root[entry]] = min(least.get(root[entry], (place, key, text)), (place, key, text))
+    kept = stage("near_duplicates")(spark, documents, SF).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter(x[1:] for x in least.values())
+
+
 def test_one_of_each_group_of_copies_stays(spark, documents):
     kept = stage("near_duplicates")(spark, documents, SF).collect()
     texts = Counter(r["text"] or "" for r in kept)

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,8 @@ from tabulant.llm import components, simhash
 
 
 def brute_fingerprint(text, size=4):
-    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
     if not words:
         return 0
     parts = [words] if len(words) < size else [words[i : i + size] for i in range(len(words) - size + 1)]
