@@ -28,7 +28,7 @@ BITS, BYTES, DISTANCE = 64, 8, 4
 SHINGLE = 4
 HASH_SEED = 42
 LIST = 64
-COPY_SHINGLE, COPY_DISTANCE = 5, 10
+COPY_SHINGLE, COPY_DISTANCE = 5, 12
 POSITIONS = list(combinations(range(BYTES), BYTES - DISTANCE))
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
