@@ -111,7 +111,8 @@ class LatentClassifier(Estimator):
             raise ValueError("give either an encoder or a features column")
         self._setDefault(
             keyCols=[], epochs=50, dropout=0.2, batchSize=256, numShards=SHARDS, localSteps=LOCAL_STEPS,
-            neighbours=NEIGHBOURS, blockRows=BLOCK_ROWS, chunkRows=CHUNK_ROWS, pivots=PIVOTS, maxDepth=MAX_DEPTH, maxBins=MAX_BINS, trees=FOREST_TREES, fourierFeatures=FOURIER_FEATURES,
+            neighbours=NEIGHBOURS, blockRows=BLOCK_ROWS, chunkRows=CHUNK_ROWS, pivots=PIVOTS,
+            maxDepth=MAX_DEPTH, maxBins=MAX_BINS, trees=FOREST_TREES, fourierFeatures=FOURIER_FEATURES,
             iterations=SVM_ITERATIONS, maxLevels=MAX_LEVELS, small=False, seed=0,
         )
         given = {k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items()}
