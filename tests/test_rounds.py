@@ -124,3 +124,13 @@ def test_shards_are_even(rows):
     assert all(0 <= lot < WORD for lot in lots)
     sizes = np.bincount(np.array(lots) % 4)
     assert sizes.min() > 50
+
+
+@pytest.mark.parametrize("n", [2_000, 33_000])
+def test_tables_of_any_size_take_the_same_shards(spark, n):
+    cells = [F.rand(j).alias(str(j)) for j in range(4)]
+    table = spark.range(n).select(F.col("id").cast("string").alias("key"), F.array(*[c for c in cells]).alias("features"))
+    state, history = rounds.train(table, objective(), n=n, epochs=1, batch_size=256, seed=0)
+    assert history[0]["rows"] == n
+    # the longest shard decides the number of steps: about a fourth of the batches at every size
+    assert state["t"] == pytest.approx(n / 256 / rounds.SHARDS, rel=0.1, abs=1)
