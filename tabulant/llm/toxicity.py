@@ -23,8 +23,8 @@ SIZES = (3, 4, 5)
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 WINDOW = 6
-FIT_ROWS = {0: 4000, 1: 1500}
-MAX_FIT_BYTES = 1 << 16
+FIT_ROWS = {0: 2500, 1: 1500}
+MAX_FIT_BYTES = 1 << 14
 EPOCHS = 15
 SETTLED = 0.01  # a text with a smaller error moves nothing
 REFRESH = 32  # texts between two refreshes of the numbers that choose windows
@@ -101,6 +101,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -30, 30))))
 
 
+def _prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Features of all texts in two flat arrays, and per text the ends of its windows in them.
+
+    A text has at most one feature per byte and n-gram size and one per word; what is reserved beyond the
+    true number is never touched.
+    """
+    room = sum(len(SIZES) * (len(t.encode()) + 2) + len(t) // 2 + 2 for t in texts)
+    buckets_of, weight_of = np.empty(room, np.int32), np.empty(room, np.float32)
+    cuts_of, end = [], 0
+    for text in texts:
+        buckets, weight, window = features(text)
+        buckets_of[end : end + len(buckets)] = buckets
+        weight_of[end : end + len(buckets)] = weight
+        cuts_of.append(end + np.searchsorted(window, np.arange(window.max(initial=-1) + 2)))
+        end += len(buckets)
+    return buckets_of, weight_of, cuts_of
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.5) -> Model:
     """Train embeddings and softmax together by Adagrad; without both classes every text scores 0.
 
@@ -113,17 +131,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     softmax = rng.uniform(-0.5, 0.5, (2, DIMENSIONS)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_e, seen_s, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full(2, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    prepared = []
-    for text in texts:
-        buckets, weight, window = features(text)
-        prepared.append((buckets, weight, np.searchsorted(window, np.arange(window.max(initial=-1) + 2))))
+    buckets_of, weight_of, cuts_of = _prepared(texts)
 
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for turn, i in enumerate(rng.permutation(len(texts))):
             if turn % REFRESH == 0:
                 toxic = embeddings @ (softmax[1] - softmax[0])
-            buckets, weight, cuts = prepared[i]
+            cuts = cuts_of[i]
+            buckets, weight = buckets_of[cuts[0] : cuts[-1]], weight_of[cuts[0] : cuts[-1]]
+            cuts = cuts - cuts[0]
             if len(buckets):
                 # at first any window, then the one that is most toxic so far
                 w = int(rng.integers(len(cuts) - 1)) if not epoch else 0
