@@ -11,6 +11,11 @@ paired: each of its fingerprints is hot.  Hot ones are linked through their neig
 bits: two fingerprints differ in at most four bits exactly if they share such a neighbour.  A
 fingerprint thus costs at most 2,081 rows there, or ``70 * LIST`` comparisons, never a pair per
 pair of a group.
+
+A second, finer fingerprint to verify by does not carry over from a pair to its neighbours.  There a hot
+list is searched breadth first: each entry is compared with those that nothing has reached yet.  A
+group of near copies is reached by a few of its entries; only entries that are alike in the first
+fingerprint and far apart in the second are all compared, in numpy and without a row per pair.
 """
 
 from itertools import combinations
@@ -117,18 +122,51 @@ def fingerprints(
     )
 
 
-LINKS = "a bigint, b bigint, fp bigint, fine bigint"
-LINK_NAMES = ["a", "b", "fp", "fine"]
+LINKS = "a bigint, b bigint, fp bigint"
+LINK_NAMES = ["a", "b", "fp"]
+
+
+def owns_pairs(chosen: int, fps: np.ndarray) -> bool:
+    """Whether a list may hold pairs whose four lowest shared positions are its own.
+
+    Such a pair differs in every other position below the list's last one.
+    """
+    own = POSITIONS[chosen]
+    cells = fps.reshape(-1, 1).view(np.uint8)
+    return all((cells[:, p] != cells[0, p]).any() for p in range(own[-1]) if p not in own)
+
+
+def spanning_links(fps: np.ndarray, fines: np.ndarray, within: int) -> np.ndarray:
+    """Rows ``(i, j)`` that span the components of all pairs within four bits and ``within`` bits of the fine ones."""
+    left, links, reached = np.arange(len(fps)), [], []
+    left_fps, left_fines = fps, fines
+    while len(left):
+        if reached:
+            i = reached.pop()
+        else:
+            i, left, left_fps, left_fines = left[0], left[1:], left_fps[1:], left_fines[1:]
+        near = np.bitwise_count(left_fines ^ fines[i]) <= within
+        if near.any():
+            near &= np.bitwise_count(left_fps ^ fps[i]) <= DISTANCE
+            found = left[near]
+            links.append(np.stack([np.full(len(found), i), found], 1))
+            reached += found.tolist()
+            left, left_fps, left_fines = left[~near], left_fps[~near], left_fines[~near]
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
 
 
 def _pairs_in_lists(size: int, within: int | None):
     """For ``mapInArrow`` over rows ``(chosen, part, fp[, fine])`` sorted by list.
 
-    Emits links ``(a, b)`` between entries, and each hot entry as ``(a, null, fp, fine)``.
+    Emits links ``(a, b)`` between entries and, without ``within``, each hot entry as ``(null, null, fp)``.
     """
 
     def linked(chosen: int, rows: np.ndarray):
         fps = rows[:, 0].view(np.uint64)
+        if len(fps) > size:  # with fine fingerprints only
+            if not owns_pairs(chosen, fps):
+                return np.zeros((0, 2), np.int64)
+            return entry_of(rows[:, 0], rows[:, 1])[spanning_links(fps, rows[:, 1].view(np.uint64), within)]
         i, j = np.triu_indices(len(fps), 1)
         differ = fps[i] ^ fps[j]
         shared = differ.view(np.uint8).reshape(-1, BYTES) == 0
@@ -146,13 +184,11 @@ def _pairs_in_lists(size: int, within: int | None):
         if links:
             ab = np.concatenate(links)
             none = pa.nulls(len(ab), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), none, none], names=LINK_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), none], names=LINK_NAMES)
         if warm:
-            rows = np.unique(np.concatenate(warm), axis=0)
-            fines = pa.array(rows[:, 1]) if within is not None else pa.nulls(len(rows), pa.int64())
-            entries = entry_of(rows[:, 0].copy(), rows[:, 1].copy() if within is not None else None)
-            cells = [pa.array(entries), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0]), fines]
-            yield pa.RecordBatch.from_arrays(cells, names=LINK_NAMES)
+            fps = pa.array(np.unique(np.concatenate(warm)))
+            none = pa.nulls(len(fps), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, fps], names=LINK_NAMES)
 
     def run(batches):
         held, count, held_list, hot = [], 0, None, False
@@ -177,7 +213,7 @@ def _pairs_in_lists(size: int, within: int | None):
                     held, count, held_list, hot = [], 0, name, False
                 if hot:
                     warm.append(own)
-                elif count + len(own) > size:
+                elif within is None and count + len(own) > size:
                     warm += [*held, own]
                     held, hot = [], True
                 else:
@@ -190,57 +226,40 @@ def _pairs_in_lists(size: int, within: int | None):
 
 
 def _neighbours(batches):
-    """Rows ``(entry, fp, fine)`` become ``(near, entry, fine)`` for all values within two bits of ``fp``."""
+    """Fingerprints ``fp`` become ``(near, entry)`` for all values within two bits."""
     for batch in batches:
-        entry, fp, fine = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2)
+        fp = batch.column(0).to_numpy()
         for low in range(0, len(fp), 256):
-            some = slice(low, low + 256)
-            near = (fp[some, None] ^ FLIPS[None, :]).ravel().view(np.int64)
-            fines = pa.array(np.repeat(fine[some].to_numpy(), len(FLIPS)))
-            cells = [pa.array(near), pa.array(np.repeat(entry[some], len(FLIPS))), fines]
-            yield pa.RecordBatch.from_arrays(cells, names=["near", "entry", "fine"])
-
+            some = fp[low : low + 256]
+            near = (some.view(np.uint64)[:, None] ^ FLIPS[None, :]).ravel().view(np.int64)
+            cells = [pa.array(near), pa.array(np.repeat(some, len(FLIPS)))]
+            yield pa.RecordBatch.from_arrays(cells, names=["near", "entry"])
 
-def _stars(within: int | None):
-    """Rows ``(near, entry, fine)`` sorted by all become links to the first and the previous entry there."""
 
-    def run(batches):
-        last = None  # the open group: its neighbour, first entry and fine, last entry and fine
-        for batch in batches:
-            near, entry, fine = (batch.column(i).to_numpy() for i in range(3))
-            if not len(near):
-                continue
-            goes_on = last is not None and near[0] == last[0]
-            opens = np.concatenate([[not goes_on], near[1:] != near[:-1]])
-            group = np.cumsum(opens) - (0 if goes_on else 1)
-            firsts, first_fines = entry[opens], fine[opens]
-            if goes_on:
-                firsts, first_fines = np.concatenate([last[1:2], firsts]), np.concatenate([last[2:3], first_fines])
-            links = [(entry, firsts[group], fine, first_fines[group])]
-            if within is not None:
-                before = np.concatenate([last[3:4] if goes_on else entry[:1], entry[:-1]])
-                before_fine = np.concatenate([last[4:5] if goes_on else fine[:1], fine[:-1]])
-                before, before_fine = np.where(opens, entry, before), np.where(opens, fine, before_fine)
-                links.append((entry, before, fine, before_fine))
-            last = np.array([near[-1], firsts[group[-1]], first_fines[group[-1]], entry[-1], fine[-1]])
-            pairs = []
-            for a, b, fa, fb in links:
-                keep = a != b
-                if within is not None:
-                    keep &= np.bitwise_count(fa.view(np.uint64) ^ fb.view(np.uint64)) <= within
-                pairs.append(np.stack([a[keep], b[keep]], 1))
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return run
+def _stars(batches):
+    """Rows ``(near, entry)`` sorted by both become links to the first entry there."""
+    last = None  # the open group: its neighbour and first entry
+    for batch in batches:
+        near, entry = (batch.column(i).to_numpy() for i in range(2))
+        if not len(near):
+            continue
+        goes_on = last is not None and near[0] == last[0]
+        opens = np.concatenate([[not goes_on], near[1:] != near[:-1]])
+        group = np.cumsum(opens) - (0 if goes_on else 1)
+        firsts = entry[opens]
+        if goes_on:
+            firsts = np.concatenate([last[1:], firsts])
+        last = np.array([near[-1], firsts[group[-1]]])
+        first = firsts[group]
+        pairs = np.unique(np.stack([entry, first], 1)[entry != first], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def near_links(entries: DataFrame, list_size: int = LIST, within: int | None = None) -> DataFrame:
     """Links ``(a, b)`` between entries whose components are those of all pairs within four bits.
 
-    ``entries`` has distinct ``(fp, fine)``.  With ``within`` a link is verified: the fine fingerprints differ
-    in at most so many bits; among hot entries each is then compared with the first and the one
-    before at each shared neighbour, in the order of the fine fingerprint.
+    ``entries`` has distinct ``(fp, fine)``.  With ``within`` the pairs are those whose fine fingerprints also differ
+    in at most so many bits, whatever ``list_size``.
     """
     masks = F.array(*[F.lit(m) for m in MASKS])
     parts = F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("chosen", "part")
@@ -248,11 +267,13 @@ def near_links(entries: DataFrame, list_size: int = LIST, within: int | None = N
     index = entries.select(*own, parts).select("chosen", "part", *own)
     lists = index.repartition("chosen", "part").sortWithinPartitions("chosen", "part")
     found, _ = materialize(lists.mapInArrow(_pairs_in_lists(list_size, within), LINKS), "links")
-    hot = found.where("b is null").select(F.col("a").alias("entry"), "fp", F.coalesce("fine", F.lit(0)).alias("fine"))
-    near = hot.distinct().repartition("entry").mapInArrow(_neighbours, "near bigint, entry bigint, fine bigint")
-    near = near.repartition("near").sortWithinPartitions("near", "fine", "entry")
-    stars = near.mapInArrow(_stars(within), "a bigint, b bigint").distinct()
-    return found.where("b is not null").select("a", "b").union(stars)
+    links = found.where("b is not null").select("a", "b")
+    if within is not None:
+        return links
+    hot = found.where("b is null").select("fp").distinct()
+    near = hot.repartition("fp").mapInArrow(_neighbours, "near bigint, entry bigint")
+    near = near.repartition("near").sortWithinPartitions("near", "entry")
+    return links.union(near.mapInArrow(_stars, "a bigint, b bigint").distinct())
 
 
 def _grouped(prints: DataFrame, list_size: int, within: int | None) -> DataFrame:

@@ -105,6 +105,35 @@ def test_near_copies(spark):
         assert all(r["representative"] == (r["component"] == k) for k, r in got.items())
 
 
+@pytest.mark.parametrize("list_size", [1, 64])
+def test_verified_links_of_hot_groups(spark, list_size):
+    rng, entries = random.Random(4), set()
+
+    def flipped(value, most):
+        return value ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(most + 1)))
+
+    for spread in (0, 3):  # one fingerprint, and many within reach of each other
+        centre = rng.getrandbits(64)
+        for _ in range(30):  # pairs of near copies, scattered in the fine fingerprint
+            fine = rng.getrandbits(64)
+            entries |= {(flipped(centre, spread), fine), (flipped(centre, spread), flipped(fine, 14))}
+        fine = rng.getrandbits(64)
+        entries |= {(flipped(centre, spread), flipped(fine, 8)) for _ in range(90)}
+    entries = sorted((simhash.signed(fp), simhash.signed(fine)) for fp, fine in entries)
+
+    def linked(a, b):
+        return all((x % 2**64 ^ y % 2**64).bit_count() <= n for x, y, n in zip(a, b, (4, 12)))
+
+    numbers = simhash.entry_of(*np.array(entries).T.copy()).tolist()
+    found = simhash.near_links(spark.createDataFrame(entries, "fp long, fine long").repartition(3), list_size, 12)
+    of = dict(zip(numbers, entries))
+    pairs = {(of[a], of[b]) for a, b in found.collect()}
+    assert all(linked(a, b) for a, b in pairs)
+    want = brute_components(entries, linked)
+    assert brute_components(entries, lambda a, b: (a, b) in pairs or (b, a) in pairs) == want
+    assert len(set(want.values())) > 20
+
+
 def test_repeated_rows_leave_one(sample, rows):
     found = simhash.near_copies(sample)
     kept = simhash.first_of_repeated(sample, found).collect()
