@@ -89,6 +89,23 @@ def test_spark_scores(spark, labelled, sample, empty, rows):
     assert toxicity.score(empty, model).collect() == []
 
 
+@pytest.fixture
+def learned(monkeypatch):
+    """The ``(text, label)`` that the last fit was given."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, **_: seen.append(list(zip(texts, labels))))
+    return seen
+
+
+def test_a_repeated_key_is_one_row_of_the_sample(spark, learned):
+    free = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5]
+    docs = [(k, f"text {k}") for k in free] + [(free[0], f"again {i}") for i in range(2000)]
+    labels = spark.createDataFrame([(k, int(k == free[0])) for k in free], "doc_id long, toxic int")
+    toxicity.fit_on(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), labels, rows={0: 20, 1: 10})
+    assert len(learned[-1]) == 21 and len(set(learned[-1])) == 21
+    assert [t for t, y in learned[-1] if y] == ["again 0"]
+
+
 def test_one_class_only(spark, sample):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.score(sample, toxicity.fit_on(sample, labels)).where("score > 0.01").count() == 0
