@@ -186,18 +186,19 @@ def fit_on(
 ) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
+    Only keys that have a text of at most ``max_bytes`` are drawn, so a longer one takes nobody's place.
     Labels other than 0 and 1 and null keys are ignored; of several labels of a key the higher counts, and
     of several texts the least.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("key").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("key")))
-    known = known.groupBy("key").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.where(F.octet_length("text") <= max_bytes)
+    known = known.groupBy("key").agg(F.max("label").alias("label")).join(texts.select("key").distinct(), "key", "left_semi")
     draw = [F.xxhash64(F.lit(seed), "key"), "key"]
     chosen = [known.where(F.col("label") == c).orderBy(*draw).limit(n) for c, n in rows.items()]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most the sum of rows
-    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = texts.where(F.octet_length("text") <= max_bytes).join(chosen, "key")
-    sample = sample.groupBy("key", "label").agg(F.min("text").alias("text"))  # one row per chosen key
+    sample = texts.join(chosen, "key").groupBy("key", "label").agg(F.min("text").alias("text"))  # one row per chosen key
     sample = sorted((r["key"], r["text"], r["label"]) for r in sample.collect())
     return fit([s[1] for s in sample], [s[2] for s in sample], seed=seed, **options)
 

@@ -106,6 +106,15 @@ def test_a_repeated_key_is_one_row_of_the_sample(spark, learned):
     assert [t for t, y in learned[-1] if y] == ["again 0"]
 
 
+def test_long_and_missing_texts_take_no_place_in_the_sample(spark, learned):
+    free = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    docs = [(k, "short" if k % 4 == 0 else "long " * 50) for k in free if k % 4 < 3]
+    labels = spark.createDataFrame([(k, int(k < 100)) for k in free], "doc_id long, toxic int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    toxicity.fit_on(docs, labels, rows={0: 10, 1: 12}, max_bytes=100)
+    assert sorted(learned[-1]) == [("short", 0)] * 10 + [("short", 1)] * 12
+
+
 def test_one_class_only(spark, sample):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.score(sample, toxicity.fit_on(sample, labels)).where("score > 0.01").count() == 0
