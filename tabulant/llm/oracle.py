@@ -1,6 +1,6 @@
 """SQL for the operators that SQL can express."""
 
-from tabulant.llm import decontaminate, licenses, urls
+from tabulant.llm import codes, decontaminate, infill, licenses, urls
 from tabulant.llm.text import LOWER, UPPER
 
 WORDS = rf"regexp_extract_all(translate(coalesce({{}}, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -125,9 +125,79 @@ def decontamination() -> str:
     FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r) LEFT JOIN nears USING (r)"""
 
 
+def vector_codes() -> str:
+    rounds = ""
+    for i in range(codes.ROUNDS + 1):
+        rounds += f""",
+    near{i} AS MATERIALIZED (SELECT v, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry
+              FROM (SELECT v, part, entry, (pp - 2 * list_dot_product(p, c) + cc)::BIGINT AS d
+                    FROM parts JOIN (SELECT *, list_dot_product(c, c) AS cc FROM book{i}) USING (part))
+              GROUP BY v, part)"""
+        if i == codes.ROUNDS:
+            break
+        rounds += f""",
+    cells{i} AS (SELECT part, entry, j, floor(sum(x) / count(*)) AS x
+              FROM (SELECT part, entry, unnest(p) AS x, generate_subscripts(p, 1) AS j
+                    FROM near{i} JOIN parts USING (v, part))
+              GROUP BY part, entry, j),
+    moved{i} AS (SELECT part, entry, list(x ORDER BY j) AS c FROM cells{i} GROUP BY part, entry),
+    book{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c
+              FROM book{i} b LEFT JOIN moved{i} m USING (part, entry))"""
+    last = codes.ROUNDS
+    return f"""
+    WITH kept AS (
+      SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS v, vec_id, label,
+             list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)) AS cell
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (
+      SELECT *, list_dot_product(p, p) AS pp FROM (
+        SELECT v, part, cell[part * len(cell) // {codes.PARTS} + 1 : (part + 1) * len(cell) // {codes.PARTS}] AS p
+        FROM kept, range({codes.PARTS}) r(part))),
+    book0 AS MATERIALIZED (SELECT part, v AS entry, p AS c FROM parts WHERE v < {codes.ENTRIES}){rounds},
+    digest AS (
+      SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, j)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(c) AS x, generate_subscripts(c, 1) AS j FROM book{last})),
+    coded AS (
+      SELECT vec_id, label, code, error FROM kept JOIN (
+        SELECT v, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+        FROM near{last} GROUP BY v) USING (v))
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM coded, digest"""
+
+
+def fill_in_middle() -> str:
+    h = ", ".join(f"('0x' || d[{8 * i + 1}:{8 * i + 8}])::BIGINT AS h{i + 1}" for i in range(4))
+    marks = " OR ".join(f"contains(t, '{m}')" for m in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+    p, s, m = infill.PREFIX, infill.SUFFIX, infill.MIDDLE
+    return f"""
+    WITH docs AS (
+      SELECT doc_id, coalesce(text, '') AS t, sha256('{infill.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+    drawn AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, {h} FROM docs),
+    counted AS (SELECT *, len(u) AS n FROM drawn),
+    formed AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR {marks} OR h3 % 100 >= {infill.RATE} THEN 'plain'
+                  WHEN h4 % 100 < {infill.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form
+      FROM counted),
+    cut AS (
+      SELECT *, array_to_string(u[:a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle,
+             array_to_string(u[b + 1 :], '') AS suffix
+      FROM formed)
+    SELECT doc_id, n::BIGINT AS n, form,
+           CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle
+                  ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256,
+           sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+    FROM cut"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan(),
         "op5_url_filter": url_filter(),
         "op6_decontamination": decontamination(),
+        "op11_vector_codes": vector_codes(),
+        "op13_fill_in_middle": fill_in_middle(),
     }

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tabulant.llm import (
     chunks,
+    codes,
     decontaminate,
+    infill,
     licenses,
     oracle,
     packing,
@@ -81,6 +83,14 @@ def op10_sharding(spark, sf):
     return shards.with_slots(rows).withColumn("grown_shard", shards.shard_of(F.col("doc_id"), number + 1))
 
 
+def op11_vector_codes(spark, sf):
+    return codes.compress(table(spark, sf, "embeddings"))
+
+
+def op13_fill_in_middle(spark, sf):
+    return infill.digests(infill.fill_in_middle(table(spark, sf, "documents")))
+
+
 QUERIES = [
     op1_license_scan,
     op2_token_counts,
@@ -92,6 +102,8 @@ QUERIES = [
     op8_best_fit_packing,
     op9_document_fingerprints,
     op10_sharding,
+    op11_vector_codes,
+    op13_fill_in_middle,
 ]
 
 

@@ -1,0 +1,95 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tabulant.llm import infill, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain(key, text):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = sha(f"7:{'' if key is None else key}")
+    h = [int(digest[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    n = len(units)
+    if text == "" or "<P>" in text or "<S>" in text or "<M>" in text:
+        return (key, n, "plain", None, None, sha(text), sha(text))
+    a, b = sorted([h[0] % (n + 1), h[1] % (n + 1)])
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    form = "spm" if h[3] % 100 < 50 else "psm"
+    out = f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
+    return (key, n, form, len(p), len(m), sha(out), sha(text))
+
+
+def test_query_equals_plain_rewrite(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = Counter(map(tuple, queries.op13_fill_in_middle(spark, SF).collect()))
+    assert got == Counter(plain(r["doc_id"], r["text"]) for r in docs)
+
+
+def test_odd_rows(spark, sample, rows):
+    marked = [(2000, "a <P> b\nc", "s"), (2001, "<\n<P\nS>", "s"), (2002, "<M\n>\n\n\n", "s"), (2003, "\n", "s"), (2004, "x\r\ny z\x0bw", "s")]
+    extra = [("é\n" * 200_000 + "\U0001f600 end"), "no line end " * 100_000]
+    marked += [(3000 + i, t, "s") for i, t in enumerate(extra)]
+    marked += [(4000 + i, "<P\n<\nS>\n<M\n" * 3, "s") for i in range(20)]
+    more = sample.select("doc_id", "text", "source", "n", "key").union(
+        spark.createDataFrame([(*m, 1, "k") for m in marked], "doc_id long, text string, source string, n long, key string")
+    )
+    got = Counter(map(tuple, infill.digests(infill.fill_in_middle(more)).collect()))
+    assert got == Counter(plain(k, t) for k, t, _ in [*rows, *marked])
+
+
+def test_outputs_restore(sample):
+    for r in infill.fill_in_middle(sample).collect():
+        again = infill.restore(r["output"], r["form"])
+        assert infill.transform(again, r["doc_id"])[-1] == r["output"]
+
+
+def test_empty(empty):
+    assert infill.digests(infill.fill_in_middle(empty)).collect() == []
+
+
+@pytest.mark.parametrize("kind, values", [
+    (infill.ARRAY, lambda rng: np.unique(rng.integers(0, 1 << 16, 900))),
+    (infill.BITMAP, lambda rng: np.unique(rng.integers(0, 1 << 16, 40000))),
+    (infill.RUNS, lambda rng: np.concatenate([np.arange(10, 20000), np.arange(30000, 65536)])),
+])
+def test_containers_select(kind, values):
+    low = values(np.random.default_rng(1))
+    found = infill.Container.of(low)
+    assert found.kind == kind
+    assert found.data.nbytes <= 8192
+    assert [found.select(i) for i in range(0, len(low), 37)] == low[::37].tolist()
+
+
+def test_set_selects_over_containers():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 1 << 16, 50), np.arange(1 << 16, 2 << 16), rng.integers(5 << 16, 6 << 16, 50000), [(9 << 16) + 3]]
+    offsets = np.unique(np.concatenate(parts))
+    found = infill.BoundarySet.of(offsets)
+    assert {c.kind for c in found.containers} == {infill.ARRAY, infill.RUNS, infill.BITMAP}
+    assert len(found) == len(offsets)
+    ranks = [*range(0, len(offsets), 101), len(offsets) - 1]
+    assert [found.select(i) for i in ranks] == offsets[ranks].tolist()
+    assert infill.BoundarySet.of(np.zeros(0, np.int64)).cut(0) == 0
+
+
+def test_other_units_and_rates():
+    rng = random.Random(3)
+    for i in range(200):
+        text = "".join(rng.choice("ab \n") for _ in range(rng.randrange(60)))
+        n, form, a, m, out = infill.transform(text, i, unit=re.compile(r"\S+\s*|\s+"), rate=50)
+        assert infill.restore(out, form) == text
+        assert n == len(re.findall(r"\S+\s*|\s+", text))
+        if form != "plain":
+            assert out.endswith(f"<M>{text[a : a + m]}")
+    assert infill.transform("text", 1, rate=0)[1] == "plain"
