@@ -9,6 +9,7 @@ from tabulant.llm import (
     decontaminate,
     infill,
     licenses,
+    neighbours,
     oracle,
     packing,
     quality,
@@ -87,6 +88,10 @@ def op11_vector_codes(spark, sf):
     return codes.compress(table(spark, sf, "embeddings"))
 
 
+def op12_nearest_neighbours(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"))
+
+
 def op13_fill_in_middle(spark, sf):
     return infill.digests(infill.fill_in_middle(table(spark, sf, "documents")))
 
@@ -103,6 +108,7 @@ QUERIES = [
     op9_document_fingerprints,
     op10_sharding,
     op11_vector_codes,
+    op12_nearest_neighbours,
     op13_fill_in_middle,
 ]
 
