@@ -1,11 +1,13 @@
 """Toxicity by a subword-bag model: embeddings of words and their character n-grams, averaged, into a
 linear softmax, trained jointly in numpy.
 
-A text is cut into windows of ``WINDOW`` words.  A word's vector is the average of the embeddings of its
+Every run of ``WINDOW`` words of a text is a window.  A word's vector is the average of the embeddings of its
 features: the word itself and its character n-grams of 3 to 5 bytes, with the blanks around it, each
 hashed into one of ``BUCKETS`` rows; a window's vector averages its words.  An unseen misspelling thus
 shares most of its vector with the word it misspells.  A text is as toxic as its most toxic window,
-so a long text is not diluted; training takes the gradient at that window.
+so a long text is not diluted, and words in front of a phrase do not split it; training takes the gradient at that
+window.  One dimension starts as the log-odds of the texts that hold a feature, so that the first windows chosen are
+not random ones.
 
 Fitting takes a sample of at most ``FIT_ROWS`` labelled rows of each class of at most ``MAX_FIT_BYTES``
 each, drawn by a seeded hash: that is the one bounded sample, and the model's size is fixed.  Scoring reads every text whole; it
@@ -26,6 +28,8 @@ WINDOW = 6
 FIT_ROWS = {0: 2500, 1: 1500}
 MAX_FIT_BYTES = 1 << 14
 EPOCHS = 15
+LEAST_TEXTS = 5
+LARGEST_ODDS, FIRST_SLOPE = 3.0, 6.0
 SETTLED = 0.01  # a text with a smaller error moves nothing
 REFRESH = 32  # texts between two refreshes of the numbers that choose windows
 SEED = 7
@@ -41,16 +45,18 @@ _POWERS = np.cumprod(np.full(256, 0x5851F42D4C957F2D, np.uint64))
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, weight and window of every feature of a text, vectorised over its bytes and ordered by window.
+    """Buckets and weights of a text's features, word by word, and where each word's features start and end.
 
-    A word is the mean of its features and counts once in a window, however often it is repeated
-    there; a window is the sum of its words over ``WINDOW``, so a short one is not inflated.
+    A word is the mean of its features over ``WINDOW``, so a window is the sum of its words and a short one is not
+    inflated.  A word that also stands among the ``WINDOW - 1`` words before it has no features there: in
+    a window it counts once.  Vectorised over the bytes of the text.
     """
     data = np.frombuffer(b" " + text.encode().translate(_TABLE) + b" ", np.uint8)
     blank = data == _BLANK
     starts = np.flatnonzero(blank[:-1] & ~blank[1:])  # the blank before each word
-    if not len(starts):
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64)
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64)
     marks = np.zeros(len(data), np.int64)
     marks[starts] = 1
     word = np.cumsum(marks) - 1
@@ -60,12 +66,13 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(data)) - starts[np.maximum(word, 0)]
     terms = np.where(blank, np.uint64(0), wide * _POWERS[np.clip(place, 0, len(_POWERS) - 1)])
     whole = np.add.reduceat(terms, starts) * _MIX
-    window = np.arange(len(starts)) // WINDOW
-    first = np.zeros(len(starts), bool)
-    first[np.unique(whole ^ (window.astype(np.uint64) * _ROLL), return_index=True)[1]] = True
+    alike = np.argsort(whole, kind="stable")
+    again = (whole[alike[1:]] == whole[alike[:-1]]) & (np.diff(alike) < WINDOW)
+    counts = np.ones(n, bool)
+    counts[alike[1:][again]] = False
 
     # character n-grams: one may start or end at a blank but holds none inside
-    buckets, owners = [whole >> _SHIFT], [np.arange(len(starts))]
+    buckets, owners = [whole >> _SHIFT], [np.arange(n)]
     rolled, inside = wide, np.ones(len(data), bool)
     for size in range(2, max(SIZES) + 1):
         if len(data) < size:
@@ -77,11 +84,19 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             buckets.append((rolled[at] + np.uint64(size)) * _MIX >> _SHIFT)
             owners.append(word[at + 1])
     owner = np.concatenate(owners)
-    keep = first[owner]
-    order = np.argsort(owner[keep] // WINDOW, kind="stable")
+    keep = counts[owner]
+    order = np.argsort(owner[keep], kind="stable")
     owner = owner[keep][order]
-    weight = 1 / (WINDOW * np.bincount(owner))[owner]
-    return np.concatenate(buckets)[keep][order].astype(np.int32), weight.astype(np.float32), owner // WINDOW
+    sizes = np.bincount(owner, minlength=n)
+    weight = 1 / (WINDOW * sizes[owner])
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    return np.concatenate(buckets)[keep][order].astype(np.int32), weight.astype(np.float32), cuts
+
+
+def window_sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of a text's feature values over every run of ``WINDOW`` words; over all words if there are fewer."""
+    ends = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])[cuts]
+    return ends[WINDOW:] - ends[:-WINDOW] if len(ends) > WINDOW else ends[-1:]
 
 
 @dataclass
@@ -92,46 +107,58 @@ class Model:
     bias: float
 
     def logit(self, text: str) -> float:
-        buckets, weight, window = features(text)
+        buckets, weight, cuts = features(text)
         if not len(buckets):
             return self.bias
-        return float(np.bincount(window, self.weights[buckets] * weight).max() + self.bias)
+        return float(window_sums(self.weights[buckets] * weight, cuts).max() + self.bias)
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -30, 30))))
 
 
-def _prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Features of all texts in two flat arrays, and per text the ends of its windows in them.
+def _prepared(texts: list[str], labels: list[int], least_texts: int):
+    """Features of all texts in two flat arrays, per text where its words start and end in them, and per class and
+    bucket the number of texts.
 
-    A text has at most one feature per byte and n-gram size and one per word; what is reserved beyond the
-    true number is never touched.
+    A feature of fewer than ``least_texts`` texts gets the weight 0: it says which text this is, not what
+    kind.  A text has at most one feature per byte and n-gram size and one per word; what is reserved
+    beyond the true number is never touched.
     """
     room = sum(len(SIZES) * (len(t.encode()) + 2) + len(t) // 2 + 2 for t in texts)
     buckets_of, weight_of = np.empty(room, np.int32), np.empty(room, np.float32)
-    cuts_of, end = [], 0
-    for text in texts:
-        buckets, weight, window = features(text)
+    cuts_of, end, held_by = [], 0, np.zeros((2, BUCKETS), np.int32)
+    for text, label in zip(texts, labels):
+        buckets, weight, cuts = features(text)
         buckets_of[end : end + len(buckets)] = buckets
         weight_of[end : end + len(buckets)] = weight
-        cuts_of.append(end + np.searchsorted(window, np.arange(window.max(initial=-1) + 2)))
+        cuts_of.append(end + cuts)
+        held_by[label, np.unique(buckets)] += 1
         end += len(buckets)
-    return buckets_of, weight_of, cuts_of
+    rare = held_by.sum(0) < least_texts
+    for low in range(0, end, 1 << 22):
+        some = slice(low, min(end, low + (1 << 22)))
+        weight_of[some][rare[buckets_of[some]]] = 0
+    return buckets_of, weight_of, cuts_of, held_by
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.5) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.5, least_texts: int = LEAST_TEXTS) -> Model:
     """Train embeddings and softmax together by Adagrad; without both classes every text scores 0.
 
-    The first epoch takes the gradient at any window of each text, the others at its most toxic one.
+    The gradient is taken at a text's most toxic window so far.
     """
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -30.0)
     rng = np.random.default_rng(seed)
     embeddings = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     softmax = rng.uniform(-0.5, 0.5, (2, DIMENSIONS)).astype(np.float32)
+    buckets_of, weight_of, cuts_of, held_by = _prepared(texts, labels, least_texts)
+    # one dimension starts as the log-odds of the texts that hold a feature, shrunk where they are few
+    share = (held_by + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1)
+    known = held_by.sum(0) / (held_by.sum(0) + least_texts)
+    embeddings[:, 0] = np.clip(np.log(share[1] / share[0]), -LARGEST_ODDS, LARGEST_ODDS) * known
+    softmax[:, 0] = -FIRST_SLOPE / 2, FIRST_SLOPE / 2
     bias = np.zeros(2, np.float32)
     seen_e, seen_s, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full(2, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    buckets_of, weight_of, cuts_of = _prepared(texts)
 
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -139,20 +166,17 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
             if turn % REFRESH == 0:
                 toxic = embeddings @ (softmax[1] - softmax[0])
             cuts = cuts_of[i]
-            buckets, weight = buckets_of[cuts[0] : cuts[-1]], weight_of[cuts[0] : cuts[-1]]
-            cuts = cuts - cuts[0]
-            if len(buckets):
-                # at first any window, then the one that is most toxic so far
-                w = int(rng.integers(len(cuts) - 1)) if not epoch else 0
-                if epoch and len(cuts) > 2:
-                    w = int(np.add.reduceat(toxic[buckets] * weight, cuts[:-1]).argmax())
-                buckets, weight = buckets[cuts[w] : cuts[w + 1]], weight[cuts[w] : cuts[w + 1]]
+            first, last = cuts[0], cuts[-1]
+            if last > first and len(cuts) > WINDOW + 1:
+                w = int(window_sums(toxic[buckets_of[first:last]] * weight_of[first:last], cuts - first).argmax())
+                first, last = cuts[w], cuts[w + WINDOW]
+            buckets, weight = buckets_of[first:last], weight_of[first:last]
             hidden = weight @ embeddings[buckets] if len(buckets) else np.zeros(DIMENSIONS, np.float32)
             odds = softmax @ hidden + bias
             share = np.exp(odds - odds.max())
             error = (share / share.sum()).astype(np.float32)
             error[labels[i]] -= 1
-            if epoch and abs(error[0]) < SETTLED:
+            if abs(error[0]) < SETTLED:
                 continue
             if len(buckets):
                 own, which = np.unique(buckets, return_inverse=True)

@@ -47,14 +47,15 @@ def test_learns_and_leaves_clean_texts(model, labelled):
 
 
 def test_features_are_those_of_a_plain_loop():
-    text = "Ab ab, xyz9 \u00e9t\u00e9 " + "long" * 90 + " ab"
+    text = "Ab ab, xyz9 \u00e9t\u00e9 " + "long" * 90 + " ab a b c d e ab f g h i ab"
     data = b" " + text.encode().translate(toxicity._TABLE) + b" "
-    words, at, mask = [], 0, (1 << 64) - 1
-    for w in data.split():
-        words.append(w)
-    want = []
+    words, mask = data.split(), (1 << 64) - 1
+    buckets, weight, cuts = toxicity.features(text)
+    assert len(cuts) == len(words) + 1 and cuts[-1] == len(buckets)
     for i, w in enumerate(words):
-        if w in words[i // toxicity.WINDOW * toxicity.WINDOW : i]:
+        got = sorted(zip(buckets[cuts[i] : cuts[i + 1]].tolist(), weight[cuts[i] : cuts[i + 1]].tolist()))
+        if w in words[max(0, i - toxicity.WINDOW + 1) : i]:
+            assert got == []
             continue
         padded = b" " + w + b" "
         own = []
@@ -66,10 +67,30 @@ def test_features_are_those_of_a_plain_loop():
                 own.append((rolled + size) * 0x9E3779B97F4A7C15 & mask)
         whole = sum(b * int(toxicity._POWERS[min(j + 1, 255)]) for j, b in enumerate(w)) & mask
         own.append(whole * 0x9E3779B97F4A7C15 & mask)
-        shift = int(toxicity._SHIFT)
-        want += [(x >> shift, round(1 / (toxicity.WINDOW * len(own)), 7), i // toxicity.WINDOW) for x in own]
-    buckets, weight, window = toxicity.features(text)
-    assert sorted(zip(buckets.tolist(), [round(float(x), 7) for x in weight], window.tolist())) == sorted(want)
+        assert [x for x, _ in got] == sorted(x >> int(toxicity._SHIFT) for x in own)
+        assert np.allclose([x for _, x in got], 1 / (toxicity.WINDOW * len(own)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 6, 7, 40])
+def test_every_run_of_words_is_a_window(n):
+    rng = np.random.default_rng(n)
+    sizes = rng.integers(0, 4, n)
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    values = rng.normal(size=cuts[-1])
+    words = [values[a:b].sum() for a, b in zip(cuts[:-1], cuts[1:])]
+    want = [sum(words[i : i + toxicity.WINDOW]) for i in range(max(1, n - toxicity.WINDOW + 1))]
+    assert np.allclose(toxicity.window_sums(values, cuts), want)
+
+
+def test_words_in_front_keep_the_verdict(model, labelled):
+    """A toxic phrase lies whole in some window, wherever it stands: a score never falls, and clean words do not raise it."""
+    changed = 0
+    for _, text, _ in labelled[:200]:
+        for n in range(1, 6):
+            moved = model.logit("the " * n + text)
+            assert len(text.split()) < toxicity.WINDOW or moved >= model.logit(text) - 1e-6
+            changed += (moved >= 0) != (model.logit(text) >= 0)
+    assert changed <= 5
 
 
 def test_spark_scores(spark, labelled, sample, empty, rows):
