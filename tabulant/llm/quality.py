@@ -3,21 +3,20 @@ Resampling, 2023).
 
 Texts are bags of hashed uni- and bigrams.  Two generative models give each bucket a probability: the
 raw one counts every document, the target one a bounded sample of documents labelled good.  The
-log weight of a document is the sum of the log ratios of its n-grams; its rate is that sum over the
-number of n-grams and ``PRIOR_NGRAMS`` more, so that long documents are not decided by the sum of
-their noise nor short ones by a single n-gram.  A sample of k documents without replacement, weighted by
-importance, is the k largest of rate plus Gumbel noise; the noise is a function of the key.
+log importance weight of a document is the mean of the log ratios of its n-grams, times ``EFFECTIVE_NGRAMS``: what a
+sample of so many n-grams of it would weigh.  The sum over all its n-grams would let length decide, since a
+thousand n-grams that are a little less likely outweigh any junk; ``PRIOR_NGRAMS`` more of ratio one keep short
+documents from being decided by a single n-gram.
 
-k, unless given, is the number of documents whose n-grams are on average at least ``LEAST_RATIO`` times
-as likely in the target as in the raw text.
+A sample of k documents without replacement, each drawn with probabilities proportional to the weights of those that
+are left, is the k largest of log weight plus standard Gumbel noise.  The noise is a function of the seed and the key.
+k is given, or a share of all documents; by default the share of good ones among the labelled documents of the table.
 
 Tokens are runs of letters and digits or of other signs; a token equal to the one before is the token
 "same", a run of digits is "number", so that forms of junk share their n-grams.
 """
 
-import math
 import re
-from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -27,14 +26,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.sources.scratch import discard, materialize
+from tabulant.sources.scratch import materialize
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 8000
 SMOOTHING = 1.0
 PRIOR_NGRAMS = 10
-LEAST_RATIO = 0.78
-TEMPERATURE = 0.01
+EFFECTIVE_NGRAMS = 100
 SEED = 3
 
 _TOKEN = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^\s0-9a-z\x80-\xff]+")
@@ -118,89 +116,80 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, small: int
     return high
 
 
-@dataclass
-class Sampler:
-    """Fitted log ratios and the least draw that is selected (None: none is)."""
+def weights(ratios: Broadcast, text: Column) -> Column:
+    """``(n_ngrams, log_ratio)`` of a text: its n-grams and the sum of their log ratios; a null one is empty."""
 
-    ratios: Broadcast
-    least: float | None
-    temperature: float
-    seed: int
+    @F.pandas_udf("n_ngrams bigint, log_ratio double")
+    def weighed(texts: pd.Series) -> pd.DataFrame:
+        own = [ngrams(t) for t in texts]
+        return pd.DataFrame({"n_ngrams": [len(b) for b in own], "log_ratio": [float(ratios.value[b].sum()) for b in own]})
 
-    def weights(self, text: Column) -> Column:
-        """``(n_ngrams, log_weight)`` of a text; a null one is empty."""
-        shared = self.ratios
+    return weighed(F.coalesce(text, F.lit("")))
 
-        @F.pandas_udf("n_ngrams bigint, log_weight double")
-        def weighed(texts: pd.Series) -> pd.DataFrame:
-            own = [ngrams(t) for t in texts]
-            return pd.DataFrame(
-                {"n_ngrams": [len(b) for b in own], "log_weight": [float(shared.value[b].sum()) for b in own]}
-            )
 
-        return weighed(F.coalesce(text, F.lit("")))
+def gumbel(seed: Column, key: Column) -> Column:
+    """Standard Gumbel noise as a function of seed and key."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(seed, key), 11) + 0.5) / float(1 << 53)
+    return -F.log(-F.log(uniform))
 
-    def draw(self, key: Column, rate: Column) -> Column:
-        """The rate plus Gumbel noise that is a function of the key."""
-        uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(self.seed + 1), key), 11) + 0.5) / float(1 << 53)
-        return rate - self.temperature * F.log(-F.log(uniform))
 
-    def selected(self, key: Column, text: Column) -> Column:
-        """Whether a document belongs to the sample, from its own row alone."""
-        if self.least is None:
-            return F.lit(False)
-        return self.draw(key, rate_of(self.weights(text))) >= self.least
-
-
-def rate_of(weights: Column) -> Column:
-    return weights["log_weight"] / (weights["n_ngrams"] + PRIOR_NGRAMS)
-
-
-def fit_sampler(
-    docs: DataFrame,
-    labels: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    label: str = "quality",
-    k: int | None = None,
-    target_rows: int = TARGET_ROWS,
-    least_ratio: float = LEAST_RATIO,
-    temperature: float = TEMPERATURE,
-    seed: int = SEED,
-) -> Sampler:
-    """Both models over ``docs`` and the draw of the k-th document.
+def fit_ratios(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    target_rows: int = TARGET_ROWS, seed: int = SEED,
+) -> tuple[np.ndarray, float]:
+    """Log ratios per bucket over ``docs``, and the share of good documents among the labelled ones.
 
     Labels other than 0 and 1 are ignored; of several labels of a key the lower counts.  Without good
-    labels all rates are 0.
+    labels all ratios are 0; without labels the share is 1.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("key").isNotNull() & F.col("label").isin(0, 1))
-    good = known.groupBy("key").agg(F.min("label").alias("label")).where("label = 1")
-    good = good.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(target_rows)
-    good = F.broadcast(good.select("key", F.lit(True).alias("target")))  # at most target_rows rows
+    known = known.groupBy("key").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    raw, target = bucket_counts(texts.join(good, "key", "left").select("text", F.coalesce("target", F.lit(False))))
-    ratios = log_ratios(raw, target) if target.any() else np.zeros(BUCKETS)
-    sampler = Sampler(docs.sparkSession.sparkContext.broadcast(ratios), None, temperature, seed)  # BUCKETS numbers
-    rated = texts.select("key", rate_of(sampler.weights(F.col("text"))).alias("rate"))
-    drawn, path = materialize(rated.withColumn("draw", sampler.draw(F.col("key"), F.col("rate"))), "draws")
+    n, good = known.join(texts.select("key").distinct(), "key", "left_semi").agg(F.count("*"), F.sum("label")).first()
+    chosen = known.where("label = 1").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(target_rows)
+    chosen = F.broadcast(chosen.select("key", F.lit(True).alias("target")))  # at most target_rows rows
+    raw, target = bucket_counts(texts.join(chosen, "key", "left").select("text", F.coalesce("target", F.lit(False))))
+    return (log_ratios(raw, target) if target.any() else np.zeros(BUCKETS)), (good / n if n else 1.0)
+
+
+def _drawn(docs, labels, key, text, k, share, effective, seed, options) -> tuple[DataFrame, str, float | None]:
+    """``docs`` with the structure of results in a new column, stored; its name; and the least draw that is selected."""
+    ratios, good = fit_ratios(docs, labels, key, text, seed=seed, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS numbers
+    name = "drawn"
+    while name in docs.columns:
+        name += "_"
+    own = weights(shared, F.col(text))
+    log_weight = effective * F.col(name)["log_ratio"] / (F.col(name)["n_ngrams"] + PRIOR_NGRAMS)
+    rows = docs.withColumn(name, own).withColumn(name, F.struct(f"{name}.*", log_weight.alias("log_weight")))
+    noise = gumbel(F.lit(seed + 1), F.col(key))
+    rows = rows.withColumn(name, F.struct(f"{name}.*", (F.col(name)["log_weight"] + noise).alias("draw")))
+    rows, _ = materialize(rows, "draws")
     if k is None:
-        k = drawn.where(F.col("rate") >= math.log(least_ratio)).count()
-    sampler.least = kth_largest(drawn, "draw", k)
-    discard(docs.sparkSession, path)
-    return sampler
+        k = round((good if share is None else share) * rows.count())
+    return rows, name, kth_largest(rows.select(F.col(name)["draw"].alias("draw")), "draw", k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``(key, n_ngrams, log_weight, rate, draw, selected)`` per row of ``docs``; see ``fit_sampler``.
+def resample(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None,
+    share: float | None = None, effective: float = EFFECTIVE_NGRAMS, seed: int = SEED, **options,
+) -> DataFrame:
+    """``(key, n_ngrams, log_ratio, log_weight, draw, selected)`` per row of ``docs``.
 
-    ``draw`` is the rate plus Gumbel noise; the ``k`` largest are selected, and those that tie with the
-    last.  A text without n-grams has log weight and rate 0.  Null keys share one noise.  Other columns
-    are not read; an empty table gives an empty result.
+    The ``k`` largest draws are selected, and those that tie with the last; repeated rows share their draw.  A null
+    text is empty, and a text without n-grams has log weight 0.  Null keys share one noise.  Texts are read whole,
+    once for the models and once for the weights.  Other columns are not read; an empty table gives an empty result.
     """
-    sampler = fit_sampler(docs, labels, key, text, **options)
-    rows = docs.select(F.col(key).alias("key"), sampler.weights(F.col(text)).alias("w"))
-    rows = rows.select("key", "w.*", rate_of(F.col("w")).alias("rate"))
-    rows = rows.withColumn("draw", sampler.draw(F.col("key"), F.col("rate")))
-    chosen = F.lit(False) if sampler.least is None else F.col("draw") >= sampler.least
-    return rows.withColumn("selected", chosen).withColumnRenamed("key", key)
+    rows, name, least = _drawn(docs.select(key, text), labels, key, text, k, share, effective, seed, options)
+    chosen = F.lit(False) if least is None else F.col("draw") >= least
+    return rows.select(key, f"{name}.*").withColumn("selected", chosen)
+
+
+def selected(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None,
+    share: float | None = None, effective: float = EFFECTIVE_NGRAMS, seed: int = SEED, **options,
+) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` selects, with all their columns, whatever these are called."""
+    rows, name, least = _drawn(docs, labels, key, text, k, share, effective, seed, options)
+    return rows.where(F.lit(False) if least is None else F.col(name)["draw"] >= least).drop(name)
