@@ -37,9 +37,9 @@ DEGREE = 40
 RECEIVED = 80
 GROUPS, GROUP_ROWS = 6, 64  # random groups per node at the start, nodes in each
 INTRODUCED = 8  # finds per node and meeting
-SETTLED = 0.02  # share of new edges at which the rounds end
+SETTLED = 0.01  # share of new edges at which the rounds end
 ROUNDS = 12
-BEAM, EXPANDED = 64, 16
+BEAM, EXPANDED = 128, 32
 NOTHING = np.float32(-3e38)
 
 STATE = "node bigint, code binary, scale float, near array<bigint>, sims array<float>, fresh array<boolean>"

@@ -11,11 +11,6 @@ paired: each of its fingerprints is hot.  Hot ones are linked through their neig
 bits: two fingerprints differ in at most four bits exactly if they share such a neighbour.  A
 fingerprint thus costs at most 2,081 rows there, or ``70 * LIST`` comparisons, never a pair per
 pair of a group.
-
-A second, finer fingerprint to verify by does not carry over from a pair to its neighbours.  There a hot
-list is searched breadth first: each entry is compared with those that nothing has reached yet.  A
-group of near copies is reached by a few of its entries; only entries that are alike in the first
-fingerprint and far apart in the second are all compared, in numpy and without a row per pair.
 """
 
 from itertools import combinations
@@ -27,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulant.llm.components import components
+from tabulant.llm.joins import join_totals
 from tabulant.sources.scratch import materialize
 
 BITS, BYTES, DISTANCE = 64, 8, 4
 SHINGLE = 4
 HASH_SEED = 42
 LIST = 64
-COPY_SHINGLE, COPY_DISTANCE = 5, 12
 POSITIONS = list(combinations(range(BYTES), BYTES - DISTANCE))
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -61,10 +56,6 @@ def shingles(text: str, size: int = SHINGLE) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[:-size].tolist(), (starts[size:] - 1).tolist())]
 
 
-def distinct_words(text: str, _=None) -> list[bytes]:
-    return sorted(set(text.encode().lower().split()))
-
-
 def majority(parts: list[bytes]) -> int:
     """The 64 bits set in over half of the parts' XXH64; 0 without parts."""
     if not parts:
@@ -80,93 +71,32 @@ def simhash(text: str, size: int = SHINGLE) -> int:
     return majority(shingles(text, size))
 
 
-def entry_of(fp: np.ndarray, fine: np.ndarray | None) -> np.ndarray:
-    """The number of an entry: its fingerprint, mixed with the fine one if there is one."""
-    if fine is None:
-        return fp
-    with np.errstate(over="ignore"):
-        mixed = (fp.view(np.uint64) ^ (fine.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
-
-
-def fingerprints(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, fine_size: int | None = None
-) -> DataFrame:
-    """``(key, text_hash, fp, fine, entry)`` per row of ``docs``; a null text is empty.
-
-    Without ``fine_size`` the fingerprint is that of the shingles of ``size`` words, and there is no fine
-    one.  With it the fingerprint is that of the distinct words, and the fine one that of shingles of
-    ``fine_size`` words.
-    """
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``(key, text_hash, fp)`` per row of ``docs``: the fingerprint of shingles of ``size`` words; a null text is empty."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def signed_array(values):
-        return np.array(values, np.uint64).view(np.int64)
-
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if fine_size is None:
-                fp, fine = signed_array([simhash(t, size) for t in texts]), None
-            else:
-                fp = signed_array([majority(distinct_words(t)) for t in texts])
-                fine = signed_array([simhash(t, fine_size) for t in texts])
-            fines = pa.nulls(len(fp), pa.int64()) if fine is None else pa.array(fine)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(fp), fines, pa.array(entry_of(fp, fine))],
-                names=["key", "text_hash", "fp", "fine", "entry"],
-            )
-
-    return rows.select("key", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        run, "key bigint, text_hash bigint, fp bigint, fine bigint, entry bigint"
-    )
+            fp = np.fromiter((simhash(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
+            cells = [batch.column(0), batch.column(2), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cells, names=["key", "text_hash", "fp"])
+
+    hashed = rows.select("key", "text", F.xxhash64("text").alias("text_hash"))
+    return hashed.mapInArrow(run, "key bigint, text_hash bigint, fp bigint")
 
 
 LINKS = "a bigint, b bigint, fp bigint"
 LINK_NAMES = ["a", "b", "fp"]
 
 
-def owns_pairs(chosen: int, fps: np.ndarray) -> bool:
-    """Whether a list may hold pairs whose four lowest shared positions are its own.
+def _pairs_in_lists(size: int):
+    """For ``mapInArrow`` over rows ``(chosen, part, fp)`` sorted by list.
 
-    Such a pair differs in every other position below the list's last one.
-    """
-    own = POSITIONS[chosen]
-    cells = fps.reshape(-1, 1).view(np.uint8)
-    return all((cells[:, p] != cells[0, p]).any() for p in range(own[-1]) if p not in own)
-
-
-def spanning_links(fps: np.ndarray, fines: np.ndarray, within: int) -> np.ndarray:
-    """Rows ``(i, j)`` that span the components of all pairs within four bits and ``within`` bits of the fine ones."""
-    left, links, reached = np.arange(len(fps)), [], []
-    left_fps, left_fines = fps, fines
-    while len(left):
-        if reached:
-            i = reached.pop()
-        else:
-            i, left, left_fps, left_fines = left[0], left[1:], left_fps[1:], left_fines[1:]
-        near = np.bitwise_count(left_fines ^ fines[i]) <= within
-        if near.any():
-            near &= np.bitwise_count(left_fps ^ fps[i]) <= DISTANCE
-            found = left[near]
-            links.append(np.stack([np.full(len(found), i), found], 1))
-            reached += found.tolist()
-            left, left_fps, left_fines = left[~near], left_fps[~near], left_fines[~near]
-    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
-
-
-def _pairs_in_lists(size: int, within: int | None):
-    """For ``mapInArrow`` over rows ``(chosen, part, fp[, fine])`` sorted by list.
-
-    Emits links ``(a, b)`` between entries and, without ``within``, each hot entry as ``(null, null, fp)``.
+    Emits links ``(a, b)`` and each hot fingerprint as ``(null, null, fp)``.
     """
 
-    def linked(chosen: int, rows: np.ndarray):
-        fps = rows[:, 0].view(np.uint64)
-        if len(fps) > size:  # with fine fingerprints only
-            if not owns_pairs(chosen, fps):
-                return np.zeros((0, 2), np.int64)
-            return entry_of(rows[:, 0], rows[:, 1])[spanning_links(fps, rows[:, 1].view(np.uint64), within)]
+    def linked(chosen: int, entries: np.ndarray):
+        fps = entries.view(np.uint64)
         i, j = np.triu_indices(len(fps), 1)
         differ = fps[i] ^ fps[j]
         shared = differ.view(np.uint8).reshape(-1, BYTES) == 0
@@ -174,10 +104,6 @@ def _pairs_in_lists(size: int, within: int | None):
         own = np.zeros(BYTES, bool)
         own[list(POSITIONS[chosen])] = True
         keep = (lowest == own).all(1) & (np.bitwise_count(differ) <= DISTANCE)
-        if within is not None:
-            fines = rows[:, 1].view(np.uint64)
-            keep &= np.bitwise_count(fines[i] ^ fines[j]) <= within
-        entries = entry_of(rows[:, 0], rows[:, 1] if within is not None else None)
         return np.stack([entries[i[keep]], entries[j[keep]]], 1)
 
     def emitted(links, warm):
@@ -194,11 +120,10 @@ def _pairs_in_lists(size: int, within: int | None):
         held, count, held_list, hot = [], 0, None, False
 
         def closed():
-            return [linked(held_list[0], np.asfortranarray(np.concatenate(held)))] if count > 1 and not hot else []
+            return [linked(held_list[0], np.concatenate(held))] if count > 1 and not hot else []
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-            chosen, part, rows = columns[0], columns[1], np.stack(columns[2:], 1)
+            chosen, part, rows = (batch.column(i).to_numpy() for i in range(3))
             if not len(rows):
                 continue
             ends = np.flatnonzero((chosen[1:] != chosen[:-1]) | (part[1:] != part[:-1])) + 1
@@ -213,7 +138,7 @@ def _pairs_in_lists(size: int, within: int | None):
                     held, count, held_list, hot = [], 0, name, False
                 if hot:
                     warm.append(own)
-                elif within is None and count + len(own) > size:
+                elif count + len(own) > size:
                     warm += [*held, own]
                     held, hot = [], True
                 else:
@@ -255,76 +180,54 @@ def _stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def near_links(entries: DataFrame, list_size: int = LIST, within: int | None = None) -> DataFrame:
-    """Links ``(a, b)`` between entries whose components are those of all pairs within four bits.
-
-    ``entries`` has distinct ``(fp, fine)``.  With ``within`` the pairs are those whose fine fingerprints also differ
-    in at most so many bits, whatever ``list_size``.
-    """
+def near_links(entries: DataFrame, list_size: int = LIST) -> DataFrame:
+    """Links ``(a, b)`` between distinct ``fp`` whose components are those of all pairs within four bits."""
     masks = F.array(*[F.lit(m) for m in MASKS])
     parts = F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("chosen", "part")
-    own = ["fp"] if within is None else ["fp", "fine"]
-    index = entries.select(*own, parts).select("chosen", "part", *own)
+    index = entries.select("fp", parts).select("chosen", "part", "fp")
     lists = index.repartition("chosen", "part").sortWithinPartitions("chosen", "part")
-    found, _ = materialize(lists.mapInArrow(_pairs_in_lists(list_size, within), LINKS), "links")
+    found, _ = materialize(lists.mapInArrow(_pairs_in_lists(list_size), LINKS), "links")
     links = found.where("b is not null").select("a", "b")
-    if within is not None:
-        return links
     hot = found.where("b is null").select("fp").distinct()
     near = hot.repartition("fp").mapInArrow(_neighbours, "near bigint, entry bigint")
     near = near.repartition("near").sortWithinPartitions("near", "entry")
     return links.union(near.mapInArrow(_stars, "a bigint, b bigint").distinct())
 
 
-def _grouped(prints: DataFrame, list_size: int, within: int | None) -> DataFrame:
-    """``prints`` with the ``least`` row ``(unnamed, key, text_hash)`` of each one's component."""
-    row = F.struct(F.col("key").isNull().alias("unnamed"), "key", "text_hash")
-    entries, _ = materialize(prints.groupBy("entry", "fp", "fine").agg(F.min(row).alias("least")), "entries")
-    roots = components(near_links(entries.select("fp", "fine"), list_size, within))
-    rooted = entries.join(roots, F.col("entry") == F.col("node"), "left")
-    rooted, _ = materialize(rooted.select("entry", "least", F.coalesce("root", "entry").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    return prints.join(rooted.select("entry", "root").join(named, "root").drop("root"), "entry")
-
-
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, list_size: int = LIST
 ) -> DataFrame:
-    """``(key, fp, component)`` per row of ``docs``: the fingerprint and the least key reachable.
-
-    Texts without words have fingerprint 0 and are linked like any other.  Null keys are no component's
-    name, unless a component has no other.  Repeated rows stay.  Other columns are not read; no rows
-    give no rows.
-    """
-    prints, _ = materialize(fingerprints(docs, key, text, size), "fingerprints")
-    return _grouped(prints, list_size, None).select(F.col("key").alias(key), "fp", F.col("least.key").alias("component"))
-
+    """``(key, text_hash, fp, component, representative)`` per row of ``docs``.
 
-def near_copies(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = COPY_SHINGLE, within: int = COPY_DISTANCE,
-    list_size: int = LIST,
-) -> DataFrame:
-    """``(key, text_hash, component, representative)`` per row of ``docs``, for shingle similarity 0.8 and more.
+    The component is the least key reachable over pairs of fingerprints that differ in at most four bits.  Texts without
+    words have fingerprint 0 and are linked like any other.  Null keys are no component's name, unless a
+    component has no other.  The representative is the component's least row by key and hash of the text; repeated rows
+    stay and are all marked.  Other columns are not read; no rows give no rows.
 
-    Few near copies of a similarity of 0.8 have shingle fingerprints within four bits, but most have
-    fingerprints of their distinct words that are.  So the index holds those, and a pair it finds is
-    verified by the fingerprints of shingles of ``size`` words, which differ in at most ``within`` bits.
-    The representative is the component's least row by key and text; repeated rows are all marked.
+    A fingerprint or component that holds many rows is joined by broadcast, the others are not hot.
     """
-    prints, _ = materialize(fingerprints(docs, key, text, fine_size=size), "fingerprints")
-    least = F.struct(F.col("key").isNull().alias("unnamed"), "key", "text_hash")
-    return _grouped(prints, list_size, within).select(
-        "key", "text_hash", F.col("least.key").alias("component"), (least == F.col("least")).alias("representative")
+    prints, _ = materialize(fingerprints(docs, key, text, size), "fingerprints")
+    row = F.struct(F.col("key").isNull().alias("unnamed"), "key", "text_hash")
+    entries, _ = materialize(prints.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("rows")), "entries")
+    roots = components(near_links(entries.select("fp"), list_size))
+    rooted = entries.join(roots, F.col("fp") == F.col("node"), "left")
+    rooted, _ = materialize(rooted.select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
+    named, _ = materialize(rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("entries")), "named")
+    named = join_totals(rooted.select("fp", "rows", "root"), named, ["root"], "entries")
+    named, _ = materialize(named.select("fp", "rows", "first"), "named-entries")
+    return join_totals(prints, named, ["fp"], "rows").select(
+        F.col("key").alias(key), "text_hash", "fp", F.col("first.key").alias("component"),
+        (row == F.col("first")).alias("representative"),
     )
 
 
 def first_of_repeated(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each that repeats key and text; nothing is shuffled if none does."""
-    repeated, _ = materialize(found.groupBy("key", "text_hash").count().where("count > 1"), "repeated")
+    repeated, _ = materialize(found.groupBy(key, "text_hash").count().where("count > 1"), "repeated")
     if repeated.isEmpty():
         return docs
     same = F.col(key).eqNullSafe(F.col("key_")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("hash_"))
-    repeated = repeated.select(F.col("key").alias("key_"), F.col("text_hash").alias("hash_"))
+    repeated = repeated.select(F.col(key).alias("key_"), F.col("text_hash").alias("hash_"))
     twice = docs.join(repeated, same, "left_semi")
     return docs.join(repeated, same, "left_anti").union(twice.dropDuplicates([key, text]))
 
