@@ -25,26 +25,41 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5.
+
+    A text is scored whole, however long; a null or empty one has the score of the model's bias, and without labels of
+    both classes nothing is toxic.  Repeated rows score alike.  All columns are kept, whatever they are called.
+    """
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.scorer(spark, model)(F.col("text")) < 0.5)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects."""
-    sampler = quality.fit_sampler(docs, table(spark, sf_dir, "labels"))
-    return docs.where(sampler.selected(F.col("doc_id"), F.col("text")))
+    """Documents that importance resampling selects: as many as the share of good ones among the labelled.
+
+    A null or empty text has log weight 0, null keys share their noise, repeated rows and ties at the last draw stay
+    together.  Texts are read whole.  Without labels all stay.  All columns are kept, whatever they are called.
+    """
+    return quality.selected(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least by key, of each group of near copies."""
-    found = simhash.near_copies(docs)
+    """One document, the least by key and text, of each group linked by fingerprints within four bits.
+
+    Fingerprints are those of shingles of four words over whole texts.  Null and empty texts have the fingerprint
+    zero and are one group.  Null keys sort last.  Of rows that repeat key and text one stays.  All columns are kept.
+    """
+    found = simhash.near_duplicates(docs).withColumnRenamed("doc_id", "key")
     kept = _without(docs, found.where(~F.col("representative")))
-    return simhash.first_of_repeated(kept, found)
+    return simhash.first_of_repeated(kept, found.withColumnRenamed("key", "doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than one in twenty stands in a benchmark window."""
+    """Documents of whose words less than one in twenty stands in a benchmark window.
+
+    Null and empty texts have no words and stay, as all do if the benchmark is empty.  Long texts are judged whole,
+    repeated rows alike.  All columns are kept, whatever they are called.
+    """
     matches = decontaminate.benchmark_matches(docs, table(spark, sf_dir, "benchmark"))
     judged = decontaminate.contamination(*matches, key="key")
     rejected, _ = materialize(judged.where("contaminated").select("key", "text_hash").distinct(), "contaminated")
@@ -52,7 +67,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of byte-level tokens; see ``packing.pack``."""
+    """Pieces of documents in bins of byte-level tokens; see ``packing.pack``.
+
+    A null text is empty and takes one place, a long text becomes several pieces, repeated rows are packed like
+    any other, and ties go by key.  Other columns are not read.
+    """
     return packing.pack(packing.measured(docs))
 
 
