@@ -75,16 +75,28 @@ def extract_features(
     exclude_columns=None,
     want_labels: bool = False,
     label_column: str | None = None,
+    batch_size: int | None = None,
+    preprocess: bool = True,
     key_columns=None,
 ) -> DataFrame:
-    """The ``latent`` column of every row, with its key and label columns next to it."""
+    """The ``latent`` column of every row, with its key and label columns next to it.
+
+    ``batch_size`` bounds the rows of one forward pass (None: an Arrow batch); it changes no result.  Without
+    ``preprocess`` the encoder's own preparation is left out: the columns of the table that are neither excluded, key nor
+    label are the inputs, in their order, and there must be as many as the encoder was trained on.
+    """
     if want_labels and label_column is None:
         raise ValueError("labels are wanted, so name the label column")
     check_objective(pretraining_type)
     encoder = as_encoder(pretrained_model)
-    check_excluded(encoder, exclude_columns)
     kept = [*(key_columns or ()), *([label_column] if want_labels else [])]
-    latent = encoder.encode(dataframe.sparkSession)
+    if preprocess:
+        check_excluded(encoder, exclude_columns)
+        inputs = None
+    else:
+        away = {*(exclude_columns or ()), *kept, *([label_column] if label_column else [])}
+        inputs = [c for c in dataframe.columns if c not in away]
+    latent = encoder.encode(dataframe.sparkSession, batch_size, inputs)
     return dataframe.select(*kept, latent.alias(encoder.getOrDefault("outputCol")))
 
 

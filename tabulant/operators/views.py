@@ -7,6 +7,7 @@ from tabulant.functions.draws import chance, row_key, word
 from tabulant.functions.vectors import bind
 
 RATE = 0.6
+KEY = "__key"
 
 
 def row_prefix(key: Column, seed: int, epoch: int) -> Column:
@@ -34,13 +35,12 @@ def corrupt(batched: DataFrame, key_cols, rate: float = RATE, seed: int = 0, epo
     read from there; the cells are never exploded or joined.
     """
     carried = [c for c in batched.columns if c not in ("batch", "pos", "features")]
-    member = F.struct("pos", "features", *carried)
+    # the key is spelled before the gather, like that of the mask
+    member = F.struct("pos", "features", *carried, row_key(key_cols).alias(KEY))
     batches = batched.groupBy("batch").agg(F.sort_array(F.collect_list(member)).alias("rows"))
     rows = F.col("rows")
 
     def view(row: Column) -> Column:
-        key = F.concat_ws(":", *[row[c].cast("string") for c in key_cols])
-
         def cells(prefix: Column) -> Column:
             return F.transform(row["features"], lambda x, j: bind(cell_digest(prefix, j), lambda d: cell(d, x, j)))
 
@@ -48,7 +48,7 @@ def corrupt(batched: DataFrame, key_cols, rate: float = RATE, seed: int = 0, epo
             donor = F.get(rows, (word(drawn, 1) % F.size(rows)).cast("int"))
             return F.when(chance(drawn, rate), F.get(donor["features"], j)).otherwise(value)
 
-        corrupted = bind(row_prefix(key, seed, epoch), cells)
+        corrupted = bind(row_prefix(row[KEY], seed, epoch), cells)
         fields = [row[c].alias(c) for c in ("pos", "features", *carried)]
         return F.struct(*fields, corrupted.alias("corrupted"))
 

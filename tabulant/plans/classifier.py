@@ -13,6 +13,7 @@ from tabulant.operators import evaluate
 from tabulant.operators.neighbours import BLOCK_ROWS, CHUNK_ROWS, PIVOTS
 from tabulant.operators.prep import MAX_LEVELS
 from tabulant.operators.sampling import stratified_sample
+from tabulant.plans.boosting import DEPTH, ROUNDS, GradientHead
 from tabulant.plans.encoder import ContrastiveEncoderModel, keyed, param
 from tabulant.plans.heads import (
     ESTIMATORS,
@@ -66,6 +67,8 @@ class LatentClassifier(Estimator):
     maxDepth = param("maxDepth", "levels of a tree (Random Forest, C50)", TypeConverters.toInt)
     maxBins = param("maxBins", "thresholds tried per feature (trees)", TypeConverters.toInt)
     trees = param("trees", "trees of the forest (Random Forest)", TypeConverters.toInt)
+    boostRounds = param("boostRounds", "rounds of boosting (XGB)", TypeConverters.toInt)
+    boostDepth = param("boostDepth", "levels of a boosted tree (XGB)", TypeConverters.toInt)
     fourierFeatures = param("fourierFeatures", "random features (SVM)", TypeConverters.toInt)
     iterations = param("iterations", "most iterations of a plane (SVM); a warning says if they run out", TypeConverters.toInt)
     maxLevels = param("maxLevels", "most classes", TypeConverters.toInt)
@@ -96,6 +99,8 @@ class LatentClassifier(Estimator):
         maxDepth=MAX_DEPTH,
         maxBins=MAX_BINS,
         trees=FOREST_TREES,
+        boostRounds=ROUNDS,
+        boostDepth=DEPTH,
         fourierFeatures=FOURIER_FEATURES,
         iterations=SVM_ITERATIONS,
         maxLevels=MAX_LEVELS,
@@ -112,7 +117,8 @@ class LatentClassifier(Estimator):
         self._setDefault(
             keyCols=[], epochs=50, dropout=0.2, batchSize=256, numShards=SHARDS, localSteps=LOCAL_STEPS,
             neighbours=NEIGHBOURS, blockRows=BLOCK_ROWS, chunkRows=CHUNK_ROWS, pivots=PIVOTS,
-            maxDepth=MAX_DEPTH, maxBins=MAX_BINS, trees=FOREST_TREES, fourierFeatures=FOURIER_FEATURES,
+            maxDepth=MAX_DEPTH, maxBins=MAX_BINS, trees=FOREST_TREES,
+            boostRounds=ROUNDS, boostDepth=DEPTH, fourierFeatures=FOURIER_FEATURES,
             iterations=SVM_ITERATIONS, maxLevels=MAX_LEVELS, small=False, seed=0,
         )
         given = {k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items()}
@@ -179,6 +185,9 @@ class LatentClassifier(Estimator):
         if self.choice in ESTIMATORS:
             estimator = ESTIMATORS[self.choice](get("maxDepth"), get("maxBins"), get("trees"))
             return SparkHead.fit(estimator, rows, classes, seed)
+        if self.choice == "XGB":
+            bins = min(get("maxBins"), 256)
+            return GradientHead.fit(rows, classes, rounds=get("boostRounds"), depth=get("boostDepth"), bins=bins)
         if self.choice == "SVM":
             return SvmHead.fit(rows, classes, seed, get("fourierFeatures"), get("iterations"))
         sizes = (get(p) for p in ("blockRows", "chunkRows", "pivots"))

@@ -37,10 +37,10 @@ def projection_layers(in_dim: int, hidden: int = 256, depth: int = 2, dropout: f
     return dense_stack("projection", in_dim, hidden, depth, dropout)
 
 
-def forward_udf(spark, layers, weights: dict, precision: str = "float", link=None):
+def forward_udf(spark, layers, weights: dict, precision: str = "float", link=None, batch_size: int = 0):
     """Evaluation-mode forward as an Arrow UDF from a feature array to an array.
 
-    Only the feature column crosses to Python; the other columns, column pruning and
+    ``batch_size`` bounds the rows of one pass; 0 takes an Arrow batch at once.  Only the feature column crosses to Python; the other columns, column pruning and
     filters stay with Catalyst.
     """
     dtype = np.float32 if precision == "float" else np.float64
@@ -52,8 +52,11 @@ def forward_udf(spark, layers, weights: dict, precision: str = "float", link=Non
             if len(batch) == 0:
                 yield pa.array([], pa.list_(pa.from_numpy_dtype(dtype)))
                 continue
-            out, _ = net.forward(shared.value, shared.value, rows_of(batch, dtype))
-            yield lists_of(out if link is None else link(out))
+            x, outs = rows_of(batch, dtype), []
+            for low in range(0, len(x), batch_size or len(x)):
+                out, _ = net.forward(shared.value, shared.value, x[low : low + (batch_size or len(x))])
+                outs.append(out if link is None else link(out))
+            yield lists_of(np.concatenate(outs))
 
     element = T.FloatType() if precision == "float" else T.DoubleType()
     return F.arrow_udf(score, returnType=T.ArrayType(element))
@@ -227,14 +230,15 @@ class ContrastiveEncoderModel(Model, Stored):
     wide = param("wide", "replace inputs by one column per dimension", TypeConverters.toBoolean)
     prefix = param("prefix", "prefix of the wide columns", TypeConverters.toString)
     precision = param("precision", "float or double", TypeConverters.toString)
+    batchSizeInference = param("batchSizeInference", "rows of one forward pass, 0: an Arrow batch", TypeConverters.toInt)
 
     def __init__(self, prep: TabularPrepModel, shape: dict, weights: dict, history=()):
         super().__init__()
-        self._setDefault(outputCol="latent", wide=False, prefix="extracted_dim_", precision="float")
+        self._setDefault(outputCol="latent", wide=False, prefix="extracted_dim_", precision="float", batchSizeInference=0)
         self.prep, self.shape, self.weights, self.history = prep, shape, weights, list(history)
 
     def set_output(self, **params) -> "ContrastiveEncoderModel":
-        """A copy with other output settings: outputCol, wide, prefix, precision."""
+        """A copy with other output settings: outputCol, wide, prefix, precision, batchSizeInference."""
         return self.copy()._set(**params)
 
     @property
@@ -246,10 +250,19 @@ class ContrastiveEncoderModel(Model, Stored):
         """Trainable parameters; running statistics are not counted."""
         return sum(int(np.prod(s)) for s in Net(self.layers).shapes.values())
 
-    def encode(self, spark):
-        """The latent array as an expression over the input columns."""
-        score = forward_udf(spark, self.layers, self.weights, self.getOrDefault("precision"))
-        return score(self.prep.vector())
+    def encode(self, spark, batch_size=None, inputs=None):
+        """The latent array as an expression over the input columns.
+
+        ``batch_size`` bounds the rows of one forward pass.  ``inputs`` names columns that are prepared already
+        and replace the fitted preparation.
+        """
+        given = self.getOrDefault("batchSizeInference") if batch_size is None else batch_size
+        score = forward_udf(spark, self.layers, self.weights, self.getOrDefault("precision"), batch_size=given)
+        if inputs is None:
+            return score(self.prep.vector())
+        if len(inputs) != self.shape["in_dim"]:
+            raise ValueError(f"the encoder takes {self.shape['in_dim']} columns, not {len(inputs)}: {list(inputs)}")
+        return score(F.array(*[F.col(c).cast("double") for c in inputs]))
 
     def _transform(self, dataset):
         name = self.getOrDefault("outputCol")

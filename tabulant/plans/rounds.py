@@ -1,13 +1,14 @@
 """Data-parallel training: local mini-batch steps per shard, then an average.
 
-Rows are dealt to shards by a hash of their key.  In every round each shard streams
-its rows, in a fresh hash order per epoch, through mini-batch steps that start from
-the broadcast state, and returns one state; the states are averaged by row count.
-With one shard this is the ordinary sequential loop.  With several it is local SGD
+Rows are dealt to shards by a hash of their key.  In every round each shard takes its rows, in a fresh random order
+per epoch, through mini-batch steps that start from the broadcast state, and returns one state; the states are averaged
+by row count.  With one shard this is the ordinary sequential loop.  With several it is local SGD
 with parameter averaging, an approximation: batches, donors and batch statistics are
 still those of single mini-batches.
 
-A task holds one Arrow batch and one mini-batch at a time, never its shard.
+A round is planned so that a shard has about ``local_steps * batch_size`` rows.  A task holds these, however large the
+table is, and orders them itself: by the row's lot, which is drawn once, and then by a permutation that
+``(seed, epoch, round, shard)`` draws.  So an epoch neither sorts nor hashes rows, and the order does not depend on how they arrive.
 """
 
 import math
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.functions.draws import draw, order
+from tabulant.functions.draws import draw
 from tabulant.plans.network import adam, named_views, rows_of
 from tabulant.sources.scratch import discard, materialize
 
@@ -49,24 +50,32 @@ def partners(counts: dict[tuple[int, int], int], shards: int) -> dict[tuple[int,
     return moved
 
 
-def mini_batches(blocks, size: int):
-    """Cut (x, y) blocks into batches of ``size``.
+def mini_batches(n: int, size: int):
+    """Bounds of batches of ``size``; a single left-over row joins the batch before it.
 
-    A single left-over row joins the batch before it, because batch statistics need
-    two rows.  ``train`` leaves no shard with one row.
+    Batch statistics need two rows, so a lone row makes no batch; ``train`` leaves no shard with one row.
     """
-    x = y = None
-    for bx, by in blocks:
-        if x is not None and len(x):
-            bx = np.concatenate([x, bx])
-            by = None if by is None else np.concatenate([y, by])
-        at = 0
-        while len(bx) - at >= size + 2:
-            yield bx[at : at + size], None if by is None else by[at : at + size]
-            at += size
-        x, y = bx[at:], None if by is None else by[at:]
-    if x is not None and len(x) > 1:
-        yield x, y
+    at = 0
+    while n - at >= size + 2:
+        yield at, at + size
+        at += size
+    if n - at > 1:
+        yield at, n
+
+
+def shuffled(lots: np.ndarray, cells: np.ndarray, rng) -> np.ndarray:
+    """A permutation of the rows that does not depend on the order in which they came.
+
+    Rows of one lot are told apart by their cells.
+    """
+    order = np.argsort(lots, kind="stable")
+    ranked = lots[order]
+    tied = np.flatnonzero(ranked[1:] == ranked[:-1])
+    if len(tied):
+        same = np.unique(np.concatenate([tied, tied + 1]))
+        own = order[same]
+        order[same] = own[np.lexsort((*cells[own].T[::-1], lots[own]))]
+    return order[rng.permutation(len(order))]
 
 
 def pack(state: dict) -> np.ndarray:
@@ -90,23 +99,22 @@ def train_shard(objective, shared, batch_size: int, salt):
         params, stats = named_views(state["theta"], net.shapes), named_views(state["stats"], net.buffers)
         gradient, state["scratch"] = np.empty_like(state["theta"]), np.empty_like(state["theta"])
         grads = named_views(gradient, net.shapes)
-        shard, rng, rows, steps, loss = None, None, 0, 0, 0.0
-
-        def blocks():
-            nonlocal shard, rng
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                if shard is None:
-                    shard = batch["shard"][0].as_py()
-                    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([*salt, shard])))
-                labels = batch["label"].to_numpy(zero_copy_only=False) if "label" in batch.schema.names else None
-                yield rows_of(batch["features"], np.float32), labels
-
-        for x, y in mini_batches(blocks(), batch_size):
-            batch_loss = objective.step(params, stats, grads, x, y, rng)
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        shard = table["shard"][0].as_py()
+        x = rows_of(table["features"], np.float32)
+        y = table["label"].to_numpy() if "label" in table.column_names else None
+        cells = x if y is None else np.column_stack([x, y])
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([*salt, shard])))
+        order = shuffled(table["lot"].to_numpy(), cells, rng)
+        rows, steps, loss = 0, 0, 0.0
+        for a, b in mini_batches(len(order), batch_size):
+            some = order[a:b]
+            batch_loss = objective.step(params, stats, grads, x[some], None if y is None else y[some], rng)
             adam(state, gradient, objective.rate)
-            rows, steps, loss = rows + len(x), steps + 1, loss + batch_loss * len(x)
+            rows, steps, loss = rows + len(some), steps + 1, loss + batch_loss * len(some)
         if rows:
             flat = pack(state)
             for piece, low in enumerate(range(0, len(flat), PIECE)):
@@ -152,12 +160,8 @@ def run_round(dealt: DataFrame, objective, state, shards: int, batch_size: int,
     """One pass over all shards; returns the averaged state, rows and loss."""
     spark = dealt.sparkSession
     shared = spark.sparkContext.broadcast(state)
-    ordered = (
-        dealt.withColumn("turn", order(seed, "order", epoch, F.col("key")))
-        .sortWithinPartitions("turn", "key")
-        .select(*[c for c in dealt.columns if c in ("shard", "features", "label")])
-    )
-    states = ordered.mapInArrow(train_shard(objective, shared, batch_size, (seed, epoch, turn)), RESULT)
+    rows = dealt.select(*[c for c in ("shard", "lot", "features", "label") if c in dealt.columns])
+    states = rows.mapInArrow(train_shard(objective, shared, batch_size, (seed, epoch, turn)), RESULT)
     # a task averages one piece of the state over all shards; the driver gets one whole state
     found = states.groupBy("piece").applyInArrow(average_piece, RESULT).collect()
     shared.destroy()
@@ -195,12 +199,13 @@ def train(
     lot = draw(seed, "shard", F.col("key"))
     shard, turn = (lot % shards).cast("int"), (F.floor(lot / shards) % rounds).cast("int")
     if shards > 1:
-        # one number per shard and round reaches the driver
-        sizes = df.select(turn.alias("slice"), shard.alias("shard")).groupBy("slice", "shard").count().collect()
-        for (part, alone), other in partners({(r[0], r[1]): r[2] for r in sizes}, shards).items():
+        sizes = df.select(turn.alias("slice"), shard.alias("shard")).groupBy("slice", "shard").count()
+        # slices are large unless there is one, so next to none has a lone row; only those reach the driver
+        lone = sizes.where("count = 1").select("slice").distinct()
+        for (part, alone), other in partners({(r[0], r[1]): r[2] for r in sizes.join(lone, "slice").collect()}, shards).items():
             shard = F.when((turn == part) & (shard == alone), other).otherwise(shard)
     rows = df.select(
-        "key",
+        F.xxhash64(F.lit(seed), "key").alias("lot"),
         F.col("features").cast("array<float>").alias("features"),
         *[c for c in df.columns if c == "label"],
         shard.alias("shard"),

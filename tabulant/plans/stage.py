@@ -31,6 +31,7 @@ class ExtractLatent(ContrastiveEncoder):
 
     skip = param("skip", "do not apply to new data", TypeConverters.toBoolean)
     stageId = param("stageId", "name of the stage", TypeConverters.toString)
+    batchSizeInference = param("batchSizeInference", "rows of one forward pass, 0: an Arrow batch", TypeConverters.toInt)
 
     @keyword_only
     def __init__(
@@ -51,11 +52,18 @@ class ExtractLatent(ContrastiveEncoder):
         projectionDepth=2,
         learningRate=1e-4,
         prefix="extracted_dim_",
+        batchSizeInference=0,
+        localSteps=None,
+        corruptionRate=None,
+        temperature=None,
+        maxLevels=None,
     ):
-        given = {k: v for k, v in self._input_kwargs.items() if k not in ("skip", "stageId")}
+        own = ("skip", "stageId", "batchSizeInference")
+        given = {k: v for k, v in self._input_kwargs.items() if k not in own}
         given = {"terms": terms, "epochs": epochs, **given}
         super().__init__(**given, preprocess=False, wide=True)
-        self._setDefault(skip=False, stageId=f"extract_latent_{uuid.uuid4().hex[:5]}")
+        self._setDefault(skip=False, stageId=f"extract_latent_{uuid.uuid4().hex[:5]}", batchSizeInference=0)
+        self._set(batchSizeInference=batchSizeInference)
         self._set(**{k: v for k, v in {"skip": skip or None, "stageId": stageId}.items() if v is not None})
 
     def __repr__(self):
@@ -67,7 +75,8 @@ class ExtractLatent(ContrastiveEncoder):
 
     def _fit(self, dataset):
         terms = resolve(dataset.schema, self.getOrDefault("terms"))
-        model = ExtractLatentModel(super()._fit(dataset), terms)
+        encoder = super()._fit(dataset).set_output(batchSizeInference=self.getOrDefault("batchSizeInference"))
+        model = ExtractLatentModel(encoder, terms)
         return model._set(skip=self.getOrDefault("skip"), stageId=self.getOrDefault("stageId"))
 
 

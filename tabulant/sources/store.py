@@ -11,7 +11,7 @@ from pyspark.ml.util import (
 )
 from pyspark.sql import SparkSession
 
-WEIGHTS = "name string, shape array<int>, data array<float>"
+WEIGHTS = "name string, shape array<int>, data array<double>"
 
 
 def save_weights(spark: SparkSession, weights: dict, path: str) -> None:
@@ -20,9 +20,9 @@ def save_weights(spark: SparkSession, weights: dict, path: str) -> None:
     spark.createDataFrame(rows, WEIGHTS).write.parquet(path)
 
 
-def load_weights(spark: SparkSession, path: str) -> dict:
+def load_weights(spark: SparkSession, path: str, dtype=np.float32) -> dict:
     rows = spark.read.schema(WEIGHTS).parquet(path).collect()
-    return {r["name"]: np.array(r["data"], np.float32).reshape(r["shape"]) for r in rows}
+    return {r["name"]: np.array(r["data"], dtype).reshape(r["shape"]) for r in rows}
 
 
 class _Writer(MLWriter):

@@ -170,3 +170,30 @@ def test_a_fitted_model_scores_a_stream(spark, mixed, tmp_path):
     scored = spark.table("scored")
     assert scored.count() == 20
     assert scored.schema["latent"].dataType == T.ArrayType(T.FloatType())
+
+
+def test_inference_batches_change_nothing(clusters, encoder):
+    import tabulant as tb
+
+    whole = {r["id"]: r["latent"] for r in tb.extract_features(clusters, encoder, key_columns=["id"]).collect()}
+    cut = {r["id"]: r["latent"] for r in tb.extract_features(clusters, encoder, key_columns=["id"], batch_size=7).collect()}
+    assert whole.keys() == cut.keys()
+    assert all(np.allclose(whole[k], cut[k], atol=1e-5) for k in whole)
+
+
+def test_extraction_from_prepared_columns(clusters, encoder):
+    """Without preprocessing the table's own columns are the inputs; prepared ones give the same latent rows."""
+    import tabulant as tb
+
+    width = encoder.shape["in_dim"]
+    ready = encoder.prep.transform(clusters)
+    ready = ready.select("id", "label", *[F.col("features")[i].alias(f"f{i}") for i in range(width)])
+    found = tb.extract_features(ready, encoder, key_columns=["id"], preprocess=False, want_labels=True, label_column="label")
+    assert found.columns == ["id", "label", "latent"]
+    got = {r["id"]: r["latent"] for r in found.collect()}
+    want = {r["id"]: r["latent"] for r in tb.extract_features(clusters, encoder, key_columns=["id"]).collect()}
+    assert all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+    again = tb.extract_features(ready, encoder, exclude_columns=["id", "label"], preprocess=False)
+    assert again.columns == ["latent"] and again.count() == len(want)
+    with pytest.raises(ValueError, match="takes"):
+        tb.extract_features(ready, encoder, preprocess=False)

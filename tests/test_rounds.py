@@ -20,22 +20,16 @@ def rows(spark):
     return spark.createDataFrame(data, "key string, features array<double>").cache()
 
 
-def word(text):
-    import hashlib
-
-    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
-
-
 def test_one_shard_is_the_sequential_loop(rows):
     state, history = rounds.train(rows, objective(), n=301, epochs=2, batch_size=50, seed=5, shards=1)
 
     goal = objective()
     want = goal.net.initial(np.random.default_rng(5))
-    data = {r.key: np.array(r.features, np.float32) for r in rows.collect()}
+    lots = rows.select("key", F.xxhash64(F.lit(5), "key").alias("lot"), "features").collect()
+    data = np.array([r.features for r in sorted(lots, key=lambda r: r.lot)], np.float32)
     for epoch in range(2):
         rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([5, epoch, 0, 0])))
-        order = sorted(data, key=lambda k: (word(f"5:order:{epoch}:{k}"), k))
-        x = np.array([data[k] for k in order])
+        x = data[rng.permutation(301)]
         params = named_views(want["theta"], goal.net.shapes)
         stats = named_views(want["stats"], goal.net.buffers)
         gradient, want["scratch"] = np.empty_like(want["theta"]), np.empty_like(want["theta"])
@@ -51,6 +45,49 @@ def test_one_shard_is_the_sequential_loop(rows):
     assert state["stats"] == pytest.approx(want["stats"], abs=1e-6)
 
 
+def test_rows_of_one_lot_are_ordered_by_their_cells():
+    rng = np.random.default_rng(0)
+    lots = np.array([5, 3, 5, 5, 9, 3])
+    cells = np.arange(12.0).reshape(6, 2) % 5
+    for _ in range(20):
+        mixed = rng.permutation(6)
+        a = rounds.shuffled(lots, cells, np.random.default_rng(1))
+        b = rounds.shuffled(lots[mixed], cells[mixed], np.random.default_rng(1))
+        assert (cells[a] == cells[mixed][b]).all() and (lots[a] == lots[mixed][b]).all()
+
+
+def test_epochs_take_uniform_orders():
+    """Over many epochs every row is about as often at every place."""
+    lots = np.arange(20)[::-1].copy()
+    places = np.zeros((20, 20))
+    for epoch in range(2000):
+        order = rounds.shuffled(lots, lots[:, None], np.random.Generator(np.random.Philox(np.random.SeedSequence([1, epoch, 0, 0]))))
+        places[order, np.arange(20)] += 1
+    assert (places.sum(1) == 2000).all() and abs(places - 100).max() < 50
+
+
+def test_an_epoch_neither_sorts_nor_draws(rows, monkeypatch):
+    plans = []
+    run = rounds.run_round
+
+    def spied(dealt, *args):
+        plans.append(dealt._jdf.queryExecution().executedPlan().toString())
+        return run(dealt, *args)
+
+    monkeypatch.setattr(rounds, "run_round", spied)
+    rounds.train(rows, objective(), n=301, epochs=3, batch_size=16, seed=1, shards=2, local_steps=3)
+    assert len(plans) == 12 and not any("Sort" in p or "md5" in p or "Window" in p for p in plans)
+
+
+def test_only_slices_with_lone_rows_reach_the_driver(spark, monkeypatch):
+    seen = []
+    found = rounds.partners
+    monkeypatch.setattr(rounds, "partners", lambda counts, shards: seen.append(counts) or found(counts, shards))
+    table = spark.range(4000).select(F.col("id").cast("string").alias("key"), F.array(F.col("id") * 1.0, F.lit(2.0), F.lit(0.0), F.lit(1.0)).alias("features"))
+    _, history = rounds.train(table, objective(), n=4000, epochs=1, batch_size=16, seed=1, shards=2, local_steps=8)
+    assert history[0]["rows"] == 4000 and seen == [{}]
+
+
 def test_layout_of_the_input_does_not_matter(rows):
     states = [
         rounds.train(rows.repartition(p), objective(), n=301, epochs=1, batch_size=32, seed=1, shards=3)[0]

@@ -27,6 +27,25 @@ def test_defaults():
     assert s.getOrDefault("skip") is False
 
 
+def test_fit_at_the_default_epochs(clusters):
+    """All 150 epochs run, and the loss falls."""
+    terms = [f"x{j}" for j in range(6)]
+    s = tb.ExtractLatent(terms=terms, keyCols=["id"], hidden=16, depth=2, numShards=1, learningRate=3e-3)
+    history = s.fit(clusters.where("id < 120")).encoder.history
+    losses = [h["loss"] for h in history]
+    assert len(losses) == 150 and all(h["rows"] == 120 for h in history)
+    assert sum(losses[-10:]) < 0.95 * sum(losses[:10])
+
+
+def test_parameters_reach_the_trainer(mixed):
+    more = dict(batchSizeInference=7, localSteps=3, corruptionRate=0.3, temperature=0.2, maxLevels=9)
+    s = stage(**more)
+    assert all(s.getOrDefault(k) == v for k, v in more.items())
+    model = s.fit(mixed)
+    assert model.encoder.getOrDefault("batchSizeInference") == 7
+    assert model.transform(mixed).count() == mixed.count()
+
+
 def test_tidy_before_and_after(spark, mixed):
     s = tb.ExtractLatent(terms=["num1", "num2"], stageId="latent_7", **SMALL)
     before = s.tidy(spark).collect()

@@ -34,6 +34,22 @@ def test_mask_rate_and_agreement_with_the_view(batched):
     assert not (changed & ~hit).any()
 
 
+def test_odd_keys_change_only_masked_cells(spark):
+    """Composite keys, colons, backslashes and nulls are spelled alike by the mask and the view."""
+    parts = ["a", "a:b", "b", ":", "\\", "\\N", None, ""]
+    pairs = [(x, y) for x in parts for y in parts]
+    rows = [(x, y, i, [float(10 * i + j) for j in range(4)]) for i, (x, y) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "x string, y string, pos int, features array<double>").withColumn("batch", F.lit(0))
+    masked = {r["pos"]: r["mask"] for r in views.corruption_mask(df, ["x", "y"]).collect()}
+    assert len({tuple(m) for m in masked.values()}) > 10
+    for r in views.corrupt(df, ["x", "y"]).collect():
+        changed = [a != b for a, b in zip(r["features"], r["corrupted"])]
+        assert all(hit or not c for hit, c in zip(masked[r["pos"]], changed))
+        assert r["features"] != r["corrupted"] or sum(masked[r["pos"]]) < 4
+    single = views.corrupt(df, ["x"]).where("x is null").count()
+    assert single == len(parts)
+
+
 @pytest.mark.parametrize("rate", [0.0, 1.0])
 def test_extreme_rates(batched, rate):
     rows = views.corrupt(batched, ["id"], rate=rate).collect()
