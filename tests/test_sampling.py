@@ -1,5 +1,6 @@
 import hashlib
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,38 @@ def test_stratified_sample_rounds_half_to_even(spark):
     assert keys(sample.where("label = 'many'")) == sorted(want)
 
 
+@pytest.mark.parametrize("cells", ["id", "id % 5", "1"])
+@pytest.mark.parametrize("keys_", ["id % 4", "cast(null as bigint)", "if(id % 3 = 0, 7, id)"])
+def test_split_is_exact_among_repeated_keys(spark, keys_, cells):
+    """Also where rows of one key, or rows that are equal in every column, straddle the cut."""
+    df = spark.range(1000).selectExpr(f"{keys_} as k", f"cast({cells} as bigint) as x").repartition(5)
+    for p in (0.1, 0.37):
+        train, valid = sampling.validation_split(df, p, ["k"], seed=1)
+        assert (train.count(), valid.count()) == (1000 - math.floor(p * 1000), math.floor(p * 1000))
+        both = Counter(map(tuple, train.collect())) + Counter(map(tuple, valid.collect()))
+        assert both == Counter(map(tuple, df.collect()))
+        again = sampling.validation_split(df.repartition(2), p, ["k"], seed=1)[1]
+        assert Counter(map(tuple, again.collect())) == Counter(map(tuple, valid.collect()))
+
+
+@pytest.mark.parametrize("max_levels", [2, 1000])
+def test_sample_is_exact_among_repeated_keys(spark, max_levels):
+    """Broadcast or shuffled, with one key per class, a few, or equal rows."""
+    df = spark.range(3000).selectExpr(
+        "case when id < 2000 then 'big' when id < 2600 then 'equal' when id < 2990 then null else 'few' end as c",
+        "id % 3 as k", "if(id between 2000 and 2599, 0, id) as x",
+    )
+    got = sampling.stratified_sample(df, "c", ["k"], 0.05, max_levels=max_levels)
+    assert {r["c"]: r["count"] for r in got.groupBy("c").count().collect()} == {"big": 100, "equal": 30, None: 20}
+    assert not Counter(map(tuple, got.collect())) - Counter(map(tuple, df.collect()))
+
+
+def test_many_classes(spark):
+    df = spark.range(40_000).selectExpr("id div 20 as c", "id")
+    got = sampling.stratified_sample(df, "c", ["id"], 0.05)
+    assert got.count() == 2000 and got.select("c").distinct().count() == 2000
+
+
 def test_batches_are_full_but_the_last(spark):
     out = sampling.assign_batches(spark.range(1000), ["id"], 64, epoch=1)
     sizes = [r["count"] for r in out.groupBy("batch").count().orderBy("batch").collect()]
