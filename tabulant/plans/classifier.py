@@ -13,7 +13,7 @@ from tabulant.operators import evaluate
 from tabulant.operators.neighbours import BLOCK_ROWS, CHUNK_ROWS, PIVOTS
 from tabulant.operators.prep import MAX_LEVELS
 from tabulant.operators.sampling import stratified_sample
-from tabulant.plans.boosting import DEPTH, ROUNDS, GradientHead
+from tabulant.plans.boosting import BINS, DEPTH, ROUNDS, GradientHead
 from tabulant.plans.encoder import ContrastiveEncoderModel, keyed, param
 from tabulant.plans.heads import (
     ESTIMATORS,
@@ -31,6 +31,7 @@ from tabulant.plans.heads import (
     SvmHead,
 )
 from tabulant.plans.rounds import LOCAL_STEPS, SHARDS
+from tabulant.plans.tree import TreeHead
 from tabulant.sources.scratch import discard, materialize
 from tabulant.sources.store import Stored
 
@@ -68,6 +69,7 @@ class LatentClassifier(Estimator):
     maxBins = param("maxBins", "thresholds tried per feature (trees)", TypeConverters.toInt)
     trees = param("trees", "trees of the forest (Random Forest)", TypeConverters.toInt)
     boostRounds = param("boostRounds", "rounds of boosting (XGB)", TypeConverters.toInt)
+    boostBins = param("boostBins", "thresholds tried per feature and one more (XGB)", TypeConverters.toInt)
     boostDepth = param("boostDepth", "levels of a boosted tree (XGB)", TypeConverters.toInt)
     fourierFeatures = param("fourierFeatures", "random features (SVM)", TypeConverters.toInt)
     iterations = param("iterations", "most iterations of a plane (SVM); a warning says if they run out", TypeConverters.toInt)
@@ -101,6 +103,7 @@ class LatentClassifier(Estimator):
         trees=FOREST_TREES,
         boostRounds=ROUNDS,
         boostDepth=DEPTH,
+        boostBins=BINS,
         fourierFeatures=FOURIER_FEATURES,
         iterations=SVM_ITERATIONS,
         maxLevels=MAX_LEVELS,
@@ -118,7 +121,7 @@ class LatentClassifier(Estimator):
             keyCols=[], epochs=50, dropout=0.2, batchSize=256, numShards=SHARDS, localSteps=LOCAL_STEPS,
             neighbours=NEIGHBOURS, blockRows=BLOCK_ROWS, chunkRows=CHUNK_ROWS, pivots=PIVOTS,
             maxDepth=MAX_DEPTH, maxBins=MAX_BINS, trees=FOREST_TREES,
-            boostRounds=ROUNDS, boostDepth=DEPTH, fourierFeatures=FOURIER_FEATURES,
+            boostRounds=ROUNDS, boostDepth=DEPTH, boostBins=BINS, fourierFeatures=FOURIER_FEATURES,
             iterations=SVM_ITERATIONS, maxLevels=MAX_LEVELS, small=False, seed=0,
         )
         given = {k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items()}
@@ -186,8 +189,10 @@ class LatentClassifier(Estimator):
             estimator = ESTIMATORS[self.choice](get("maxDepth"), get("maxBins"), get("trees"))
             return SparkHead.fit(estimator, rows, classes, seed)
         if self.choice == "XGB":
-            bins = min(get("maxBins"), 256)
-            return GradientHead.fit(rows, classes, rounds=get("boostRounds"), depth=get("boostDepth"), bins=bins)
+            shape = dict(rounds=get("boostRounds"), depth=get("boostDepth"), bins=get("boostBins"))
+            return GradientHead.fit(rows, classes, **shape)
+        if self.choice == "C50":
+            return TreeHead.fit(rows, classes, depth=get("maxDepth"), bins=min(get("maxBins"), 256))
         if self.choice == "SVM":
             return SvmHead.fit(rows, classes, seed, get("fourierFeatures"), get("iterations"))
         sizes = (get(p) for p in ("blockRows", "chunkRows", "pivots"))
