@@ -153,8 +153,8 @@ def fit_ratios(
     return (log_ratios(raw, target) if target.any() else np.zeros(BUCKETS)), (good / n if n else 1.0)
 
 
-def _drawn(docs, labels, key, text, k, share, effective, seed, options) -> tuple[DataFrame, str, float | None]:
-    """``docs`` with the structure of results in a new column, stored; its name; and the least draw that is selected."""
+def _drawn(docs, kept, labels, key, text, k, share, effective, seed, options) -> tuple[DataFrame, str, float | None]:
+    """Columns ``kept`` of ``docs`` and the structure of results in a new one, stored; its name; and the least draw selected."""
     ratios, good = fit_ratios(docs, labels, key, text, seed=seed, **options)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS numbers
     name = "drawn"
@@ -165,7 +165,7 @@ def _drawn(docs, labels, key, text, k, share, effective, seed, options) -> tuple
     rows = docs.withColumn(name, own).withColumn(name, F.struct(f"{name}.*", log_weight.alias("log_weight")))
     noise = gumbel(F.lit(seed + 1), F.col(key))
     rows = rows.withColumn(name, F.struct(f"{name}.*", (F.col(name)["log_weight"] + noise).alias("draw")))
-    rows, _ = materialize(rows, "draws")
+    rows, _ = materialize(rows.select(*kept, name), "draws")
     if k is None:
         k = round((good if share is None else share) * rows.count())
     return rows, name, kth_largest(rows.select(F.col(name)["draw"].alias("draw")), "draw", k)
@@ -181,7 +181,7 @@ def resample(
     text is empty, and a text without n-grams has log weight 0.  Null keys share one noise.  Texts are read whole,
     once for the models and once for the weights.  Other columns are not read; an empty table gives an empty result.
     """
-    rows, name, least = _drawn(docs.select(key, text), labels, key, text, k, share, effective, seed, options)
+    rows, name, least = _drawn(docs.select(key, text), [key], labels, key, text, k, share, effective, seed, options)
     chosen = F.lit(False) if least is None else F.col("draw") >= least
     return rows.select(key, f"{name}.*").withColumn("selected", chosen)
 
@@ -191,5 +191,5 @@ def selected(
     share: float | None = None, effective: float = EFFECTIVE_NGRAMS, seed: int = SEED, **options,
 ) -> DataFrame:
     """The rows of ``docs`` that ``resample`` selects, with all their columns, whatever these are called."""
-    rows, name, least = _drawn(docs, labels, key, text, k, share, effective, seed, options)
+    rows, name, least = _drawn(docs, docs.columns, labels, key, text, k, share, effective, seed, options)
     return rows.where(F.lit(False) if least is None else F.col(name)["draw"] >= least).drop(name)
