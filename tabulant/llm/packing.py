@@ -82,13 +82,16 @@ def _pack_room(rows: list, room: str, capacity: int) -> pa.RecordBatch:
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """What ``pack`` needs of documents: the length in byte-level tokens with one separator, equal texts as a cluster."""
+    """What ``pack`` needs of documents: the length in byte-level tokens with one separator, equal texts as a cluster.
+
+    A null text has length 1 and no cluster; an empty one is a text like any other.
+    """
     length = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1
     return docs.select(
         F.col(key).alias("doc_id"),
         F.col(source).alias("source"),
         length.alias("length"),
-        F.xxhash64(F.col(text)).alias("cluster"),
+        F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("cluster"),  # the hash of null is a number
     )
 
 

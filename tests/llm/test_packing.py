@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from tabulant.llm import packing
+from tabulant.llm import packing, queries
 
 
 def brute_best_fit(items, capacity):
@@ -89,3 +89,40 @@ def test_documents(sample, empty, rows):
     got = packing.pack(packing.measured(sample)).collect()
     verify([(k, len((t or "").encode()) + 1, s, 0) for k, t, s in rows], got, packing.CAPACITY)
     assert packing.pack(packing.measured(empty)).collect() == []
+
+
+def test_missing_texts_and_sources_conflict_with_nothing(spark):
+    rows = [(i, None, None) for i in range(50)] + [(100 + i, "", None) for i in range(3)] + [(200 + i, None, "s") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(packing.measured(docs)).collect()
+    bins = defaultdict(set)
+    for r in got:
+        bins[r["bin"]].add(r["doc_id"])
+    assert len(got) == 55 and len(bins) == 3  # equal texts and equal sources part, nothing else does
+    assert all(len({k for k in b if 100 <= k < 200}) == 1 for b in bins.values())
+
+
+def test_query_equals_a_plain_packing(spark):
+    """Dealing, lengths, order and bins of the registered query, all anew."""
+    import xxhash
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    hashed = docs.selectExpr("*", "xxhash64(text) as c", f"xxhash64({packing.SEED}, doc_id, xxhash64(text)) as deal").collect()
+    assert all(r["c"] % 2**64 == xxhash.xxh64_intdigest(r["text"].encode(), 42) for r in hashed)
+    rows = sorted(hashed, key=lambda r: (r["deal"], r["doc_id"]))
+    assert len(rows) <= packing.ROOM_ROWS  # one room
+    want, items = set(), []
+    for i, r in enumerate(rows):
+        size = len(r["text"].encode()) + 1
+        for p in range(size // packing.CAPACITY):
+            want.add((r["doc_id"], p, p * packing.CAPACITY, packing.CAPACITY, f"w{i}-{p}", 0, 0))
+        if size % packing.CAPACITY:
+            items.append((i, size % packing.CAPACITY, r["source"], r["c"]))
+    items.sort(key=lambda x: (-x[1], x[0]))
+    placed, free = brute_best_fit(items, packing.CAPACITY)
+    for (i, rest, _, _), (bin_no, offset) in zip(items, placed):
+        size = len(rows[i]["text"].encode()) + 1
+        want.add((rows[i]["doc_id"], size // packing.CAPACITY, size - rest, rest, str(bin_no), offset, free[bin_no]))
+    got = {(r["doc_id"], r["piece"], r["start"], r["length"], r["bin"].split("-", 1)[1], r["bin_offset"], r["bin_free"]) for r in queries.op8_best_fit_packing(spark, sf).collect()}
+    assert got == want
