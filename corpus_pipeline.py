@@ -2,7 +2,7 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last keep rows of ``docs`` as they are, with the
 columns of documents.  ``run`` writes the result of each stage as Parquet to the shared folder and reads
-it again for the next, so a lost executor costs one stage at most.  Labels and benchmark come
+it again for the next, so a lost executor costs one stage at most; other tables are removed with their stage.  Labels and benchmark come
 from ``sf_dir``; rows of ``docs`` without a label are judged like any other.  An empty table passes
 through every stage.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulant.llm import decontaminate, packing, quality, simhash, toxicity
-from tabulant.sources.scratch import materialize
+from tabulant.sources.scratch import discard, materialize, new_path, scope
 from tabulant.sources.tables import table
 
 
@@ -88,7 +88,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scope(spark):  # what a stage stored on its way goes when its result is stored
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,7 +1,9 @@
 """Intermediate tables in the folder that all executors share."""
 
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_open = threading.local()  # the paths of the scope that is open, if any
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Removes at its end every table that this thread wrote inside it; what is read from them must be stored before.
+
+    Scopes nest: the inner one removes its own tables only.
+    """
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        mine, _open.paths = _open.paths, outer
+        for path in mine:
+            discard(spark, path)
 
 
 def materialize(df: DataFrame, name: str, partition_by=()) -> tuple[DataFrame, str]:

@@ -48,3 +48,24 @@ def test_small_files_are_spread_and_large_tables_left_alone(spark, tmp_path):
     many = table(spark, str(tmp_path), "many")
     assert "Repartition" not in table(spark, str(tmp_path), "many", spread=True)._jdf.queryExecution().logical().toString()
     assert many.rdd.getNumPartitions() >= 4
+
+
+def test_a_scope_removes_its_own_tables(spark):
+    import os
+
+    def there(path):
+        return os.path.exists(path.removeprefix("file:"))
+
+    _, kept = scratch.materialize(spark.range(3), "kept")
+    with scratch.scope(spark):
+        _, outer = scratch.materialize(spark.range(3), "outer")
+        with scratch.scope(spark):
+            _, inner = scratch.materialize(spark.range(3), "inner")
+        assert there(outer) and not there(inner)
+    assert there(kept) and not there(outer)
+    with pytest.raises(ZeroDivisionError), scratch.scope(spark):
+        _, failed = scratch.materialize(spark.range(3), "failed")
+        1 / 0
+    assert not there(failed)
+    _, later = scratch.materialize(spark.range(3), "later")
+    assert there(later)
