@@ -180,6 +180,26 @@ def validation_split(spark, sf):
     return side(train, "train").unionByName(side(valid, "validation"))
 
 
+def split_repeated_keys(spark, sf):
+    """A split by customer, a key that many orders share: exact in size, and no order lost or doubled."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    train, valid = sampling.validation_split(orders, 0.1, ["o_custkey"])
+    both = train.withColumn("held", F.lit(0)).unionByName(valid.withColumn("held", F.lit(1)))
+    return both.agg(
+        F.count_if(F.col("held") == 0).alias("train_rows"),
+        F.count_if(F.col("held") == 1).alias("valid_rows"),
+        F.countDistinct("o_orderkey").alias("orders"),
+        F.sum("o_orderkey").cast("bigint").alias("sum_of_keys"),
+    )
+
+
+def sample_equal_rows(spark, sf):
+    """Five percent of every class of a table whose rows all repeat."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus")
+    sample = sampling.stratified_sample(rows, "l_returnflag", ["l_linestatus"])
+    return sample.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
 def stratified_sample(spark, sf):
     sample = sampling.stratified_sample(table(spark, sf, "orders"), "o_orderpriority", KEY)
     return sample.select(*KEY, "o_orderpriority")
@@ -346,6 +366,29 @@ def extract_with_labels(spark, sf):
     )
 
 
+def extract_prepared(spark, sf):
+    """Latent rows of a table that was prepared before, next to those that the encoder prepares itself."""
+    model, orders = trained_encoder(spark, sf), table(spark, sf, "orders", spread=True)
+    width = model.shape["in_dim"]
+    ready = model.prep.transform(orders).select(*KEY, *[F.col("features")[i].alias(f"f{i}") for i in range(width)])
+    given = tb.extract_features(ready, model, preprocess=False, batch_size=1000, key_columns=KEY)
+    own = tb.extract_features(orders, model, key_columns=KEY).withColumnRenamed("latent", "own")
+    off = F.array_max(F.zip_with("latent", "own", lambda a, b: F.abs(a - b)))
+    return given.join(own, KEY).agg(F.count("*").alias("n"), F.count_if(off > 1e-4).alias("different"))
+
+
+def boost_history(spark, sf):
+    """The loss falls in each round of the boosted trees; one model holds a tree per class and round."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    rows = prep.TabularPrep(exclude=["p_partkey"]).fit(rows).transform(rows)
+    size = F.when(F.col("p_size") > 34, "large").when(F.col("p_size") > 17, "medium").otherwise("small")
+    choice = dict(kind="XGB", labelCol="kind", featuresCol="features", keyCols=["p_partkey"], boostRounds=5)
+    head = tb.LatentClassifier(**choice).fit(rows.withColumn("kind", size)).head
+    trees = head.trees["feature"].shape[1]
+    falls = [(i + 1, a > b, trees) for i, (a, b) in enumerate(zip(head.history, head.history[1:]))]
+    return spark.createDataFrame(falls, "round int, falls boolean, trees int")
+
+
 def extract_wide(spark, sf):
     wide = trained_encoder(spark, sf).set_output(wide=True).transform(table(spark, sf, "orders", spread=True))
     dims = [c for c in wide.columns if c.startswith("extracted_dim_")]
@@ -521,6 +564,8 @@ QUERIES = [
     exclude_columns,
     select_numeric,
     validation_split,
+    split_repeated_keys,
+    sample_equal_rows,
     stratified_sample,
     drop_zero_variance,
     row_key,
@@ -542,7 +587,9 @@ QUERIES = [
     fit_extract,
     validation_loss,
     extract_with_labels,
+    extract_prepared,
     extract_wide,
+    boost_history,
     classify_mlp,
     classify_custom,
     classify_rf,

@@ -269,6 +269,19 @@ def statements() -> dict[str, str]:
         "extract_with_labels": """
             SELECT o_orderstatus AS label, count(*) AS n, 256 AS narrowest, 256 AS widest, 0::BIGINT AS not_finite
             FROM orders GROUP BY o_orderstatus""",
+        "split_repeated_keys": """
+            SELECT (n - floor(0.1 * n))::BIGINT AS train_rows, floor(0.1 * n)::BIGINT AS valid_rows, orders, sum_of_keys
+            FROM (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS orders, sum(o_orderkey)::BIGINT AS sum_of_keys
+                  FROM orders)""",
+        "sample_equal_rows": """
+            SELECT l_returnflag, n FROM (
+              SELECT l_returnflag, round_even(0.05::DOUBLE * count(*), 0)::BIGINT AS n FROM lineitem GROUP BY l_returnflag)
+            WHERE n > 0""",
+        "extract_prepared": "SELECT count(*) AS n, 0::BIGINT AS different FROM orders",
+        "boost_history": """
+            SELECT i::INTEGER AS round, true AS falls,
+                   (SELECT count(DISTINCT CASE WHEN p_size > 34 THEN 2 WHEN p_size > 17 THEN 1 ELSE 0 END) FROM part)::INTEGER AS trees
+            FROM range(1, 6) r(i)""",
         "extract_wide": """
             SELECT count(*) AS n, 256 AS dimensions, 'o_orderkey,o_orderstatus,o_orderdate' AS other_columns,
                    0::BIGINT AS not_finite, count(DISTINCT o_orderkey) AS keys
