@@ -31,7 +31,7 @@ from tabulant.plans.heads import (
     SvmHead,
 )
 from tabulant.plans.rounds import LOCAL_STEPS, SHARDS
-from tabulant.plans.tree import TreeHead
+from tabulant.plans.tree import LEAST, TreeHead
 from tabulant.sources.scratch import discard, materialize
 from tabulant.sources.store import Stored
 
@@ -68,6 +68,7 @@ class LatentClassifier(Estimator):
     maxDepth = param("maxDepth", "levels of a tree (Random Forest, C50)", TypeConverters.toInt)
     maxBins = param("maxBins", "thresholds tried per feature (trees)", TypeConverters.toInt)
     trees = param("trees", "trees of the forest (Random Forest)", TypeConverters.toInt)
+    leastRows = param("leastRows", "rows on either side of a split (C50)", TypeConverters.toInt)
     boostRounds = param("boostRounds", "rounds of boosting (XGB)", TypeConverters.toInt)
     boostBins = param("boostBins", "thresholds tried per feature and one more (XGB)", TypeConverters.toInt)
     boostDepth = param("boostDepth", "levels of a boosted tree (XGB)", TypeConverters.toInt)
@@ -101,6 +102,7 @@ class LatentClassifier(Estimator):
         maxDepth=MAX_DEPTH,
         maxBins=MAX_BINS,
         trees=FOREST_TREES,
+        leastRows=LEAST,
         boostRounds=ROUNDS,
         boostDepth=DEPTH,
         boostBins=BINS,
@@ -121,7 +123,7 @@ class LatentClassifier(Estimator):
             keyCols=[], epochs=50, dropout=0.2, batchSize=256, numShards=SHARDS, localSteps=LOCAL_STEPS,
             neighbours=NEIGHBOURS, blockRows=BLOCK_ROWS, chunkRows=CHUNK_ROWS, pivots=PIVOTS,
             maxDepth=MAX_DEPTH, maxBins=MAX_BINS, trees=FOREST_TREES,
-            boostRounds=ROUNDS, boostDepth=DEPTH, boostBins=BINS, fourierFeatures=FOURIER_FEATURES,
+            leastRows=LEAST, boostRounds=ROUNDS, boostDepth=DEPTH, boostBins=BINS, fourierFeatures=FOURIER_FEATURES,
             iterations=SVM_ITERATIONS, maxLevels=MAX_LEVELS, small=False, seed=0,
         )
         given = {k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items()}
@@ -192,7 +194,7 @@ class LatentClassifier(Estimator):
             shape = dict(rounds=get("boostRounds"), depth=get("boostDepth"), bins=get("boostBins"))
             return GradientHead.fit(rows, classes, **shape)
         if self.choice == "C50":
-            return TreeHead.fit(rows, classes, depth=get("maxDepth"), bins=min(get("maxBins"), 256))
+            return TreeHead.fit(rows, classes, depth=get("maxDepth"), bins=min(get("maxBins"), 256), least=get("leastRows"))
         if self.choice == "SVM":
             return SvmHead.fit(rows, classes, seed, get("fourierFeatures"), get("iterations"))
         sizes = (get(p) for p in ("blockRows", "chunkRows", "pivots"))
