@@ -1,18 +1,21 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 1. The frequency of every benchmark term is counted over the whole corpus.
-2. Every window of 13 consecutive words of an item names its rarest terms, the anchors.
-3. The index is stored: postings of the anchor terms over all documents, each with its term, its
-   place and the words around it.  Other terms are not posted.
+2. Every window of 13 consecutive words of an item names its rarest terms: two for phrases, and for
+   proximity as many as a text can lack, and one more, of those that the corpus has.
+3. The index is stored: postings of these terms over all documents, each with its term, its place and
+   the words around it.  Other terms are not posted, nor are places with too few of an item's words around.
 4. Postings meet the items at their term.  A place minus the place in the item is the diagonal; the
-   lists of a window's anchors are intersected on it.
-5. Where all anchors of a window agree, the words around decide: equal words are an exact phrase.
-   Where most of the 13 item words about an anchor stand around its posting, in any order, the text
-   has a proximity match.
+   lists of a window's phrase anchors are intersected on it.  Where all of them agree and the words around
+   equal the window, it is an exact phrase.
+5. A proximity match is a window with ``NEAR_SHARE`` of its distinct words, in any order, within 13
+   consecutive words of the text.  Such a text holds at least one of the window's proximity anchors, so
+   every match is found from a posting, whatever other documents hold.
 
 Everything is DataFrame operations, and texts are never shuffled.  The benchmark is taken in blocks
-of at most ``block_words`` words; what is broadcast are the terms of one block, so its size is bounded
-whatever the benchmark, and every block is a pass over the corpus.
+of at most ``block_words`` words.  The windows and anchors of one block are broadcast: their rows are at most
+its words, whatever the benchmark, and every block is a pass over the corpus.  So a term that stands in
+many items or documents is never a hot key of a join.
 """
 
 import math
@@ -27,7 +30,7 @@ from tabulant.sources.scratch import materialize
 WINDOW = 13
 ANCHORS = 2
 NEAR_SHARE = 0.7
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 END = ""  # a posting of it, behind the last word, tells the length of a text
 
 
@@ -44,81 +47,140 @@ def term_frequency(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("frequency"))
 
 
-def item_windows(sequences: DataFrame, frequency: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
-    """``(seq, first, window, anchors)``: each window with the places and terms of its rarest terms.
+def item_windows(
+    sequences: DataFrame,
+    frequency: DataFrame,
+    window: int = WINDOW,
+    anchors: int = ANCHORS,
+    near_share: float = NEAR_SHARE,
+) -> DataFrame:
+    """``(seq, first, window, need, anchors, near)``: each window with the places and terms of its rarest terms.
 
-    An item of fewer words is one window.  A window with a term that the corpus lacks cannot occur and
-    is left out.
+    An item of fewer words is one window.  ``need`` is how many of its distinct words a proximity match
+    holds.  A text with ``need`` of them lacks at most ``present - need`` of those that the corpus has, so
+    one more of the rarest, ``near``, cannot all be lacking.  A window with a term that the corpus
+    lacks is no phrase and has no ``anchors``; one with fewer than ``need`` present terms is left out.
     """
     placed = sequences.select("seq", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
     placed = placed.join(frequency, "term", "left").fillna(0, ["frequency"])
     ahead = Window.partitionBy("seq").orderBy("at").rowsBetween(0, window - 1)
     framed = placed.select("seq", "n", "at", F.collect_list(F.struct("frequency", "at", "term")).over(ahead).alias("cells"))
     framed = framed.where(F.col("at") <= F.greatest(F.col("n") - window, F.lit(0)))
-    rarest = F.slice(F.array_sort("cells"), 1, anchors)
-    return framed.where(~F.exists("cells", lambda c: c["frequency"] == 0)).select(
+    terms = F.transform("cells", lambda c: c["term"])
+    framed = framed.select(
         "seq",
         F.col("at").alias("first"),
-        F.transform("cells", lambda c: c["term"]).alias("window"),
-        F.transform(rarest, lambda c: F.struct(c["at"].alias("at"), c["term"].alias("term"))).alias("anchors"),
+        terms.alias("window"),
+        F.ceil(F.size(F.array_distinct(terms)) * F.lit(near_share) - 1e-9).cast("int").alias("need"),
+        F.array_sort("cells").alias("cells"),
+    )
+    # the first place of every present term, rarest first
+    present = F.filter(
+        "cells",
+        lambda c: (c["frequency"] > 0) & (F.col("first") + F.array_position("window", c["term"]) - 1 == c["at"]),
+    )
+
+    def named(cells):
+        return F.transform(cells, lambda c: F.struct(c["at"].alias("at"), c["term"].alias("term")))
+
+    whole = ~F.exists("cells", lambda c: c["frequency"] == 0)
+    rarest = F.slice("cells", 1, F.when(whole, anchors).otherwise(0))
+    return framed.withColumn("present", present).where(F.size("present") >= F.col("need")).select(
+        "seq",
+        "first",
+        "window",
+        "need",
+        named(rarest).alias("anchors"),
+        named(F.slice("present", 1, F.size("present") - F.col("need") + 1)).alias("near"),
     )
 
 
-def positional_index(texts: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Postings ``(key, text_hash, term, at, around, around_from)`` of the terms, and of every text's end.
+def anchor_places(windows: DataFrame, sequences: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(term, seq, anchor_at, centre, need)``: every anchor with the distinct item words around it, once."""
+    lists = windows.select("seq", "need", F.explode(F.array_union("anchors", "near")).alias("anchor"))
+    lists = lists.groupBy("seq", "anchor").agg(F.min("need").alias("need")).join(sequences, "seq")
+    left = F.greatest(F.col("anchor.at") - (window - 1), F.lit(0))
+    until = F.col("anchor.at") + window
+    return lists.select(
+        "anchor.term",
+        "seq",
+        F.col("anchor.at").alias("anchor_at"),
+        F.array_distinct(F.slice("words", left + 1, until - left)).alias("centre"),
+        "need",
+    )
+
+
+def positional_index(texts: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Postings ``(key, text_hash, term, at, around, around_from)`` of the anchors, and of every text's end.
 
     ``around`` holds up to ``window - 1`` words on either side; ``around_from`` is the place of its first.
+    A posting without the words of any anchor around it, exact or near, is not stored.
     """
-    ended = terms.union(terms.sparkSession.createDataFrame([(END,)], "term string"))
+    spark = places.sparkSession
+    ended = spark.createDataFrame([(END, [], 0)], "term string, centre array<string>, need int")
+    sought = places.select("term", "centre", "need").distinct().union(ended)
+    sought = sought.withColumnRenamed("term", "sought")
     listed = texts.select("key", "text_hash", "words", F.posexplode(F.array_append("words", F.lit(END))).alias("at", "term"))
     left = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    around = F.when(F.col("term") != END, F.slice("words", left + 1, 2 * window - 1))
-    return listed.join(F.broadcast(ended), "term").select(
-        "key", "text_hash", "term", "at", around.alias("around"), left.alias("around_from")
-    )
-
-
-def window_matches(
-    postings: DataFrame, windows: DataFrame, sequences: DataFrame, window: int = WINDOW, near_share: float = NEAR_SHARE
-) -> DataFrame:
-    """``(key, text_hash, seq, kind, first, until)`` of phrases and proximity matches, words from 0."""
-    lists = windows.select("seq", F.explode("anchors").alias("anchor")).select(
-        "seq", F.col("anchor.term").alias("term"), F.col("anchor.at").alias("anchor_at")
-    )
-    left = F.greatest(F.col("anchor_at") - window // 2, F.lit(0))
-    fewest = windows.groupBy("seq").agg(F.min(F.size("anchors")).alias("least"))
-    lists = lists.distinct().join(sequences, "seq").join(fewest, "seq")
-    lists = lists.select("seq", "term", "anchor_at", "least", F.slice("words", left + 1, window).alias("centre"))
-    met = postings.where(F.col("term") != END).join(lists, "term")
-
-    held = F.size(F.array_intersect("centre", "around")) / F.size(F.array_distinct("centre"))
-    near = met.where(held >= near_share).select(
+    around = F.slice("words", left + 1, F.col("at") + window - left)
+    met = (F.col("term") == F.col("sought")) & (F.size(F.array_intersect("centre", around)) >= F.col("need"))
+    return listed.join(F.broadcast(sought), met, "left_semi").select(
         "key",
         "text_hash",
-        "seq",
-        F.lit("near").alias("kind"),
-        F.col("around_from").alias("first"),
-        (F.col("around_from") + F.size("around")).alias("until"),
+        "term",
+        "at",
+        F.when(F.col("term") != END, around).alias("around"),
+        left.alias("around_from"),
     )
 
-    diagonals = met.groupBy("key", "text_hash", "seq", (F.col("at") - F.col("anchor_at")).alias("diagonal")).agg(
-        F.max("least").alias("least"), F.collect_set(F.struct("anchor_at", "around", "around_from")).alias("seen")
+
+def window_matches(postings: DataFrame, windows: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(key, text_hash, seq, kind, first, until)`` of phrases and proximity matches, words from 0.
+
+    An item text that has a phrase in a text is not searched for proximity there.
+    """
+    own = ["key", "text_hash", "seq"]
+    met = postings.where(F.col("term") != END).join(F.broadcast(places), "term")
+    met = met.where(F.size(F.array_intersect("centre", "around")) >= F.col("need"))
+    met = met.select(*own, "anchor_at", "at", "around", "around_from")
+
+    diagonal = (F.col("at") - F.col("anchor_at")).alias("diagonal")
+    seen = F.collect_set(F.struct("anchor_at", "around", "around_from")).alias("seen")
+    diagonals = met.groupBy(*own, diagonal).agg(seen)
+    # a window is met at its rarest anchor only
+    by_rarest = windows.where(F.size("anchors") > 0).select(
+        "seq", F.col("first").alias("item_first"), "window", F.col("anchors")[0]["at"].alias("rarest"), "anchors"
     )
-    # a diagonal with fewer anchors than any window has goes no further
-    diagonals = diagonals.where(F.size("seen") >= F.col("least"))
-    by_item = windows.groupBy("seq").agg(F.collect_list(F.struct("first", "window", "anchors")).alias("windows"))
-    crossing = diagonals.join(by_item, "seq")
-    places = F.transform("seen", lambda s: s["anchor_at"])
-    agreed = F.filter("windows", lambda w: F.forall(w["anchors"], lambda a: F.array_contains(places, a["at"])))
-    agreed = crossing.select("key", "text_hash", "seq", "diagonal", "seen", F.explode(agreed).alias("w"))
-    rarest = F.col("w.anchors")[0]["at"]
-    agreed = agreed.withColumn("here", F.filter("seen", lambda s: s["anchor_at"] == rarest)[0])
-    first = F.col("diagonal") + F.col("w.first")
-    length = F.size("w.window")
+    agreed = diagonals.select(
+        *own, "diagonal", F.transform("seen", lambda s: s["anchor_at"]).alias("places"), F.explode("seen").alias("here")
+    )
+    agreed = agreed.withColumn("rarest", F.col("here.anchor_at")).join(F.broadcast(by_rarest), ["seq", "rarest"])
+    agreed = agreed.where(F.forall("anchors", lambda a: F.array_contains("places", a["at"])))
+    first = F.col("diagonal") + F.col("item_first")
+    length = F.size("window")
     offset = first - F.col("here.around_from")
-    exact = (offset >= 0) & (F.slice("here.around", F.greatest(offset, F.lit(0)) + 1, length) == F.col("w.window"))
+    exact = (offset >= 0) & (F.slice("here.around", F.greatest(offset, F.lit(0)) + 1, length) == F.col("window"))
     phrases = agreed.where(exact).select(
-        "key", "text_hash", "seq", F.lit("phrase").alias("kind"), first.alias("first"), (first + length).alias("until")
+        *own, F.lit("phrase").alias("kind"), first.alias("first"), (first + length).alias("until")
+    )
+    phrases, _ = materialize(phrases, "phrases")
+
+    found = phrases.select(*[F.col(c).alias(f"_{c}") for c in own]).distinct()
+    without = met.distinct().join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own], "left_anti")
+    by_near = windows.select("seq", F.array_distinct("window").alias("bag"), "need", F.explode("near").alias("a"))
+    by_near = by_near.select("seq", F.col("a.at").alias("anchor_at"), "bag", "need").distinct()
+    close = without.join(F.broadcast(by_near), ["seq", "anchor_at"])
+    close = close.where(F.size(F.array_intersect("bag", "around")) >= F.col("need"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("around") - window, F.lit(0)))
+    holds = F.filter(
+        starts, lambda i: F.size(F.array_intersect("bag", F.slice("around", i + 1, window))) >= F.col("need")
+    )
+    start = F.col("around_from") + F.col("start")
+    near = close.withColumn("start", F.get(holds, F.lit(0))).where("start is not null").select(
+        *own,
+        F.lit("near").alias("kind"),
+        start.alias("first"),
+        F.least(start + window, F.col("around_from") + F.size("around")).alias("until"),
     )
     return phrases.union(near)
 
@@ -155,11 +217,11 @@ def benchmark_matches(
         terms = own.select(F.explode("words").alias("term")).distinct()
         frequency, _ = materialize(term_frequency(texts, terms), "frequency")
         windows, _ = materialize(item_windows(own, frequency, window, anchors), "windows")
-        rare = windows.select(F.explode("anchors").alias("anchor")).select("anchor.term").distinct()
-        postings, _ = materialize(positional_index(texts, rare, window), "postings")
+        places, _ = materialize(anchor_places(windows, own, window), "anchors")
+        postings, _ = materialize(positional_index(texts, places, window), "postings")
         if lengths is None:
             lengths = postings.where(F.col("term") == END).select("key", "text_hash", F.col("at").cast("long").alias("n_words"))
-        matches.append(window_matches(postings, windows, own, window))
+        matches.append(window_matches(postings, windows, places, window))
     return lengths, reduce(DataFrame.union, matches), owners
 
 

@@ -107,16 +107,16 @@ def decontamination() -> str:
                   FROM (SELECT r, unnest(range(pos, pos + n)) AS place FROM hits) GROUP BY r),
     hit_items AS (SELECT r, string_agg(i, ',' ORDER BY i) AS items, count(*) AS n_items
                   FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits JOIN s USING (q) JOIN b ON b.w = s.w) GROUP BY r),
-    ranked AS (SELECT win.q, sw.pos, sw.t,
-                      row_number() OVER (PARTITION BY win.q, first ORDER BY coalesce(f.n, 0), sw.pos) AS place,
-                      min(coalesce(f.n, 0)) OVER (PARTITION BY win.q, first) AS least
-               FROM win JOIN sw ON sw.q = win.q AND sw.pos BETWEEN first AND first + len(words) - 1 LEFT JOIN f ON f.t = sw.t),
-    anchors AS (SELECT DISTINCT q, pos, t FROM ranked WHERE place <= {decontaminate.ANCHORS} AND least > 0),
-    centred AS (SELECT q, t, list_distinct(s.w[greatest(pos - {size // 2}, 0) + 1 : greatest(pos - {size // 2}, 0) + {size}]) AS c
-                FROM anchors JOIN s USING (q)),
-    near AS (SELECT DISTINCT r, q FROM centred JOIN dw USING (t) JOIN d USING (r)
-             WHERE len(list_intersect(c, d.w[greatest(pos - {size - 1}, 0) + 1 : greatest(pos - {size - 1}, 0) + {2 * size - 1}]))
-                   / len(c)::DOUBLE >= {decontaminate.NEAR_SHARE}),
+    bags AS (SELECT q, list_distinct(words) AS bag, ceil(len(list_distinct(words)) * {decontaminate.NEAR_SHARE} - 1e-9) AS need
+             FROM win GROUP BY ALL),
+    ranked AS (SELECT q, bag, need, t, row_number() OVER (PARTITION BY q, bag ORDER BY n, t) AS place,
+                      count(*) OVER (PARTITION BY q, bag) AS present
+               FROM (SELECT q, bag, need, unnest(bag) AS t FROM bags) JOIN f USING (t)),
+    sought AS (SELECT q, bag, need, t FROM ranked WHERE place <= present - need + 1),
+    -- any 13 words with enough of a window's words hold one of these terms; shifts try all spans around it
+    near AS (SELECT DISTINCT r, q FROM sought JOIN dw USING (t) JOIN d USING (r)
+             WHERE len(list_filter(range(greatest(dw.pos - {size - 1}, 0), dw.pos + 1), lambda i:
+                   len(list_intersect(bag, d.w[i + 1 : i + {size}])) >= need)) > 0),
     nears AS (SELECT r, count(*) AS n_near FROM near ANTI JOIN hits USING (r, q) GROUP BY r)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
            sha256(coalesce(items, '')) AS items_sha256,

@@ -90,3 +90,65 @@ def test_empty_tables(spark, empty, sample, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(*decontaminate.benchmark_matches(empty, none)).collect() == []
     check(sample, none, [r[:2] for r in rows], [])
+
+
+def brute_near(docs, items):
+    """How many item texts are near, but have no phrase, per text: any 13 words against every window."""
+    texts = {tuple(words(t)) for _, t in items} - {()}
+    out = Counter()
+    for key, text in docs:
+        w, n = words(text), 0
+        spans = [set(w[i : i + 13]) for i in range(max(len(w) - 12, 1))]
+        for t in texts:
+            size = min(13, len(t))
+            windows = [t[i : i + size] for i in range(len(t) - size + 1)]
+            if any(tuple(w[i : i + size]) in set(windows) for i in range(len(w) - size + 1)):
+                continue
+            n += any(10 * len(set(v) & s) >= 7 * len(set(v)) for v in windows for s in spans)
+        out[key, n] += 1
+    return out
+
+
+def near_counts(docs, items, **options):
+    found = decontaminate.benchmark_matches(docs, items, **options)
+    return Counter((r["doc_id"], r["n_near"]) for r in decontaminate.contamination(*found).collect())
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 40])
+def test_proximity_equals_brute_force(spark, block_words):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4, 9, 13, 14, 25])))) for i in range(12)]
+    docs = []
+    for i in range(120):
+        w = items[rng.randrange(12)][1].split()
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = rng.choice([*vocabulary, "elsewhere", f"only{i}"])
+        if i % 3 == 0:
+            rng.shuffle(w)
+        front = [rng.choice(vocabulary) for _ in range(rng.randrange(9))]
+        docs.append((i if i % 7 else None, " ".join(front + w + front)))
+    docs += [(900, items[4][1]), (900, items[4][1]), (901, None), (902, "")]
+    got = near_counts(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+        spark.createDataFrame(items, "item_id long, text string"),
+        block_words=block_words,
+    )
+    want = brute_near(docs, items)
+    assert got == want and sum(n > 0 for _, n in want.elements()) > 30
+
+
+def test_replaced_words_are_near_whatever_other_documents_hold(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen".split()
+    items = spark.createDataFrame([(7, " ".join(passage))], "item_id long, text string")
+    docs = []
+    for i in range(13):
+        docs.append((i, " ".join(passage[:i] + ["else"] + passage[i + 1 :])))
+    docs.append((20, " ".join(["else", "where", "gone", *passage[3:]])))
+    docs.append((21, " ".join(["else", "where", "gone", "away", *passage[4:]])))
+    want = Counter([*((i, 1) for i in range(13)), (20, 1), (21, 0)])
+    schema = "doc_id long, text string"
+    assert near_counts(spark.createDataFrame(docs, schema), items) == want
+    one = [docs[5]]
+    assert near_counts(spark.createDataFrame(one, schema), items) == Counter([(5, 1)])
+    assert near_counts(spark.createDataFrame([*one, (30, passage[5])], schema), items) == Counter([(5, 1), (30, 0)])
