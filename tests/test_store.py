@@ -1,0 +1,70 @@
+import pytest
+
+import tabulant as tb
+from tabulant.plans.heads import KnnHead
+from tabulant.sources import store
+
+
+@pytest.fixture
+def labelled(spark):
+    rows = [(i, "ab"[i % 2], [float(i)]) for i in range(20)]
+    return spark.createDataFrame(rows, "id bigint, label string, features array<double>").cache()
+
+
+def knn(df, **options):
+    return tb.LatentClassifier(kind="KNN", labelCol="label", featuresCol="features", keyCols=["id"], **options).fit(df)
+
+
+def probabilities(model, df):
+    return {r["id"]: list(r["probability"]) for r in model.transform(df).collect()}
+
+
+def test_a_loaded_neighbour_model_is_stored_over_itself(spark, labelled, tmp_path):
+    path = str(tmp_path / "knn")
+    model = knn(labelled)
+    model.save(path)
+    want = probabilities(model, labelled)
+    loaded = tb.LatentClassifierModel.load(path)
+    for _ in range(2):
+        loaded.write().overwrite().save(path)
+    assert len(store.commits(spark, path)) == 3
+    assert probabilities(loaded, labelled) == want
+    assert probabilities(tb.LatentClassifierModel.load(path), labelled) == want
+    store.prune_versions(spark, path)
+    assert len(store.commits(spark, path)) == 1 and len([*(tmp_path / "knn" / "versions").iterdir()]) == 1
+    assert probabilities(tb.LatentClassifierModel.load(path), labelled) == want
+
+
+def test_a_save_that_breaks_off_leaves_the_model_before_it(spark, labelled, tmp_path, monkeypatch):
+    path, first = str(tmp_path / "knn"), str(tmp_path / "first")
+    model = knn(labelled)
+    model.save(path)
+    want = probabilities(model, labelled)
+    with monkeypatch.context() as m:
+
+        def broken(self, path, spark):
+            raise OSError("lost")
+
+        m.setattr(KnnHead, "save", broken)
+        with pytest.raises(OSError, match="lost"):
+            knn(labelled, neighbours=1).write().overwrite().save(path)
+        with pytest.raises(OSError, match="lost"):
+            model.save(first)
+    assert probabilities(tb.LatentClassifierModel.load(path), labelled) == want
+    with pytest.raises(ValueError, match="whole model"):
+        tb.LatentClassifierModel.load(first)
+    # the next save to the same place goes through
+    model.save(first)
+    assert probabilities(tb.LatentClassifierModel.load(first), labelled) == want
+
+
+def test_another_kind_is_replaced_only_by_overwriting(spark, labelled, encoder, tmp_path):
+    path = str(tmp_path / "m")
+    encoder.save(path)
+    model = knn(labelled)
+    with pytest.raises(FileExistsError):
+        model.save(path)
+    model.write().overwrite().save(path)
+    assert tb.LatentClassifierModel.load(path).levels == model.levels
+    with pytest.raises(ValueError):
+        tb.ContrastiveEncoderModel.load(path)
