@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabulant.plans import rounds
+from tabulant.plans import boosting, heads, rounds
 from tabulant.plans.network import Contrastive, Net, dense_stack, named_views
 
 
@@ -52,3 +52,37 @@ def test_steps_share_arrays_but_not_results():
 
     for x in xs:
         assert (gradient(shared, x) == gradient(Net(layers), x)).all()
+
+
+def latent_rows(spark, n=60):
+    cells = F.array(*[F.col("id") * (i + 1) % 7 * 1.0 for i in range(4)])
+    return spark.range(n).select(F.col("id").cast("string").alias("key"), (F.col("id") % 7 % 3).cast("int").alias("label"), cells.alias("latent"))
+
+
+def test_planes_are_fitted_one_at_a_time_on_rows_kept_once(spark, monkeypatch):
+    """The wide rows were persisted next to the blocks that every concurrent fit persists itself."""
+    kept, running, most = [], [], []
+    fit = heads.LinearSVC.fit
+
+    def spied(self, rows):
+        kept.append(rows.storageLevel)
+        running.append(1)
+        most.append(len(running))
+        try:
+            return fit(self, rows)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(heads.LinearSVC, "fit", spied)
+    heads.SvmHead.fit(latent_rows(spark).cache(), 3, 0, width=8, iterations=5)
+    assert most == [1, 1, 1] and not any(level.useMemory or level.useDisk for level in kept)
+
+
+def test_a_tree_is_evaluated_once_on_each_row(spark, monkeypatch):
+    """Every level evaluated all trees so far."""
+    sent = []
+    level = boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda stored, growing, *rest: sent.append(growing["feature"].ndim) or level(stored, growing, *rest))
+    trees, history = boosting.fit_boost(latent_rows(spark), 3, rounds=2, depth=2)
+    assert sent and set(sent) == {2}  # the trees that grow, none of the rounds before
+    assert len(history) == 3 and history[0] > history[1] > history[2]
