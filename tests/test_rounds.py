@@ -79,6 +79,31 @@ def test_an_epoch_neither_sorts_nor_draws(rows, monkeypatch):
     assert len(plans) == 12 and not any("Sort" in p or "md5" in p or "Window" in p for p in plans)
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_a_dealt_shard_is_few_records(rows, monkeypatch, labelled):
+    """What an epoch reads again are records of many rows, and no row, lot or label is lost in them."""
+    monkeypatch.setattr(rounds, "PACK", 16)
+    seen, run = [], rounds.run_round
+
+    def spied(dealt, *args):
+        seen.append(dealt.toArrow())
+        return run(dealt, *args)
+
+    monkeypatch.setattr(rounds, "run_round", spied)
+    goal = network.Supervised(network.classifier_stack(4, 8, 3, 0.0), 1e-3) if labelled else objective()
+    some = rows.withColumn("label", F.col("key").cast("int") % 3) if labelled else rows
+    _, history = rounds.train(some, goal, n=301, epochs=2, batch_size=16, seed=1, shards=2)
+    assert [h["rows"] for h in history] == [301, 301]
+    assert all(t.num_rows <= 301 // 16 + 4 and sum(t["rows"].to_pylist()) == 301 for t in seen)
+    lots, x = (rounds.unpacked(seen[0], *c) for c in (("lots", np.int64), ("features", np.float32)))
+    y = rounds.unpacked(seen[0], "labels", np.int64)
+    want = {r[0]: (r.features, r.label if labelled else None) for r in some.select(F.xxhash64(F.lit(1), "key"), "*").collect()}
+    assert lots[:, 0].tolist() != sorted(want) and set(lots[:, 0].tolist()) == set(want)
+    for i, lot in enumerate(lots[:, 0].tolist()):
+        assert x[i] == pytest.approx(np.array(want[lot][0], np.float32)) and (y is None or y[i, 0] == want[lot][1])
+    assert (y is None) == (not labelled)
+
+
 def test_only_slices_with_lone_rows_reach_the_driver(spark, monkeypatch):
     seen = []
     found = rounds.partners
