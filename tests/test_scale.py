@@ -86,3 +86,12 @@ def test_a_tree_is_evaluated_once_on_each_row(spark, monkeypatch):
     trees, history = boosting.fit_boost(latent_rows(spark), 3, rounds=2, depth=2)
     assert sent and set(sent) == {2}  # the trees that grow, none of the rounds before
     assert len(history) == 3 and history[0] > history[1] > history[2]
+
+
+def test_a_spark_classifier_reads_the_stored_rows(spark, monkeypatch):
+    """The vectors were persisted next to the form that the classifier itself keeps."""
+    kept, fit = [], heads.RandomForestClassifier.fit
+    monkeypatch.setattr(heads.RandomForestClassifier, "fit", lambda self, rows: kept.append(rows.storageLevel) or fit(self, rows))
+    forest = heads.SparkHead.fit(heads.ESTIMATORS["Random Forest"](3, 8, 2), latent_rows(spark), 3, 0)
+    assert len(kept) == 1 and not kept[0].useMemory and not kept[0].useDisk
+    assert forest.score(latent_rows(spark), "latent").where(F.size("probability") == 3).count() == 60
