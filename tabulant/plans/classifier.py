@@ -152,14 +152,16 @@ class LatentClassifier(Estimator):
         if len(levels) < 2:
             raise ValueError(f"{label!r} holds a single class")
 
-        latent = self.encoder.encode(spark) if self.encoder else F.col(get("featuresCol"))
+        # every head reads the rows several times; an encoder's inputs are stored, many times smaller than the latent rows,
+        # which are computed again wherever a head reads them
         rows = df.select(
             row_key(keys).alias("key"),
             evaluate.label_index(F.col(label), levels).alias("label"),
-            latent.alias("latent"),
+            self.encoder.prepared().alias("inputs") if self.encoder else F.col(get("featuresCol")).alias("latent"),
         )
-        # every head reads the latent rows several times
         rows, path = materialize(rows, "latent")
+        if self.encoder:
+            rows = rows.select("key", "label", self.encoder.encode_prepared(spark, F.col("inputs")).alias("latent"))
         try:
             head = self._fit_head(rows, len(levels), sum(counts.values()))
         finally:

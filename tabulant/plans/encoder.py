@@ -262,14 +262,25 @@ class ContrastiveEncoderModel(Model, Stored):
         ``batch_size`` bounds the rows of one forward pass.  ``inputs`` names columns that are prepared already
         and replace the fitted preparation.
         """
-        given = self.getOrDefault("batchSizeInference") if batch_size is None else batch_size
-        score = forward_udf(spark, self.layers, self.weights, self.getOrDefault("precision"), batch_size=given)
+        score = self._score(spark, batch_size)
         if inputs is None:
             return score(self.prep.vector())
         if len(inputs) != self.shape["in_dim"]:
             raise ValueError(f"the encoder takes {self.shape['in_dim']} columns, not {len(inputs)}: {list(inputs)}")
         return score(F.array(*[F.col(c).cast("double") for c in inputs]))
 
+    def _score(self, spark, batch_size=None):
+        given = self.getOrDefault("batchSizeInference") if batch_size is None else batch_size
+        return forward_udf(spark, self.layers, self.weights, self.getOrDefault("precision"), batch_size=given)
+
+    def prepared(self):
+        """The encoder's input, an expression over the input columns in the precision of a forward pass."""
+        return self.prep.vector().cast(f"array<{self.getOrDefault('precision')}>")
+
+    def encode_prepared(self, spark, column):
+        """The latent array of ``prepared`` rows."""
+        return self._score(spark)(column)
+
     def _transform(self, dataset):
         name = self.getOrDefault("outputCol")
         latent = self.encode(dataset.sparkSession).alias(name)

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabulant.plans import boosting, heads, rounds
+import tabulant as tb
+from tabulant.plans import boosting, classifier, heads, rounds
 from tabulant.plans.network import Contrastive, Net, dense_stack, named_views
 
 
@@ -95,3 +96,16 @@ def test_a_spark_classifier_reads_the_stored_rows(spark, monkeypatch):
     forest = heads.SparkHead.fit(heads.ESTIMATORS["Random Forest"](3, 8, 2), latent_rows(spark), 3, 0)
     assert len(kept) == 1 and not kept[0].useMemory and not kept[0].useDisk
     assert forest.score(latent_rows(spark), "latent").where(F.size("probability") == 3).count() == 60
+
+
+def test_a_classifier_stores_what_the_encoder_reads(spark, clusters, encoder, monkeypatch):
+    """Latent rows (256 floats by default) were stored; a tree reads them twice."""
+    stored, write = [], classifier.materialize
+    monkeypatch.setattr(classifier, "materialize", lambda df, name: stored.append((out := write(df, name))[0].select(F.max(F.size(df.columns[-1]))).first()[0]) or out)
+    model = tb.LatentClassifier(encoder=encoder, kind="C50", labelCol="label", keyCols=["id"]).fit(clusters)
+    assert stored == [encoder.prep.width] and encoder.prep.width < encoder.shape["hidden"]
+    want = {r[0]: r[1] for r in encoder.transform(clusters).select("id", "latent").collect()}
+    inputs = clusters.select("id", encoder.prepared().alias("inputs"))
+    for r in inputs.select("id", encoder.encode_prepared(spark, F.col("inputs")).alias("latent")).collect():
+        assert np.allclose(r.latent, want[r.id], atol=1e-6)
+    assert model.transform(clusters).where("prediction = label").count() > 570
