@@ -1,6 +1,7 @@
 """Figures that must not grow with the table, or no faster than it."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import tabulant as tb
@@ -109,3 +110,33 @@ def test_a_classifier_stores_what_the_encoder_reads(spark, clusters, encoder, mo
     for r in inputs.select("id", encoder.encode_prepared(spark, F.col("inputs")).alias("latent")).collect():
         assert np.allclose(r.latent, want[r.id], atol=1e-6)
     assert model.transform(clusters).where("prediction = label").count() > 570
+
+
+def test_the_child_of_fewer_rows_is_counted():
+    """Every level added up the histograms of all rows; the other child's are those of the node less the counted ones."""
+    rng = np.random.default_rng(0)
+    n, width, bins = 5000, 3, 16
+    cells, g, h = rng.integers(0, bins, (n, width)).astype(np.uint8), rng.integers(-boosting.UNIT, boosting.UNIT, (n, 1)), rng.integers(1, boosting.UNIT // 2, (n, 1))
+    rows = pa.RecordBatch.from_arrays([boosting.spell(x) for x in (cells, g.astype(np.int32), h.astype(np.int32))], names=["bins", "g", "h"])
+    growing = {k: v[0] for k, v in boosting.empty_trees(1, 1, 2).items()}
+    growing["feature"][0, 0], growing["split"][0, 0] = 1, 3
+
+    class Shared:
+        value = growing
+
+    def counted(side, level):
+        out = pa.Table.from_batches(boosting._histograms(Shared, np.array(side), level, bins, width)(iter([rows])))
+        return out, np.frombuffer(out["sums"][0].as_py(), np.int64).reshape(boosting.TOGETHER, 3, bins)
+
+    def want(own):
+        return [[np.bincount(cells[own, j], w[own], bins) for w in (g[:, 0], h[:, 0], np.ones(n))] for j in range(width)]
+
+    left = cells[:, 1] <= 3
+    root, whole = counted([[0]], 0)
+    few, part = counted([[0]], 1)
+    assert (whole[:width] == want(np.ones(n, bool))).all() and (part[:width] == want(left)).all()
+    above = pa.RecordBatch.from_arrays([root["cell"].combine_chunks(), pa.array([True]), root["sums"].combine_chunks()], names=["cell", "whole", "sums"])
+    (splits,) = boosting._best_splits(np.array([[0]]), 1, width, bins, 1.0, 1.0, True)(iter([*few.to_batches(), above]))
+    assert splits.column("node").to_pylist() == [0, 1] and splits.column("n").to_pylist() == [left.sum(), n - left.sum()]
+    other = np.frombuffer(splits.column("sums")[1].as_py(), np.int64).reshape(boosting.TOGETHER, 3, bins)
+    assert (other[:width] == want(~left)).all()
